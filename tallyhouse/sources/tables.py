@@ -58,11 +58,11 @@ def load_register(
 
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the data files of one folder (metadata only), through the cluster file system."""
+    """Names of the files, or directories of part files, in one folder (metadata only)."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isFile()]
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
     return sorted(n for n in names if not n.startswith((".", "_")))
 
 

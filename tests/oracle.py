@@ -28,7 +28,7 @@ def connect(sf_dir: str):
 
 
 def canon(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return "~"
     if isinstance(v, float):
         if math.isnan(v):
