@@ -106,55 +106,51 @@ def top_per_group(
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float], cells: int = 256
+    df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10_000
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per group.
 
-    Approximate quantiles cut each group into ``cells``; counting the cells shows which
-    cell holds each wanted order statistic, and only those cells are sorted. Equal values
-    are counted together first, so a hot value is one row.
+    Approximate quantiles with a guaranteed rank error give a narrow band around each
+    wanted quantile. Everything outside the band is only counted (with its nearest
+    value); inside, equal values are counted together and only those counts are sorted.
     """
     group = list(group)
-    vals = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    grid = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    cuts = vals.groupBy(*group).agg(
-        F.percentile_approx(value, grid, cells * 4).alias("_cuts"), F.sum("_n").alias("_total")
+    v = F.col(value)
+    eps = 2.0 / accuracy
+    edges = [e for p in probs.values() for e in (max(p - eps, 0.0), min(p + eps, 1.0))]
+    known = df.where(v.isNotNull()).select(*group, value)
+    bands = known.groupBy(*group).agg(
+        F.percentile_approx(v, edges, accuracy).alias("_b"), F.count(F.lit(1)).alias("_total")
     )
-    cut = vals.join(cuts, group).withColumn(
-        "_cell", F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + F.when(F.col(value) > c, 1).otherwise(0))
+    cells = []
+    for i in range(len(probs)):
+        lo, hi = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
+        zone = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
+        cells.append(F.struct(F.lit(i).alias("i"), zone.alias("zone"), F.when(zone == 0, v).alias("inner")))
+    counted = (
+        known.join(bands, group)
+        .select(*group, "_total", value, F.explode(F.array(*cells)).alias("_c"))
+        .groupBy(*group, "_total", "_c.i", "_c.zone", "_c.inner")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     )
-    in_cell = cut.groupBy(*group, "_cell", "_total").agg(F.sum("_n").alias("_m"))
-    run = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells_df = in_cell.withColumn("_before", F.coalesce(F.sum("_m").over(run), F.lit(0)))
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("name"),
-                (F.floor((F.col("_total") - 1) * F.lit(float(p)))).alias("k"),
-                ((F.col("_total") - 1) * F.lit(float(p)) - F.floor((F.col("_total") - 1) * F.lit(float(p)))).alias("f"),
-            )
-            for n, p in probs.items()
-        ]
-    )
-    needs = (
-        cells_df.withColumn("_w", F.explode(wanted))
-        .select(*group, "_cell", "_before", "_m", "_total", "_w", F.explode(F.array(F.lit(0), F.lit(1))).alias("_hi"))
-        .withColumn("_k", F.least(F.col("_w.k") + F.col("_hi"), F.col("_total") - 1))
-        .where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_m")))
-    )
-    inside = Window.partitionBy(*group, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    hit_cells = needs.select(*group, "_cell", "_before").distinct()
-    sorted_cells = cut.join(hit_cells, [*group, "_cell"]).withColumn("_cum", F.sum("_n").over(inside) + F.col("_before"))
-    picked = (
-        needs.drop("_before")
-        .join(sorted_cells.select(*group, "_cell", value, "_cum", "_n"), [*group, "_cell"])
-        .where((F.col("_k") < F.col("_cum")) & (F.col("_k") >= F.col("_cum") - F.col("_n")))
+    run = Window.partitionBy(*group, "i").orderBy("zone", "inner").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_end", F.sum("_n").over(run)).withColumn("_start", F.col("_end") - F.col("_n"))
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1)
+    spot = (F.col("_total") - 1) * prob
+    placed = placed.withColumn("_k", F.floor(spot)).withColumn("_f", spot - F.floor(spot))
+
+    def at(rank: Column) -> Column:
+        inside = (rank >= F.col("_start")) & (rank < F.col("_end"))
+        reachable = (F.col("zone") == 0) | F.when(F.col("zone") < 0, rank == F.col("_end") - 1).otherwise(
+            rank == F.col("_start")
+        )
+        nearest = F.when(F.col("zone") < 0, F.col("_hi")).otherwise(F.col("_lo"))
+        checked = F.when(F.assert_true(reachable, F.lit("raise the accuracy of the quantiles")).isNull(), nearest)
+        return F.max(F.when(inside, checked))
+
+    picked = placed.groupBy(*group, "_total", "i").agg(
+        at(F.col("_k")).alias("_a"), at(F.least(F.col("_k") + 1, F.col("_total") - 1)).alias("_z"), F.max("_f").alias("_f")
     )
-    out = []
-    for n in probs:
-        mine = F.col("_w.name") == n
-        lo = F.max(F.when(mine & (F.col("_hi") == 0), F.col(value)))
-        hi = F.max(F.when(mine & (F.col("_hi") == 1), F.col(value)))
-        frac = F.max(F.when(mine, F.col("_w.f")))
-        out.append((lo + (hi - lo) * frac).alias(n))
+    result = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
+    out = [F.max(F.when(F.col("i") == i, result)).alias(n) for i, n in enumerate(probs)]
     return picked.groupBy(*group).agg(F.max("_total").alias("n"), *out)

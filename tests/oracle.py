@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import importlib
 import math
 import pathlib
 import sys
@@ -81,8 +82,10 @@ def main(argv: list[str]) -> int:
     con = connect(sf_dir)
     sql = entry.oracle_sql()
     bad = 0
+    for section in [w[1:] for w in wanted if w.startswith("@")]:
+        wanted += list(importlib.import_module(f"tallyhouse.checks.{section}").QUERIES)
     for name, fn in entry.queries().items():
-        if wanted and not any(name.startswith(w) for w in wanted):
+        if wanted and not any(name == w or (w.endswith('*') and name.startswith(w[:-1])) for w in wanted):
             continue
         t0 = time.time()
         try:
