@@ -236,10 +236,10 @@ def log_plus(spark, sf):
 
 def encrypt_cols(spark, sf):
     key = "0123456789abcdef"
-    c = T(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_mktsegment").alias("same"))
-    enc = rg.encrypt_cols(c, ["c_name", "c_mktsegment", "same", "absent"], key)
-    hidden = enc.withColumn("differs", (F.col("same") != F.col("c_mktsegment")).cast("int"))
-    return rg.decrypt_cols(hidden, ["c_name", "c_mktsegment", "same", "absent"], key)
+    columns = ["c_name", "c_mktsegment", "absent"]
+    enc = rg.encrypt_cols(T(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), columns, key)
+    texts = enc.agg(F.count_distinct("c_mktsegment").alias("n")).scalar()
+    return rg.decrypt_cols(enc, columns, key).withColumn("n_texts", texts)
 
 
 _TERMS = ("the", "and", "une", "der", "las")
@@ -383,7 +383,7 @@ QUERIES = {
         UNION ALL SELECT 'density', bin, round(lo + (bin + 0.5) * dx, 6), round(k / (n * dx), 9), round(sqrt(k * (1 - k / n)) / (n * dx), 9) FROM g"""),
     "log_plus": (log_plus, """
         SELECT o_orderkey, round(log10(1 - (SELECT min(o_totalprice) FROM orders) + o_totalprice), 9) AS auto, round(ln(1 + o_totalprice), 9) AS "natural" FROM orders"""),
-    "encrypt_cols": (encrypt_cols, "SELECT c_custkey, c_name, c_mktsegment, c_mktsegment AS same, 1 AS differs FROM customer"),
+    "encrypt_cols": (encrypt_cols, "SELECT c_custkey, c_name, c_mktsegment, (SELECT count(*) FROM customer) AS n_texts FROM customer"),
     "typo_matches": (typo_matches, f"""
         WITH w AS (SELECT unnest({SQL_WORDS.format("lower(strip_accents(text))")}) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM w GROUP BY 1)
         """ + " UNION ALL ".join(f"SELECT '{t}' AS term, token, n FROM c WHERE regexp_matches(token, '{tx.typo_pattern(t)}')" for t in _TERMS)),

@@ -40,6 +40,45 @@ def _two_digits(s: Column) -> Column:
     return F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, so that nested rules stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _checked_digits(p: Column) -> Column:
+    """Day clamped to the month; null when the month does not exist."""
+    top = map_values(p["m"], MONTH_DAYS, default="null")
+    number = p["d"].try_cast("int")
+    common = (p["m"] == "02") & ((p["y"].try_cast("int") - 1900) % 4 != 0)
+
+    def place(d: Column) -> Column:
+        return _parts(F.when((d == "29") & common, "28").otherwise(d), p["m"], p["y"])
+
+    clamped = F.when(number > top, (number - 1).cast("string")).otherwise(p["d"])
+    return F.when(p.isNotNull() & top.isNotNull(), _let(clamped, place))
+
+
+def _split_parts(s: Column, sep: str) -> Column:
+    def place(a: Column) -> Column:
+        rest = F.when(F.size(a) > 3, F.concat(F.lit("/"), F.array_join(F.slice(a, 4, 100), "/"))).otherwise("")
+        return F.when(F.size(a) >= 3, _parts(F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(a, F.lit(2)), rest))
+
+    return _let(F.split(s, sep), place)
+
+
+def _named_month(p: Column) -> Column:
+    code = map_values(p["m"], MONTH_CODES, default="null")
+    year = F.when(F.length(p["y"]) == 2, F.concat(F.lit("19"), p["y"])).otherwise(p["y"])
+    return F.when(p["m"].rlike("^[0-9]+$"), p).when(code.isNotNull(), _parts(p["d"], code, year, p["rest"]))
+
+
+def _join_parts(p: Column) -> Column:
+    year = F.trim(p["y"]).try_cast("int")
+    return F.when(
+        (year < 1800) | (year > 2100), F.concat(p["d"], F.lit("/"), p["m"], F.lit("/19"), _cut(p["y"], 2))
+    ).when(year.isNotNull(), F.concat(p["d"], F.lit("/"), p["m"], F.lit("/"), p["y"], p["rest"]))
+
+
 def format_legacy_date(col: Column) -> Column:
     """Old date spellings to ``DD/MM/YYYY``.
 
@@ -55,47 +94,25 @@ def format_legacy_date(col: Column) -> Column:
     spaced = F.when(
         n == 7, _parts(F.concat(zero, _cut(packed, 0, 1)), F.concat(zero, _cut(packed, 1, 2)), _cut(packed, 2))
     ).otherwise(_parts(_two_digits(_cut(s, 0, 2)), _two_digits(_cut(s, 2, 4)), _cut(s, 4)))
-    six = F.when(
-        _cut(s, 2, 4) == "19", _parts(F.concat(zero, _cut(s, 0, 1)), F.concat(zero, _cut(s, 1, 2)), _cut(s, 2))
-    ).otherwise(_parts(_cut(s, 0, 2), _cut(s, 2, 4), F.concat(F.lit("19"), _cut(s, 4))))
+    early_year = (n == 6) & (_cut(s, 2, 4) == "19")
+    middle_year = (n == 7) & (_cut(s, 3, 5) == "19")
+    short_year = (n == 7) & (_cut(s, 4, 6) == "19")
     late = _cut(s, 1, 3).try_cast("int") > 12
-    seven = (
-        F.when((_cut(s, 3, 5) == "19") & late, _parts(_cut(s, 0, 2), F.concat(zero, _cut(s, 2, 3)), _cut(s, 3)))
-        .when(_cut(s, 3, 5) == "19", _parts(F.concat(zero, _cut(s, 0, 1)), _cut(s, 1, 3), _cut(s, 3)))
-        .when(_cut(s, 4, 6) == "19", _parts(_cut(s, 0, 2), _cut(s, 2, 4), F.concat(_cut(s, 4), zero)))
+    plain = (
+        F.when(early_year, _parts(F.concat(zero, _cut(s, 0, 1)), F.concat(zero, _cut(s, 1, 2)), _cut(s, 2)))
+        .when(n == 6, _parts(_cut(s, 0, 2), _cut(s, 2, 4), F.concat(F.lit("19"), _cut(s, 4))))
+        .when(middle_year & late, _parts(_cut(s, 0, 2), F.concat(zero, _cut(s, 2, 3)), _cut(s, 3)))
+        .when(middle_year, _parts(F.concat(zero, _cut(s, 0, 1)), _cut(s, 1, 3), _cut(s, 3)))
+        .when(short_year, _parts(_cut(s, 0, 2), _cut(s, 2, 4), F.concat(_cut(s, 4), zero)))
+        .when(n != 7, _parts(_cut(s, 0, 2), _cut(s, 2, 4), _cut(s, 4)))
     )
-    plain = F.when(n == 6, six).when(n == 7, seven).otherwise(_parts(_cut(s, 0, 2), _cut(s, 2, 4), _cut(s, 4)))
-
-    top = map_values(plain["m"], MONTH_DAYS, default="null")
-    day = plain["d"].try_cast("int")
-    clamped = F.when(day > top, (day - 1).cast("string")).otherwise(plain["d"])
-    common = (clamped == "29") & (plain["m"] == "02") & ((plain["y"].try_cast("int") - 1900) % 4 != 0)
-    digits = F.when(
-        plain.isNotNull() & top.isNotNull(),
-        _parts(F.when(common, "28").otherwise(clamped), plain["m"], plain["y"]),
-    )
-
-    def split_on(sep: str) -> Column:
-        a = F.split(s, sep)
-        more = F.array_join(F.slice(a, 4, 100), "/")
-        rest = F.when(F.size(a) > 3, F.concat(F.lit("/"), more)).otherwise("")
-        return F.when(F.size(a) >= 3, _parts(F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(a, F.lit(2)), rest))
-
-    dash = split_on("-")
-    code = map_values(dash["m"], MONTH_CODES, default="null")
-    named = F.when(
-        code.isNotNull(),
-        _parts(dash["d"], code, F.when(F.length(dash["y"]) == 2, F.concat(F.lit("19"), dash["y"])).otherwise(dash["y"]), dash["rest"]),
-    )
-    dashed = F.when(dash["m"].rlike("^[0-9]+$"), dash).otherwise(named)
     all_digits = s.rlike("^[0-9]+$")
-    p = F.when(s.contains(" "), spaced).when(all_digits, digits).when(s.contains("-"), dashed).otherwise(split_on("/"))
-    year = F.trim(p["y"]).try_cast("int")
-    out = F.when(
-        (year < 1800) | (year > 2100), F.concat(p["d"], F.lit("/"), p["m"], F.lit("/19"), _cut(p["y"], 2))
-    ).when(year.isNotNull(), F.concat(p["d"], F.lit("/"), p["m"], F.lit("/"), p["y"], p["rest"]))
-    unreadable = all_digits & (n == 7) & seven.isNull()
-    return F.when(s.isNull(), "").when(unreadable, s).otherwise(out)
+    parts = (
+        F.when(s.contains(" "), spaced).when(all_digits, _let(plain, _checked_digits))
+        .when(s.contains("-"), _let(_split_parts(s, "-"), _named_month)).otherwise(_split_parts(s, "/"))
+    )
+    unreadable = all_digits & (n == 7) & ~middle_year & ~short_year
+    return F.when(s.isNull(), "").when(unreadable, s).otherwise(_let(parts, _join_parts))
 
 
 def date_replace(col: Column, year: int | None = None, month: int | None = None, day: int | None = None) -> Column:

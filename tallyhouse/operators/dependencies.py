@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -95,56 +96,48 @@ def guess_data_types(df: DataFrame, max_mag: float = 2, max_int: int = 30) -> Da
     make a column ``cat``. Other numbers are ``log`` when positive over more than
     ``max_mag`` decades.
 
-    The first pass estimates distinct counts with a sketch, which cannot exceed
-    ``max_int`` + 1 for a column with at most ``max_int`` values; only columns at or below
-    that are counted exactly, so no column with many values is ever shuffled.
+    One pass gathers a few figures per column, which decide on the driver. Distinct
+    counts come from a sketch there; it cannot exceed ``max_int`` + 1 for a column with at
+    most ``max_int`` values, so only columns at or below that are counted exactly and no
+    column with many values is shuffled.
     """
-    aggs, cells, tested = [], [], []
-    for i, f in enumerate(df.schema.fields):
+    dates = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    fields = [f for f in df.schema.fields if not isinstance(f.dataType, dates)]
+    kinds = {f.name: "num" for f in df.schema.fields}
+    aggs = []
+    for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            cells.append(F.struct(F.lit(f.name).alias("column"), F.lit("num").alias("dtype")))
-            continue
-        text = c.cast("string")
-        number = c.cast("double") if isinstance(f.dataType, T.NumericType) else text.try_cast("double")
+        text, number = c.cast("string"), c.try_cast("double")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             text = F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("decimal(38,10)").cast("string"))
+        whole = F.signum(number) * F.floor(F.abs(number))
         aggs += [
-            F.coalesce(F.bool_or(c.isNull() | text.rlike(r"[^\d,.\-]")), F.lit(False)).alias(f"odd{i}"),
-            F.coalesce(F.bool_or(text.contains("-") & ~text.rlike(r"^-[\d.,]+")), F.lit(False)).alias(f"dash{i}"),
-            F.coalesce(F.bool_or(F.abs(number - F.signum(number) * F.floor(F.abs(number))) > 1e-8 + 1e-5 * F.abs(number)), F.lit(False)).alias(f"frac{i}"),
-            F.coalesce(F.bool_or(text.rlike("^0")), F.lit(False)).alias(f"zero{i}"),
+            F.bool_or(c.isNull() | text.rlike(r"[^\d,.\-]")).alias(f"odd{i}"),
+            F.bool_or(text.contains("-") & ~text.rlike(r"^-[\d.,]+")).alias(f"dash{i}"),
+            F.bool_or(F.abs(number - whole) > 1e-8 + 1e-5 * F.abs(number)).alias(f"frac{i}"),
+            F.bool_or(text.rlike("^0")).alias(f"zero{i}"),
             F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"),
-            F.approx_count_distinct(c, 0.02).alias(f"d{i}"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), F.lit(12))).alias(f"few{i}"),
         ]
-        tested.append((i, c))
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        wide = F.when(lo > 0, F.log10(F.when(lo > 0, hi)) - F.log10(F.when(lo > 0, lo)) > max_mag).otherwise(False)
-        scale = F.when(wide, "log").otherwise("num")
-        kind = (
-            F.when(F.col(f"odd{i}") | F.col(f"dash{i}"), "cat")
-            .when(F.col(f"frac{i}"), scale)
-            .when(F.col(f"zero{i}"), "cat")
-            .when(F.col(f"d{i}") > max_int, scale)
-            .otherwise("cat")
-        )
-        cells.append(F.struct(F.lit(f.name).alias("column"), kind.alias("dtype")))
-    if not aggs:
-        return df.sparkSession.range(1).select(F.explode(F.array(*cells)).alias("c")).select("c.column", "c.dtype")
-    row = df.agg(*aggs)
-    few = [
-        F.when(row.select(F.col(f"d{i}") <= max_int + 1).scalar() & c.isNotNull(),
-               F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("h"), c.cast("string").alias("v")))
-        for i, c in tested
-    ]
-    exact = (
-        df.select(F.explode(F.array_compact(F.array(*few))).alias("x")).distinct()
-        .groupBy("x.i").agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("i", "n")))).scalar()
-    )
-    row = row.withColumn("_exact", exact)
-    row = row.withColumns({f"d{i}": F.coalesce(F.try_element_at("_exact", F.lit(i)), F.col(f"d{i}")) for i, _ in tested})
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.column", "c.dtype")
+    seen = df.agg(*aggs).first() if aggs else {}
+
+    def scale(i: int) -> str:
+        lo, hi = seen[f"lo{i}"], seen[f"hi{i}"]
+        return "log" if lo is not None and lo > 0 and math.log10(hi) - math.log10(lo) > max_mag else "num"
+
+    open_cases = []
+    for i, f in enumerate(fields):
+        if seen[f"odd{i}"] or seen[f"dash{i}"] or (seen[f"zero{i}"] and not seen[f"frac{i}"]):
+            kinds[f.name] = "cat"
+        elif seen[f"frac{i}"] or seen[f"few{i}"] > max_int + 1:
+            kinds[f.name] = scale(i)
+        else:
+            open_cases.append((i, f.name))
+    if open_cases:
+        exact = df.agg(*[F.count_distinct(f"`{n}`").alias(f"d{i}") for i, n in open_cases]).first()
+        for i, n in open_cases:
+            kinds[n] = scale(i) if exact[f"d{i}"] > max_int else "cat"
+    return df.sparkSession.createDataFrame(list(kinds.items()), "column STRING, dtype STRING")
 
 
 def cross_source_mismatch(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
