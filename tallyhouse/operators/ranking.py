@@ -32,19 +32,19 @@ def rank_by_uniform(
     """
     buckets = buckets or bucket_count(df)
     group = list(group)
-    keyed = df.withColumn("_u", draw).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
-    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = Window.partitionBy(*group, "_b").orderBy("_u", *ties)
-    ranked = keyed.withColumn("_r", F.row_number().over(local))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_b"]]
+    keyed = df.withColumn("_draw", draw).withColumn("_bucket", F.floor(F.col("_draw") * buckets).cast("int"))
+    counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    local = Window.partitionBy(*group, "_bucket").orderBy("_draw", *ties)
+    ranked = keyed.withColumn("_place", F.row_number().over(local))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_bucket"]]
     cond = same[0]
     for extra in same[1:]:
         cond = cond & extra
     joined = ranked.alias("l").join(offsets.alias("r"), cond)
     keep = [F.col(f"l.{c}") for c in df.columns]
-    return joined.select(*keep, (F.col("_r") + F.col("_off")).alias(name))
+    return joined.select(*keep, (F.col("_place") + F.col("_offset")).alias(name))
 
 
 def split_points(df: DataFrame, column: str, buckets: int) -> list[float]:
@@ -65,21 +65,21 @@ def running_sums(
     buckets = buckets or bucket_count(df)
     cuts = split_points(df, order, buckets)
     inner = [-float("inf"), *cuts, float("inf")]
-    cut = Bucketizer(splits=inner, inputCol="_x", outputCol="_b").transform(
-        df.withColumn("_x", F.col(order).cast("double"))
+    cut = Bucketizer(splits=inner, inputCol="_order", outputCol="_bucket").transform(
+        df.withColumn("_order", F.col(order).cast("double"))
     )
     key = F.col(order).desc() if descending else F.col(order).asc()
-    bkey = F.col("_b").desc() if descending else F.col("_b").asc()
-    totals = cut.groupBy("_b").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
+    bkey = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
+    totals = cut.groupBy("_bucket").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
     before = Window.orderBy(bkey).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_b", *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in sums]
+        "_bucket", *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in sums]
     )
-    local = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     stepped = cut.select(
-        *df.columns, "_b", *[F.sum(src).over(local).alias(f"_s_{out}") for out, src in sums.items()]
+        *df.columns, "_bucket", *[F.sum(src).over(local).alias(f"_s_{out}") for out, src in sums.items()]
     )
-    return stepped.join(F.broadcast(offsets), "_b").select(
+    return stepped.join(F.broadcast(offsets), "_bucket").select(
         *df.columns, *[(F.col(f"_s_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums]
     )
 

@@ -179,17 +179,21 @@ def shuffle_columns(
 ) -> DataFrame:
     """Each column permuted on its own: margins stay, dependence goes.
 
-    Column c takes, at position r, the value of the row whose draw for c ranks r-th. The
-    first column keeps the order of its own draw as position. With ``replicas`` every row
-    is permuted that many times, each replica ranked by itself.
+    Column c takes, at position r, the value of the row whose draw for c ranks r-th. With
+    ``replicas`` the table is permuted that many times, each replica ranked by itself;
+    the first column then keeps one order, as only the order relative to it matters.
     """
-    base = df.select(key, *columns)
-    if replicas:
-        base = base.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-    group = ["replica"] if replicas else []
+    copies = F.sequence(F.lit(0), F.lit((replicas or 1) - 1))
     out = None
     for c in columns:
-        draw = uniform(f"{seed}-{c}", *group, key)
-        one = rank_by_uniform(base.select(*group, key, c), draw, [key], group, "position").select(*group, "position", c)
-        out = one if out is None else out.join(one, [*group, "position"])
+        one = df.select(key, c)
+        if replicas and out is not None:
+            many = one.withColumn("replica", F.explode(copies))
+            ranked = rank_by_uniform(many, uniform(f"{seed}-{c}", "replica", key), [key], ["replica"], "position")
+            out = out.join(ranked.select("replica", "position", c), ["replica", "position"])
+            continue
+        ranked = rank_by_uniform(one, uniform(f"{seed}-{c}", key), [key], (), "position").select("position", c)
+        if replicas:
+            ranked = ranked.withColumn("replica", F.explode(copies))
+        out = ranked if out is None else out.join(ranked, "position")
     return out
