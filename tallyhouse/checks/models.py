@@ -158,10 +158,10 @@ def platform_usage_model(spark, sf):
 
 def account_validator(spark, sf):
     c = T(spark, sf, "customer").select(
-        "c_custkey", "c_acctbal", F.concat_ws(" ", "c_mktsegment", "c_name").alias("description"),
+        "c_custkey", "c_acctbal", F.concat_ws(" ", "c_mktsegment", F.concat(F.lit("unit"), F.col("c_nationkey").cast("string"))).alias("description"),
         (uniform("same", "c_custkey") < F.when(F.col("c_mktsegment") < "F", 0.8).otherwise(0.2)).cast("int").alias("same"))
     train = uniform("m19", "c_custkey") < 0.8
-    return mo.account_validator(c.where(train), c.where(~train), "same", ["c_acctbal"], "description", trees=20)
+    return mo.account_validator(c.where(train), c.where(~train), "same", ["c_acctbal"], "description", features=64, trees=20)
 
 
 _W = SQL_WORDS.format("lower(strip_accents(text))")
@@ -188,7 +188,8 @@ QUERIES = {
         SELECT token, round(w, 7) AS weight FROM s ORDER BY abs(w) DESC, token LIMIT 40"""),
     "multi_column_counts": (multi_column_counts, f"""
         WITH t AS (SELECT conv_id, role, unnest({_W}) AS token FROM conversations WHERE role IN ('user', 'assistant')),
-        c AS (SELECT conv_id, token, role, count(*) * CASE WHEN role = 'user' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS n FROM t GROUP BY ALL)
+        k AS (SELECT conv_id, token, role, count(*) AS k FROM t GROUP BY ALL),
+        c AS (SELECT conv_id, token, k * CASE WHEN role = 'user' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS n FROM k)
         SELECT conv_id, token, max(n) AS n_max, sum(n) AS n_sum FROM c GROUP BY ALL"""),
     "weighted_counts": (weighted_counts, f"""WITH {_TC}
         SELECT doc_id, token, n * CASE WHEN token IN ('the', 'and', 'une', 'der') THEN 2.5::DOUBLE ELSE 1 END AS n FROM tc"""),

@@ -232,7 +232,10 @@ def platform_usage_model(
     df: DataFrame, target: str, categories: Sequence[str], ordered: Mapping[str, Sequence[str]], numbers: Sequence[str],
     logs: Sequence[str], reg: float = 0.1,
 ) -> DataFrame:
-    """Standardised logistic model of platform use; coefficients from most negative to most positive."""
+    """Standardised logistic model of platform use; coefficients from most negative to most positive.
+
+    Categories are sorted and the first one is the reference level.
+    """
     spark = df.sparkSession
     rows = df
     for c, levels in ordered.items():
@@ -241,8 +244,8 @@ def platform_usage_model(
     rows = numeric_preprocess(rows, logs, log=1)
     rows = rows.select("*", *[F.col(c).cast("double").alias(f"num_{c}") for c in [*numbers, *logs]])
     scaled = [f"num_{c}" for c in [*numbers, *logs]]
-    indexers = [StringIndexer(inputCol=c, outputCol=f"ix_{c}", stringOrderType="alphabetDesc", handleInvalid="keep") for c in categories]
-    encoder = OneHotEncoder(inputCols=[f"ix_{c}" for c in categories], outputCols=[f"hot_{c}" for c in categories], handleInvalid="keep")
+    indexers = [StringIndexer(inputCol=c, outputCol=f"ix_{c}", stringOrderType="alphabetDesc", handleInvalid="skip") for c in categories]
+    encoder = OneHotEncoder(inputCols=[f"ix_{c}" for c in categories], outputCols=[f"hot_{c}" for c in categories])
     assemble_num = VectorAssembler(inputCols=scaled, outputCol="_num", handleInvalid="skip")
     scaler = StandardScaler(inputCol="_num", outputCol="_std", withMean=True, withStd=True)
     assemble = VectorAssembler(
@@ -250,16 +253,14 @@ def platform_usage_model(
     )
     logit = LogisticRegression(labelCol=target, featuresCol="features", regParam=reg, standardization=False)
     fitted = Pipeline(stages=[*indexers, encoder, assemble_num, scaler, assemble, logit]).fit(rows)
-    names: list[str] = []
-    for c, stage in zip(categories, fitted.stages):
-        size = fitted.stages[len(categories)].categorySizes[categories.index(c)]
-        labels = list(stage.labels) + ["other"]
-        names += [f"{c}_{labels[i] if i < len(labels) else i}" for i in range(size)]
-    names += [*ordered, *numbers, *logs]
     coefs = fitted.stages[-1].coefficients.toArray().tolist()
-    if len(names) != len(coefs):
-        names = (names + [f"feature_{i}" for i in range(len(coefs))])[: len(coefs)]
-    table = list(zip(names, [float(c) for c in coefs]))
+    attrs = fitted.transform(rows).schema["features"].metadata["ml_attr"]["attrs"]
+    found = {a["idx"]: a.get("name", "") for kind in attrs.values() for a in kind}
+    # The scaler drops the names of its inputs, which come last and in order.
+    plain = [*numbers, *logs]
+    names = {i: n.removeprefix("hot_").removeprefix("ord_") for i, n in found.items()}
+    names.update({len(coefs) - len(plain) + i: n for i, n in enumerate(plain)})
+    table = [(names[i], float(c)) for i, c in enumerate(coefs)]
     return spark.createDataFrame(table, "feature STRING, coefficient DOUBLE").orderBy("coefficient")
 
 
