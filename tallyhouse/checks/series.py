@@ -33,12 +33,12 @@ def population_estimate(spark, sf):
     ref = vs.drop_accounts(pools.where("file = 'pool_b'").where(QUERY), "id", views.BAD_ACCOUNTS)
     sel = vs.keep_ids(vs.select_direct_text(scored), ref, "batch_user")
     df = vs.population_estimate(sel, vs.load_log(log, src), ref, factors, START)
-    return df.select(stamp("slot").alias("slot"), "n_accounts", r("pop_n_tweets", 7).alias("pop_n_tweets"), r("pop_n_hate", 7).alias("pop_n_hate"))
+    return df.select(stamp("slot").alias("slot"), "n_accounts", r("pop_n_tweets", 9).alias("pop_n_tweets"), r("pop_n_hate", 9).alias("pop_n_hate"))
 
 
 def seasonal_impute(spark, sf):
     df = _slots(spark, sf)
-    return df.select(stamp("slot").alias("slot"), r("final_n_tweets", 7).alias("final_n_tweets"), r("final_n_hate", 7).alias("final_n_hate"))
+    return df.select(stamp("slot").alias("slot"), r("final_n_tweets", 9).alias("final_n_tweets"), r("final_n_hate", 9).alias("final_n_hate"))
 
 
 def violence_series(spark, sf):
@@ -180,9 +180,9 @@ QUERIES = {
         SELECT strftime(TIMESTAMP '2024-01-01' + to_hours(k * 12), '%Y-%m-%d %H:%M:%S') AS day, t::BIGINT AS total, h::BIGINT AS violent,
           round_even(h / t * 100, 2) AS percent FROM y"""),
     "population_estimate": (population_estimate, _SERIES + """
-        SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, n_accounts, round(pt, 7) AS pop_n_tweets, round(ph, 7) AS pop_n_hate FROM e"""),
+        SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, n_accounts, round(pt, 9) AS pop_n_tweets, round(ph, 9) AS pop_n_hate FROM e"""),
     "seasonal_impute": (seasonal_impute, _IMPUTE + """
-        SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(ft, 7) AS final_n_tweets, round(fh, 7) AS final_n_hate FROM z"""),
+        SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(ft, 9) AS final_n_tweets, round(fh, 9) AS final_n_hate FROM z"""),
     "interpolate_linear": (interpolate_linear, """
         WITH d AS (SELECT ts::DATE AS day, sum(value) AS v FROM events GROUP BY 1),
         a AS (SELECT day, CASE WHEN day(day) > 2 AND day(day) % 4 <> 0 AND day(day) < 30 THEN v END AS v, row_number() OVER (ORDER BY day) AS i FROM d),
@@ -193,7 +193,7 @@ QUERIES = {
         SELECT strftime(day, '%Y-%m-%d') AS day, round(CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv
           ELSE pv + (nv - pv) / (ni - pi) * (i - pi) END, 7) AS filled FROM b"""),
     "rolling_mean": (rolling_mean, _SERIES + """
-        SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(CASE WHEN count(*) OVER f = 8 THEN avg(coalesce(round(ph, 7), 0)) OVER f END, 6) AS mean_hate
+        SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(CASE WHEN count(*) OVER f = 8 THEN avg(coalesce(round(ph, 9), 0)) OVER f END, 6) AS mean_hate
         FROM e WINDOW f AS (ORDER BY slot ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)"""),
     "top_k": (top_k, "SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 25"),
     "keep_last": (keep_last, """

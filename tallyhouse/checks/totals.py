@@ -182,7 +182,7 @@ def capture_stats(spark, sf):
     m = views.mentions(spark, sf).withColumn("start", F.col("batch_time") - F.expr("INTERVAL 3 HOURS"))
     df = to.capture_stats(m, ["batch_time", "batch_user"], "created_at", "start", "batch_time", 3, F.col("event_type") == "error")
     return df.select(stamp("batch_time").alias("batch_time"), "batch_user", "n_mentions", "n_errors",
-                     *[r(c).alias(c) for c in ("expected_hours", "covered_hours", "t_win_weight")])
+                     *[r(c, 10).alias(c) for c in ("expected_hours", "covered_hours", "t_win_weight")])
 
 
 def error_profile(spark, sf):
@@ -328,8 +328,8 @@ QUERIES = {
     "capture_stats": (capture_stats, f"""WITH {M}, g AS (SELECT batch_time, batch_user, count(*) AS n,
           count(*) FILTER (WHERE event_type = 'error') AS e, (epoch_us(max(created_at)) - epoch_us(min(created_at))) / 3600000000.0::DOUBLE AS c FROM m GROUP BY 1, 2)
         SELECT strftime(batch_time, '%Y-%m-%d %H:%M:%S') AS batch_time, batch_user, n AS n_mentions, e AS n_errors,
-          3.0::DOUBLE AS expected_hours, round(c, 8) AS covered_hours,
-          round(CASE WHEN n >= 3 THEN CASE WHEN c > 0 THEN 3.0::DOUBLE / c END ELSE 1.0::DOUBLE END, 8) AS t_win_weight FROM g"""),
+          3.0::DOUBLE AS expected_hours, round(c, 10) AS covered_hours,
+          round(CASE WHEN n >= 3 THEN CASE WHEN c > 0 THEN 3.0::DOUBLE / c END ELSE 1.0::DOUBLE END, 10) AS t_win_weight FROM g"""),
     "error_profile": (error_profile, f"""WITH {M}, {LOG}
         SELECT id, strftime(max(batch_time), '%Y-%m-%d %H:%M:%S') AS last, arg_max(status, batch_time) AS status,
           count(*) FILTER (WHERE status = 'error') AS n_errors FROM lg GROUP BY 1"""),

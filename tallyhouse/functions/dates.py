@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.text import let
 from tallyhouse.operators.filters import map_values
 
 # Month names, long and short, Portuguese and English.
@@ -40,11 +41,6 @@ def _two_digits(s: Column) -> Column:
     return F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, so that nested rules stay small."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _checked_digits(p: Column) -> Column:
     """Day clamped to the month; null when the month does not exist."""
     top = map_values(p["m"], MONTH_DAYS, default="null")
@@ -55,7 +51,7 @@ def _checked_digits(p: Column) -> Column:
         return _parts(F.when((d == "29") & common, "28").otherwise(d), p["m"], p["y"])
 
     clamped = F.when(number > top, (number - 1).cast("string")).otherwise(p["d"])
-    return F.when(p.isNotNull() & top.isNotNull(), _let(clamped, place))
+    return F.when(p.isNotNull() & top.isNotNull(), let(clamped, place))
 
 
 def _split_parts(s: Column, sep: str) -> Column:
@@ -63,7 +59,7 @@ def _split_parts(s: Column, sep: str) -> Column:
         rest = F.when(F.size(a) > 3, F.concat(F.lit("/"), F.array_join(F.slice(a, 4, 100), "/"))).otherwise("")
         return F.when(F.size(a) >= 3, _parts(F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(a, F.lit(2)), rest))
 
-    return _let(F.split(s, sep), place)
+    return let(F.split(s, sep), place)
 
 
 def _named_month(p: Column) -> Column:
@@ -108,11 +104,11 @@ def format_legacy_date(col: Column) -> Column:
     )
     all_digits = s.rlike("^[0-9]+$")
     parts = (
-        F.when(s.contains(" "), spaced).when(all_digits, _let(plain, _checked_digits))
-        .when(s.contains("-"), _let(_split_parts(s, "-"), _named_month)).otherwise(_split_parts(s, "/"))
+        F.when(s.contains(" "), spaced).when(all_digits, let(plain, _checked_digits))
+        .when(s.contains("-"), let(_split_parts(s, "-"), _named_month)).otherwise(_split_parts(s, "/"))
     )
     unreadable = all_digits & (n == 7) & ~middle_year & ~short_year
-    return F.when(s.isNull(), "").when(unreadable, s).otherwise(_let(parts, _join_parts))
+    return F.when(s.isNull(), "").when(unreadable, s).otherwise(let(parts, _join_parts))
 
 
 def date_replace(col: Column, year: int | None = None, month: int | None = None, day: int | None = None) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,11 +66,17 @@ def _accent_table() -> tuple[str, str]:
 
 
 _ACCENT_FROM, _ACCENT_TO = _accent_table()
+_MARKS = "".join(chr(c) for c in range(0x300, 0x370))  # combining marks, dropped by translate
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip_accents(col: Column) -> Column:
     """All Latin, Greek and Cyrillic accents removed, combining marks dropped."""
-    return F.translate(F.regexp_replace(col, "[\\u0300-\\u036f]", ""), _ACCENT_FROM, _ACCENT_TO)
+    return F.translate(col, _ACCENT_FROM + _MARKS, _ACCENT_TO)
 
 
 def squeeze(col: Column) -> Column:
@@ -144,7 +150,7 @@ def str_join(columns: Sequence[Column], delim: str) -> Column:
 def tokens(col: Column, accents: bool = False) -> Column:
     """Lower-case words of at least two word characters, accents removed unless kept."""
     low = F.lower(col) if accents else F.lower(strip_accents(col))
-    return F.regexp_extract_all(low, F.lit(r"(?U)\b\w\w+\b"), 0)
+    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
 
 
 # Fixed patterns: insults with the letter swaps used to hide them.

@@ -107,17 +107,22 @@ def guess_data_types(df: DataFrame, max_mag: float = 2, max_int: int = 30) -> Da
     aggs = []
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        text, number = c.cast("string"), c.try_cast("double")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            text = F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("decimal(38,10)").cast("string"))
+        number = c.try_cast("double")
         whole = F.signum(number) * F.floor(F.abs(number))
+        size = F.abs(number)
+        if isinstance(f.dataType, T.NumericType):
+            # What the digits of a number would show: an exponent, a leading zero.
+            odd = c.isNull() | F.isnan(number) | (size >= 1e16) | ((size > 0) & (size < 1e-4))
+            dash, zero = F.lit(False), (number >= 0) & (number < 1)
+        else:
+            text = c.cast("string")
+            odd = c.isNull() | text.rlike(r"[^\d,.\-]")
+            dash, zero = text.contains("-") & ~text.rlike(r"^-[\d.,]+"), text.rlike("^0")
         aggs += [
-            F.bool_or(c.isNull() | text.rlike(r"[^\d,.\-]")).alias(f"odd{i}"),
-            F.bool_or(text.contains("-") & ~text.rlike(r"^-[\d.,]+")).alias(f"dash{i}"),
-            F.bool_or(F.abs(number - whole) > 1e-8 + 1e-5 * F.abs(number)).alias(f"frac{i}"),
-            F.bool_or(text.rlike("^0")).alias(f"zero{i}"),
+            F.bool_or(odd).alias(f"odd{i}"), F.bool_or(dash).alias(f"dash{i}"),
+            F.bool_or(F.abs(number - whole) > 1e-8 + 1e-5 * size).alias(f"frac{i}"), F.bool_or(zero).alias(f"zero{i}"),
             F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"),
-            F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), F.lit(12))).alias(f"few{i}"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c), F.lit(12))).alias(f"few{i}"),
         ]
     seen = df.agg(*aggs).first() if aggs else {}
 

@@ -16,6 +16,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,12 +219,16 @@ def text_clusters(
     rows = with_tokens(df, text).withColumn("tokens", F.filter("tokens", lambda t: ~F.array_contains(stop, t)))
     counted = CountVectorizer(inputCol="tokens", outputCol="_tf", vocabSize=vocabulary, minDF=min_df).fit(rows)
     size = len(counted.vocabulary)
-    stages = Pipeline(stages=[
-        counted, IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit"),
+    # The fits below read the counts many times; texts are tokenised for them only once.
+    counts = counted.transform(rows).select(*df.columns, "_tf")
+    held = counts.select("_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = Pipeline(stages=[
+        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit"),
         PCA(k=min(components, size), inputCol="_unit", outputCol="_pc"),
         KMeans(k=k, featuresCol="_pc", predictionCol="cluster_id", seed=seed),
-    ])
-    out = stages.fit(rows).transform(rows).select(*df.columns, "cluster_id")
+    ]).fit(held)
+    held.unpersist()
+    out = fitted.transform(counts).select(*df.columns, "cluster_id")
     sizes = out.groupBy("cluster_id").agg((1.0 / F.count(F.lit(1))).alias("cluster_weight"))
     return out.join(sizes, "cluster_id").select(*df.columns, "cluster_id", "cluster_weight")
 

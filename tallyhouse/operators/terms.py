@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.text import PUNCTUATION, tokens, typo_pattern
+from tallyhouse.functions.text import PUNCTUATION, let, tokens, typo_pattern
 
 # Words of links that say nothing about the platform.
 URL_STOPWORDS = (
@@ -17,6 +17,15 @@ URL_STOPWORDS = (
 ).split()
 
 
+def exploded(df: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """One row per word. The outer form keeps Spark from testing the computed array for
+    emptiness first, which would cut every text into words once more."""
+    return df.select(*keep, F.explode_outer(words).alias("token")).where("token IS NOT NULL")
+
+
+NAME_LIMIT = 200  # names that may travel inside the query
+
+
 def frequent_names(names: DataFrame, column: str, more_than: int) -> DataFrame:
     """Words seen more than ``more_than`` times in a column of names."""
     words = names.select(F.explode(tokens(F.regexp_replace(column, r"\d+", " "), accents=True)).alias("token"))
@@ -34,24 +43,34 @@ def ngram_counts(
     """Total count and document count of words and word pairs found in >= ``min_df`` documents.
 
     Each document emits its terms once for the totals and once, deduplicated, for the
-    document count, so that both are plain sums combined before the only shuffle.
+    document count, so that both are plain sums combined before the only shuffle. A short
+    table of ``names`` joins the stop words; a long one is taken out by a join on the
+    words, after which each document is put together again.
     """
-    base = df.select(F.col(key).alias("_key"), words.alias("_w"))
+    if names is not None:
+        few = [row["token"] for row in names.limit(NAME_LIMIT + 1).collect()]
+        if len(few) <= NAME_LIMIT:
+            stopwords, names = [*stopwords, *few], None
     if stopwords:
         stop = F.array(*[F.lit(w) for w in stopwords])
-        base = base.withColumn("_w", F.filter("_w", lambda t: ~F.array_contains(stop, t)))
+        words = F.filter(words, lambda t: ~F.array_contains(stop, t))
+    base = df.select(F.col(key).alias("_key"), words.alias("_w"))
     if names is not None:
         flat = base.select("_key", F.posexplode("_w").alias("_p", "token")).join(names, "token", "left_anti")
         base = flat.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_p", "token"))).alias("_s")).select(
             "_key", F.col("_s.token").alias("_w")
         )
-    tail = F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0)))
-    head = F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))
-    pairs = F.zip_with(head, tail, lambda a, b: F.concat_ws(" ", a, b))
-    terms = base.select(F.concat("_w", F.when(F.size("_w") > 1, pairs).otherwise(F.array().cast("array<string>"))).alias("_t"))
-    once = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
-    every = F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
-    counted = terms.select(F.explode(F.concat(every, once)).alias("c")).groupBy("c.term").agg(
+
+    def with_pairs(w: Column) -> Column:
+        ends = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, ends), F.slice(w, 2, ends), lambda a, b: F.concat_ws(" ", a, b)))
+
+    def entries(t: Column) -> Column:
+        once = F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
+        return F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))), once)
+
+    terms = base.select(let(F.col("_w"), lambda w: let(with_pairs(w), entries)).alias("_e"))
+    counted = terms.select(F.explode_outer("_e").alias("c")).where("c IS NOT NULL").groupBy("c.term").agg(
         F.sum("c.n").alias("n"), F.sum("c.d").alias("n_docs")
     )
     return counted.where(F.col("n_docs") >= min_df)
@@ -59,13 +78,13 @@ def ngram_counts(
 
 def vocab_size(df: DataFrame, text: str) -> DataFrame:
     """Distinct words of a corpus, accents and case ignored."""
-    words = df.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
+    words = exploded(df, F.array_distinct(tokens(F.col(text))))
     return words.agg(F.count_distinct("token").alias("vocabulary"))
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Words of each document with their counts (long form of a term matrix)."""
-    words = df.select(key, F.explode(tokens(F.col(text))).alias("token"))
+    words = exploded(df, tokens(F.col(text)), key)
     return words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -99,7 +118,7 @@ def typo_matches(df: DataFrame, key: str, text: str, terms: Sequence[str]) -> Da
 
     Words of the corpus are counted first; only distinct words meet the patterns.
     """
-    words = df.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = exploded(df, tokens(F.col(text))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     found = F.array_compact(F.array(*[F.when(F.col("token").rlike(typo_pattern(t)), t) for t in terms]))
     return words.select(F.explode(found).alias("term"), "token", "n")
 
@@ -117,11 +136,11 @@ def complement_weights(counts: DataFrame, labels: DataFrame, key: str, label: st
     totals = per.agg(
         F.sum("_all").alias("a"), F.sum("_pos").alias("p"), F.count(F.lit(1)).alias("v")
     )
-    t = lambda c: totals.select(F.col(c).cast("double")).scalar()
-    smooth = t("v") * F.lit(float(alpha))
-    w0 = -F.ln((F.col("_pos") + F.lit(float(alpha))) / (t("p") + smooth))
-    w1 = -F.ln((F.col("_all") - F.col("_pos") + F.lit(float(alpha))) / (t("a") - t("p") + smooth))
-    return per.select("token", w0.alias("w0"), w1.alias("w1"))
+    both = per.withColumn("_t", totals.select(F.struct(*[F.col(c).cast("double").alias(c) for c in "apv"])).scalar())
+    a, smooth = F.lit(float(alpha)), F.col("_t.v") * F.lit(float(alpha))
+    w0 = -F.ln((F.col("_pos") + a) / (F.col("_t.p") + smooth))
+    w1 = -F.ln((F.col("_all") - F.col("_pos") + a) / (F.col("_t.a") - F.col("_t.p") + smooth))
+    return both.select("token", w0.alias("w0"), w1.alias("w1"))
 
 
 def complement_scores(counts: DataFrame, weights: DataFrame, docs: DataFrame, key: str) -> DataFrame:
