@@ -10,6 +10,8 @@ from tallyhouse.functions.hashing import uniform
 from tallyhouse.operators import agreement as ag
 from tallyhouse.operators import posterior as po
 from tallyhouse.operators import resampling as rs
+from tallyhouse.checks.totals import _USE, _urls
+from tallyhouse.plans.register import platform_report as report
 from tallyhouse.views import sql_uniform as U
 
 
@@ -136,6 +138,11 @@ def interval_errors(spark, sf):
     return df.select("lang", r("err_low", 8).alias("err_low"), r("err_high", 8).alias("err_high"))
 
 
+def platform_report(spark, sf):
+    df = report(T(spark, sf, "customer"), _urls(spark, sf), "c_custkey", "url", "c_mktsegment", ["facebook", "website", "nenhuma"], 0.001)
+    return df.select("c_mktsegment", "column", "trials", "successes", r("low", 6).alias("low"), r("high", 6).alias("high"))
+
+
 def _judged(spark, sf):
     """Mentions with a human label that is likelier for high scores; one in five has no vote."""
     m = views.mentions(spark, sf).select("id", "event_type", "hate_score")
@@ -277,6 +284,10 @@ QUERIES = {
         SELECT lang, c AS "column", n AS trials, k AS successes, round(k / n, 9) AS freq, round(low, 6) AS low, round(high, 6) AS high FROM gs JOIN ci USING (g)"""),
     "interval_errors": (interval_errors, f"""WITH {_LANG}, gs AS (SELECT lang AS g, (SELECT avg(toxic) FROM labels) AS mode, count(*) AS n, sum(toxic)::BIGINT AS k FROM l GROUP BY 1),
         {_posterior('gs', 0.001)} SELECT g AS lang, round(k / n - low, 8) AS err_low, round(high - k / n, 8) AS err_high FROM gs JOIN ci USING (g)"""),
+    "platform_report": (platform_report, _USE + f""", cu0 AS (SELECT c_mktsegment, u.* FROM u JOIN customer USING (c_custkey)),
+        gs AS (""" + " UNION ALL ".join(f"SELECT c_mktsegment || '/{c}' AS g, c_mktsegment, '{c}' AS c, (SELECT avg({c}) FROM u) AS mode, count(*) AS n, sum({c})::BIGINT AS k FROM cu0 GROUP BY c_mktsegment"
+          for c in ("facebook", "website", "nenhuma")) + f"""), {_posterior('gs', 0.001)}
+        SELECT c_mktsegment, c AS "column", n AS trials, k AS successes, round(low, 6) AS low, round(high, 6) AS high FROM gs JOIN ci USING (g)"""),
     "score_calibration": (score_calibration, f"""WITH {_JUDGED}, {_posterior('jb', 0.0001)}
         SELECT g AS bin, n AS trials, k AS successes, round(x, 9) AS mean_score, round(low, 6) AS low, round(high, 6) AS high FROM jb JOIN ci USING (g)"""),
     "calibration_posterior": (calibration_posterior, _CAL + " SELECT round(a, 6) AS a, round(b, 6) AS b, round(d, 6) AS density FROM po"),

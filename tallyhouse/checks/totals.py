@@ -117,13 +117,16 @@ def user_hate_totals(spark, sf):
 _FLAGS = ["facebook", "twitter", "instagram", "youtube", "website", "nenhuma"]
 
 
-def _links(spark, sf):
+def _urls(spark, sf):
     """Page links moved to well-known hosts by page number."""
     k = F.col("page_id") % 6
     host = F.when(k == 0, "facebook").when(k == 1, "twitter").when(k == 2, "instagram").when(k == 3, "youtube").otherwise("example")
     p = T(spark, sf, "pages").select((F.col("page_id") % 97).alias("c_custkey"), F.regexp_replace("url", "example", "{h}").alias("u"), host.alias("h"))
-    p = p.withColumn("url", F.expr("replace(u, '{h}', h)"))
-    return p.select("c_custkey", *platform_flags(F.col("url")))
+    return p.select("c_custkey", F.expr("replace(u, '{h}', h)").alias("url"))
+
+
+def _links(spark, sf):
+    return _urls(spark, sf).select("c_custkey", *platform_flags(F.col("url")))
 
 
 def platform_use(spark, sf):

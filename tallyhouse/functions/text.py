@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accented letters of Portuguese, their plain letters, and punctuation.
 ACCENTED = "ÇÃÁÀÂÉÊÍÕÓÔÚÜçãáàâéêíõóôúüÈÖÑèöñËëÄä"
@@ -115,7 +116,7 @@ def replace_bold_unicode(col: Column) -> Column:
     return F.translate(col, STYLED, UNSTYLED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

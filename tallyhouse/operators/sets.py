@@ -52,10 +52,13 @@ def drop_duplicates_but(df: DataFrame, ignored: str) -> DataFrame:
 
 
 def find_double_entries(df: DataFrame, key: str, n: int = 1, dropna: bool = True) -> DataFrame:
-    """All rows whose key occurs more than ``n`` times, keys in descending order."""
+    """All rows whose key occurs more than ``n`` times, keys in descending order.
+
+    A hash of the row breaks ties, which lets the sort split a hot key over tasks.
+    """
     rows = df.where(F.col(key).isNotNull()) if dropna else df
     counted = with_group_count(rows, [key], "n_rows")
-    return counted.where(F.col("n_rows") > n).orderBy(F.col(key).desc())
+    return counted.where(F.col("n_rows") > n).orderBy(F.col(key).desc(), F.xxhash64(*df.columns))
 
 
 def is_key(df: DataFrame, columns: Sequence[str]) -> DataFrame:

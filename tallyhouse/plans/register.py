@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.urls import platform_flags
 from tallyhouse.operators.joins import attach
-from tallyhouse.operators.totals import asset_features
+from tallyhouse.operators.posterior import binomial_stats
+from tallyhouse.operators.totals import asset_features, platform_use
 
 
 def candidate_table(people: DataFrame, units: DataFrame, assets: DataFrame, votes: DataFrame) -> DataFrame:
@@ -27,3 +31,15 @@ def candidate_table(people: DataFrame, units: DataFrame, assets: DataFrame, vote
     df = attach(df, voters, ["c_nationkey"])
     df = attach(df, owned, ["c_custkey"], {"n_assets": 0, "asset_value": 0.0})
     return attach(df, polled, ["c_custkey"])
+
+
+def platform_report(
+    people: DataFrame, links: DataFrame, key: str, url: str, by: str, flags: Sequence[str], dp: float = 1e-4
+) -> DataFrame:
+    """Share of people using each platform per category, with credible intervals.
+
+    ``links`` holds the declared links; equal links of a person count once.
+    """
+    flagged = links.dropDuplicates([key, url]).select(key, *platform_flags(F.col(url)))
+    use = platform_use(people.select(key, by), flagged, key, flags)
+    return binomial_stats(use, by, list(flags), dp=dp)
