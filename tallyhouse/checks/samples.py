@@ -17,8 +17,9 @@ def _pool(spark, sf):
 
 def plan_batch(spark, sf):
     pool = _pool(spark, sf)
-    first = sm.plan_batch(pool, 200, "2022-08-16 03:30:00", "a")
-    second = sm.plan_batch(pool, 200, "2022-08-16 06:30:00", "b", previous=first)
+    n = pool.count() // 4
+    first = sm.plan_batch(pool, n, "2022-08-16 03:30:00", "a")
+    second = sm.plan_batch(pool, n, "2022-08-16 06:30:00", "b", previous=first)
     return first.union(second).select("id", "batch_size", stamp("batch_time").alias("batch_time"), "status")
 
 
@@ -82,13 +83,13 @@ def shuffle_columns(spark, sf):
 
 
 _W = "1.0::DOUBLE / (1 + c_nationkey % 4)"
-_BATCH = f"""a AS (SELECT c_custkey AS id FROM customer ORDER BY -ln({U('a', 'c_custkey')}) / ({_W}), c_custkey LIMIT 200),
-  b AS (SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT id FROM a) ORDER BY -ln({U('b', 'c_custkey')}) / ({_W}), c_custkey LIMIT 200)"""
+_BATCH = f"""a AS (SELECT c_custkey AS id FROM customer ORDER BY -ln({U('a', 'c_custkey')}) / ({_W}), c_custkey LIMIT (SELECT count(*) // 4 FROM customer)),
+  b AS (SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT id FROM a) ORDER BY -ln({U('b', 'c_custkey')}) / ({_W}), c_custkey LIMIT (SELECT count(*) // 4 FROM customer))"""
 
 QUERIES = {
     "plan_batch": (plan_batch, f"""WITH {_BATCH}
-        SELECT id, 200::BIGINT AS batch_size, '2022-08-16 03:30:00' AS batch_time, 'queue' AS status FROM a
-        UNION ALL SELECT id, 200, '2022-08-16 06:30:00', 'queue' FROM b"""),
+        SELECT id, (SELECT count(*) // 4 FROM customer)::BIGINT AS batch_size, '2022-08-16 03:30:00' AS batch_time, 'queue' AS status FROM a
+        UNION ALL SELECT id, (SELECT count(*) // 4 FROM customer), '2022-08-16 06:30:00', 'queue' FROM b"""),
     "popular_targets": (popular_targets, f"""WITH {M}
         SELECT id, batch_user FROM m WHERE batch_user IN (SELECT c_custkey FROM customer WHERE c_mktsegment < 'G')
         QUALIFY count(*) OVER (PARTITION BY batch_user) >= 65"""),

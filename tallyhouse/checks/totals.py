@@ -346,7 +346,7 @@ QUERIES = {
     "ngram_counts": (ngram_counts, f"""
         WITH names AS (SELECT t FROM (SELECT unnest({SQL_WORDS.format("lower(regexp_replace(p_name, '[0-9]+', ' ', 'g'))")}) AS t FROM part)
           GROUP BY t HAVING count(*) > 100),
-        stop AS (SELECT list(t) || {_STOP} AS s FROM names),
+        stop AS (SELECT coalesce(list(t), []) || {_STOP} AS s FROM names),
         w AS (SELECT doc_id, list_filter({SQL_WORDS.format(f"regexp_replace(translate(lower(text), '{_PUNCT}', '{' ' * len(tx.PUNCTUATION)}'), '[0-9]+', '', 'g')")},
           lambda t: NOT list_contains(s, t)) AS w FROM documents, stop),
         t AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL
