@@ -10,7 +10,7 @@ import tallyhouse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import passages, pieces
+from tallyhouse.llm import backoff, benchmarks, jaccard, language, linkgraph, passages, pieces, sharding
 
 
 def with_code(spark: SparkSession) -> SparkSession:
@@ -35,15 +35,68 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return with_code(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_sharding(spark, sf):
+    return sharding.assign(table(spark, sf, "documents")).select("doc_id", "shard", "depth", "page", "n_bytes")
+
+
+def op2_url_filters(spark, sf):
+    judged = linkgraph.judge(table(spark, sf, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op3_lm_scoring(spark, sf):
+    return backoff.score(table(spark, sf, "documents"))
+
+
 def op4_substring_dedup(spark, sf):
     return passages.remove_repeated(table(spark, sf, "documents"), with_text=False, keep=["doc_id"])
 
 
+def op5_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.train(docs.where(language.fold() != 2))
+    held_out = F.coalesce(language.fold() == 2, F.lit(False)).alias("held_out")
+    return language.predict(docs, model, keep=["doc_id"]).select("doc_id", held_out, "lang_pred", "score", "langs")
+
+
+def op6_ngram_jaccard_join(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def op7_benchmark_decontamination(spark, sf):
+    return benchmarks.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op10_sentencepiece(spark, sf):
     return pieces.encode_and_check(table(spark, sf, "documents"), pieces.default_vocabulary())
 
 
+# The shard of a row is the shortest prefix of its key's bits whose bucket fits, or the first that has one row.
+OP1_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS bits, coalesce(strlen(text), 0) AS n_bytes FROM documents),
+levels AS (SELECT doc_id, n_bytes, bits, unnest(range(0, 61)) AS depth FROM sized),
+buckets AS (
+  SELECT depth, bits >> CAST(60 - depth AS INTEGER) AS prefix, sum(n_bytes) AS bytes, count(*) AS n FROM levels GROUP BY 1, 2),
+fitting AS (
+  SELECT l.doc_id, l.n_bytes, l.bits, min(l.depth) AS depth FROM levels l
+  JOIN buckets b ON b.depth = l.depth AND b.prefix = l.bits >> CAST(60 - l.depth AS INTEGER)
+  WHERE b.bytes <= {sharding.LIMIT_BYTES} OR b.n = 1 GROUP BY 1, 2, 3)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE left(lpad(bin(bits), 60, '0'), CAST(depth AS INTEGER)) END AS shard,
+       CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS page, CAST(n_bytes AS BIGINT) AS n_bytes
+FROM fitting
+"""
+
 QUERIES = {
+    "op1_sharding": (op1_sharding, OP1_SQL),
+    "op2_url_filters": (op2_url_filters, None),
+    "op3_lm_scoring": (op3_lm_scoring, None),
     "op4_substring_dedup": (op4_substring_dedup, None),
+    "op5_language_id": (op5_language_id, None),
+    "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
+    "op7_benchmark_decontamination": (op7_benchmark_decontamination, None),
     "op10_sentencepiece": (op10_sentencepiece, None),
 }

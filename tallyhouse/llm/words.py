@@ -157,3 +157,11 @@ def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, from one aggregate over the input."""
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def grams_down(rows: np.ndarray, seed: int) -> np.ndarray:
+    """One hash per column of a matrix of hashes."""
+    out = np.full(rows.shape[1], seed, dtype=_U)
+    for row in rows:
+        out = out * _U(0x9E3779B97F4A7C15) + row
+    return mix(out)
