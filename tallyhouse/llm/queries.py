@@ -10,7 +10,7 @@ import tallyhouse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import backoff, benchmarks, jaccard, language, linkgraph, passages, pieces, sharding
+from tallyhouse.llm import backoff, benchmarks, extraction, jaccard, language, linkgraph, passages, pieces, quality, sharding
 
 
 def with_code(spark: SparkSession) -> SparkSession:
@@ -70,6 +70,16 @@ def op7_benchmark_decontamination(spark, sf):
     return benchmarks.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op8_html_extraction(spark, sf):
+    found = extraction.extract(table(spark, sf, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_quality_rules(spark, sf):
+    trusted = table(spark, sf, "labels").where("quality = 1 and toxic = 0")
+    return quality.judge(table(spark, sf, "documents"), trusted)
+
+
 def op10_sentencepiece(spark, sf):
     return pieces.encode_and_check(table(spark, sf, "documents"), pieces.default_vocabulary())
 
@@ -98,5 +108,7 @@ QUERIES = {
     "op5_language_id": (op5_language_id, None),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, None),
+    "op8_html_extraction": (op8_html_extraction, None),
+    "op9_quality_rules": (op9_quality_rules, None),
     "op10_sentencepiece": (op10_sentencepiece, None),
 }
