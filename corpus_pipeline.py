@@ -1,23 +1,46 @@
-"""A corpus from raw documents to ids: each stage works on all that its predecessor kept."""
+"""A corpus from raw documents to piece ids. Each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import passages, pieces
-from tallyhouse.llm.queries import with_code
+from tallyhouse.llm import benchmarks, jaccard, language, passages, pieces
+from tallyhouse.llm.queries import table, with_code
 from tallyhouse.llm.saved import saved
 
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without letters go, and those in which no language has half of the words."""
+    with_code(spark)
+    model = language.train(docs.where(language.fold() != 2))
+    judged = language.predict(docs, model)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays, the one with the smallest id."""
+    with_code(spark)
+    return jaccard.one_per_group(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that repeat go; the text of other documents is unchanged, and all documents stay."""
+    """Words of passages that repeat go; all documents stay, and the texts of those without repeats are unchanged."""
     with_code(spark)
     done = passages.remove_repeated(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return done.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+    changed = F.col("n_removed") > 0
+    size = dict(docs.dtypes)["n_chars"]
+    return done.withColumns({
+        "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.length("kept_text").cast(size)).otherwise(F.col("n_chars")),
+    }).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return benchmarks.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +49,19 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.encode_and_check(docs, pieces.default_vocabulary())
 
 
-STAGES = [("substring_dedup", substring_dedup), ("sentencepiece", sentencepiece)]
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+ORACLE_SQL = None  # SQL cannot express the language mixture, the MinHash bands or the piece search
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder; what each stage keeps is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
