@@ -21,6 +21,8 @@ repeated rows give repeated results, and extra columns are kept.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ from tallyhouse.llm.words import lists
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 250_000
 
 
 class Vocabulary:
@@ -45,8 +47,8 @@ class Vocabulary:
         self.pieces = pieces
         self.byte_ids = byte_ids
         self.surfaces = surfaces
+        self.name = hashlib.sha256(repr(sorted(pieces.items())).encode()).digest()
         self.longest = max(map(len, pieces), default=1)
-        self.heads = {p[:n] for p in pieces for n in range(1, len(p))}  # proper prefixes: these can still grow
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         # No piece holds a space after another character, or a newline: then both always separate paths.
         self.separable = not any(re.search(r"[^ ] |\n", p) for p in pieces if len(p) > 1)
@@ -78,59 +80,63 @@ class Viterbi:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        # Every piece and every proper prefix of one: (id, or -1 if it is no piece; score; whether it can grow).
-        self.table = {p: (-1, 0.0, True) for p in vocabulary.heads}
-        self.table |= {p: (i, s, p in vocabulary.heads) for p, (i, s) in vocabulary.pieces.items()}
+        # Tree of characters: (id, or -1 if no piece ends here; score; branches or None).
+        self.tree: dict = {}
+        for text, (i, value) in sorted(vocabulary.pieces.items(), key=lambda x: -len(x[0])):
+            level = self.tree
+            for c in text[:-1]:
+                if c not in level or level[c][2] is None:
+                    level[c] = (*level.get(c, (-1, 0.0))[:2], {})
+                level = level[c][2]
+            level[text[-1]] = (i, value, level[text[-1]][2] if text[-1] in level else None)
         self.most_live = 0  # positions kept at once, for tests
 
     def ids(self, text: str) -> list[int]:
         """Best ids of a text, committed piece by piece."""
-        find, unknown, patience = self.table.get, self.v.unknown, 4 * self.v.longest
+        tree, unknown, n = self.tree, self.v.unknown, len(text)
+        patience = 4 * self.v.longest
+        room = min(n, patience + 2 * self.v.longest) + 1
         out: list[int] = []
-        n, base, reach = len(text), 0, 0  # all before base is committed; no piece found so far goes beyond reach
-        score, start, piece = [0.0], [0], [-1]  # by position from base on: best score, and the last piece of that path
+        base = reach = 0  # all before base is committed; no piece found so far goes beyond reach
+        # By position from base on: best score, and start and id of the last piece of that path.
+        score, start, piece = [-math.inf] * room, [0] * room, [-1] * room
+        score[0] = 0.0
         for i in range(n):
-            if i == reach and i > base:  # no live piece crosses this boundary: all paths converge on it
-                self._commit(text, base, i - base, start, piece, out)
-                base, score, start, piece = i, [0.0], [0], [-1]
-            elif i - base > patience:
-                at = self._converge(i - base, reach - base, start)
-                if at:
-                    self._commit(text, base, at, start, piece, out)
-                    base, score, start, piece = base + at, score[at:], [x - at for x in start[at:]], piece[at:]
             k = i - base
-            here, j, single = score[k], i + 1, False
-            while j <= n:
-                hit = find(text[i:j])
-                if hit is None:
-                    break
-                if hit[0] >= 0:
-                    total = here + hit[1]
+            if k > patience:
+                at = k if i == reach else self._converge(k, reach - base, start)
+                if at:  # all surviving paths share this boundary
+                    self._commit(text, base, at, start, piece, out)
+                    base, k = base + at, k - at
+                    score = score[at:] + [-math.inf] * at
+                    start, piece = [x - at for x in start[at:]] + [0] * at, piece[at:] + [-1] * at
+                elif reach - base + self.v.longest >= len(score):
+                    score += [-math.inf] * room
+                    start += [0] * room
+                    piece += [-1] * room
+            here = score[k]
+            hit = tree.get(text[i])
+            e, j = k + 1, i + 1
+            if hit is None or hit[0] < 0:
+                if here + unknown > score[e]:
+                    score[e], start[e], piece[e] = here + unknown, k, -1
+                if j > reach:
+                    reach = j
+            while hit is not None:
+                number, gain, branches = hit
+                if number >= 0:
+                    if here + gain > score[e]:
+                        score[e] = here + gain
+                        start[e] = k
+                        piece[e] = number
                     if j > reach:
-                        grow = j - reach
-                        score += [None] * grow
-                        start += [0] * grow
-                        piece += [-1] * grow
                         reach = j
-                    e = j - base
-                    if score[e] is None or total > score[e]:
-                        score[e], start[e], piece[e] = total, k, hit[0]
-                    if j == i + 1:
-                        single = True
-                if not hit[2]:
+                if branches is None or j >= n:
                     break
+                hit = branches.get(text[j])
+                e += 1
                 j += 1
-            if not single:
-                total, e = here + unknown, k + 1
-                if reach < i + 1:
-                    score.append(None)
-                    start.append(0)
-                    piece.append(-1)
-                    reach = i + 1
-                if score[e] is None or total > score[e]:
-                    score[e], start[e], piece[e] = total, k, -1
-            if len(score) > self.most_live:
-                self.most_live = len(score)
+        self.most_live = max(self.most_live, len(score))
         if n > base:
             self._commit(text, base, n - base, start, piece, out)
         return out
@@ -185,6 +191,18 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.UNITS.findall(text)))
 
 
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """Encoder of a Python worker, kept with its memo for later tasks."""
+    name = vocabulary.name
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(vocabulary)
+    return _ENCODERS[name]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each whole text as an array of int."""
     schema = T.StructType([f for f in docs.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
@@ -193,7 +211,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
     kept = [f.name for f in docs.schema if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             for first in range(0, max(batch.num_rows, 1), 500):
