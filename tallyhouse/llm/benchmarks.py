@@ -275,5 +275,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Documents that hold no item, with their columns."""
     bad = matches(docs, benchmark, row_id, text, **options).select("row_key").distinct()
-    return (docs.withColumn("_row_key", W.row_key(row_id, text))
-            .join(bad.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti").drop("_row_key"))
+    return (docs.withColumn("__th_key", W.row_key(row_id, text))
+            .join(bad.withColumnRenamed("row_key", "__th_key"), "__th_key", "left_anti").drop("__th_key"))

@@ -222,7 +222,7 @@ def one_per_group(docs: DataFrame, row_id: str = "doc_id", text: str = "text", *
     """
     found = saved(near_duplicates(docs, row_id, text, **options), "near")
     grouped = found.groupBy("component").agg(F.min(F.struct(F.col(row_id).alias("i"), F.col("key").alias("k"))).alias("least"), F.count(F.lit(1)).alias("n"))
-    keys = grouped.select(F.col("least.k").alias("_row_key"), (F.col("n") > 1).alias("_many"))
-    joined = docs.withColumn("_row_key", W.row_key(row_id, text)).join(keys.dropDuplicates(["_row_key"]), "_row_key")
-    many = joined.where("_many").dropDuplicates(["_row_key"])
-    return joined.where("not _many").unionByName(many).drop("_row_key", "_many")
+    keys = grouped.select(F.col("least.k").alias("__th_key"), (F.col("n") > 1).alias("__th_many"))
+    joined = docs.withColumn("__th_key", W.row_key(row_id, text)).join(keys.dropDuplicates(["__th_key"]), "__th_key")
+    many = joined.where("__th_many").dropDuplicates(["__th_key"])
+    return joined.where("not __th_many").unionByName(many).drop("__th_key", "__th_many")

@@ -97,10 +97,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html
     rows = pages.select(*kept, host.alias("host"), path.alias("path"))
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     fitting = saved(rules_of_hosts(hosts.where("host <> ''"), rule_table(spark, rules)), "rules")
-    fit = F.try_element_at(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(1))
-    ruled = rows.join(fitting, "host", "left").withColumn("_fit", fit).drop("rules")
+    fit = F.try_element_at(F.filter("__th_rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(1))
+    ruled = rows.join(fitting.withColumnRenamed("rules", "__th_rules"), "host", "left").withColumn("__th_fit", fit).drop("__th_rules")
     by_host = saved(ruled.groupBy("host").agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("_fit.action") == "allow").alias("good"), F.count_if(F.col("_fit.action") == "block").alias("bad")), "hosts")
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("__th_fit.action") == "allow").alias("good"), F.count_if(F.col("__th_fit.action") == "block").alias("bad")), "hosts")
     edges = saved(host_links(rows, html), "edges")
     seeds = by_host.where("host <> ''")
     trust = personalised_rank(edges, seeds.where("2 * good > pages").select("host", (F.col("good") / F.col("pages")).alias("weight")))
@@ -110,7 +110,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html
     n = max(1, known.count())
     scored = by_host.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
     blocked = (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0))) & (F.coalesce("distrust", F.lit(0.0)) >= F.lit(level / n))
-    verdicts = saved(scored.withColumn("_host_verdict", F.when(blocked, "block").otherwise("allow")), "verdicts")
+    verdicts = saved(scored.withColumn("__th_verdict", F.when(blocked, "block").otherwise("allow")), "verdicts")
     return ruled.join(verdicts, "host", "left").select(
-        *kept, "host", "path", F.col("_fit.rule").alias("rule"),
-        F.coalesce("_fit.action", "_host_verdict", F.lit("allow")).alias("verdict"), "trust", "distrust")
+        *kept, "host", "path", F.col("__th_fit.rule").alias("rule"),
+        F.coalesce("__th_fit.action", "__th_verdict", F.lit("allow")).alias("verdict"), "trust", "distrust")

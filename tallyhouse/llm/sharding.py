@@ -11,7 +11,7 @@ running bytes over the input order (not all numbers are used). A single row larg
 
 Defined results: the size of a row is the number of UTF-8 bytes of its text, 0 if null; a null key is one key like any
 other; an empty table gives no rows and no shards; repeated rows are rows of their own; extra columns are
-carried along by ``assign``. A shard is named by its bits as text ("" if nothing was split), and
+carried along by ``assign`` (its own four replace columns of the same names). A shard is named by its bits as text ("" if nothing was split), and
 ``page`` is 0 except for overflow.
 """
 
@@ -78,46 +78,47 @@ def directory(sizes: DataFrame, limit: int = LIMIT_BYTES) -> tuple[DataFrame, in
 
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """All rows with the bits of their shard, its depth, overflow page, and the size of the row in bytes."""
-    sized = docs.withColumns({"_bits": key_bits(key), "_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
-    leaves, cell = directory(sized.select(F.col("_bits").alias("bits"), F.col("_bytes").alias("bytes")), limit)
+    sized = docs.withColumns({"__th_bits": key_bits(key), "__th_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
+    leaves, cell = directory(sized.select(F.col("__th_bits").alias("bits"), F.col("__th_bytes").alias("bytes")), limit)
     leaves = saved(leaves, "leaves")
-    bits = F.col("_bits")
+    bits = F.col("__th_bits")
     # Leaves of the first round, spelled out as cells of equal depth: as many as the directory has entries.
     shift = F.lit(cell) - F.col("depth")
     entries = leaves.where(F.col("depth") <= cell).select(
-        F.explode(F.sequence(_left(F.col("prefix"), shift), _left(F.col("prefix") + 1, shift) - 1)).alias("_cell"),
-        F.col("depth").alias("_depth"), F.col("prefix").alias("_prefix"))
-    placed = sized.withColumn("_cell", _right(bits, BITS - cell)).join(entries, "_cell", "left").drop("_cell")
+        F.explode(F.sequence(_left(F.col("prefix"), shift), _left(F.col("prefix") + 1, shift) - 1)).alias("__th_cell"),
+        F.col("depth").alias("__th_depth"), F.col("prefix").alias("__th_prefix"))
+    placed = sized.withColumn("__th_cell", _right(bits, BITS - cell)).join(entries, "__th_cell", "left").drop("__th_cell")
     deep = leaves.where(F.col("depth") > cell)
     for depth in sorted(r["depth"] for r in deep.select("depth").distinct().collect()):  # at most one row per bit
-        mine = deep.where(F.col("depth") == depth).select(F.col("prefix").alias("_p"), F.col("depth").alias("_d"))
-        placed = (placed.withColumn("_p", _right(bits, BITS - depth)).join(mine, "_p", "left")
-                  .withColumns({"_depth": F.coalesce("_depth", "_d"), "_prefix": F.when(F.col("_d").isNotNull(), F.col("_p")).otherwise(F.col("_prefix"))})
-                  .drop("_p", "_d"))
-    placed = placed.drop("_bits")
-    over = leaves.where((F.col("bytes") > limit) & (F.col("rows") > 1)).select(F.col("depth").alias("_depth"), F.col("prefix").alias("_prefix"))
+        mine = deep.where(F.col("depth") == depth).select(F.col("prefix").alias("__th_p"), F.col("depth").alias("__th_d"))
+        placed = (placed.withColumn("__th_p", _right(bits, BITS - depth)).join(mine, "__th_p", "left")
+                  .withColumns({"__th_depth": F.coalesce("__th_depth", "__th_d"), "__th_prefix": F.when(F.col("__th_d").isNotNull(), F.col("__th_p")).otherwise(F.col("__th_prefix"))})
+                  .drop("__th_p", "__th_d"))
+    placed = placed.drop("__th_bits")
+    over = leaves.where((F.col("bytes") > limit) & (F.col("rows") > 1)).select(F.col("depth").alias("__th_depth"), F.col("prefix").alias("__th_prefix"))
     if not over.isEmpty():
         placed = _pages(placed, over, limit)
     else:
-        placed = placed.withColumn("_page", F.lit(0).cast("long"))
-    shard = F.when(F.col("_depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("_prefix").cast("string"), 10, 2), F.col("_depth"), F.lit("0")))
-    return placed.select(*docs.columns, shard.alias("shard"), F.col("_depth").alias("depth"), F.col("_page").alias("page"), F.col("_bytes").alias("n_bytes"))
+        placed = placed.withColumn("__th_page", F.lit(0).cast("long"))
+    shard = F.when(F.col("__th_depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("__th_prefix").cast("string"), 10, 2), F.col("__th_depth"), F.lit("0")))
+    kept = [c for c in docs.columns if c not in ("shard", "depth", "page", "n_bytes")]
+    return placed.select(*kept, shard.alias("shard"), F.col("__th_depth").alias("depth"), F.col("__th_page").alias("page"), F.col("__th_bytes").alias("n_bytes"))
 
 
 def _pages(placed: DataFrame, over: DataFrame, limit: int) -> DataFrame:
     """Overflow pages of rows with equal keys, numbered by running bytes in two levels: input parts, then rows inside each."""
-    plain = placed.join(over, ["_depth", "_prefix"], "left_anti").withColumn("_page", F.lit(0).cast("long"))
-    many = saved(placed.join(over, ["_depth", "_prefix"], "left_semi").withColumn("_seq", F.monotonically_increasing_id()), "overflow")
-    part = F.floor(F.col("_seq") / 10_000).cast("long").alias("_part")  # parts of bounded size, whatever the key
-    parts = many.select("_depth", "_prefix", part, "_bytes").groupBy("_depth", "_prefix", "_part").agg(F.sum("_bytes").alias("_sum"))
-    order = Wd.partitionBy("_depth", "_prefix").orderBy("_part").rowsBetween(Wd.unboundedPreceding, -1)
-    starts = parts.withColumn("_start", F.coalesce(F.sum("_sum").over(order), F.lit(0))).drop("_sum")
-    inside = Wd.partitionBy("_depth", "_prefix", "_part").orderBy("_seq").rowsBetween(Wd.unboundedPreceding, -1)
-    numbered = many.withColumn("_part", part).withColumn("_before", F.coalesce(F.sum("_bytes").over(inside), F.lit(0)))
+    plain = placed.join(over, ["__th_depth", "__th_prefix"], "left_anti").withColumn("__th_page", F.lit(0).cast("long"))
+    many = saved(placed.join(over, ["__th_depth", "__th_prefix"], "left_semi").withColumn("__th_seq", F.monotonically_increasing_id()), "overflow")
+    part = F.floor(F.col("__th_seq") / 10_000).cast("long").alias("__th_part")  # parts of bounded size, whatever the key
+    parts = many.select("__th_depth", "__th_prefix", part, "__th_bytes").groupBy("__th_depth", "__th_prefix", "__th_part").agg(F.sum("__th_bytes").alias("__th_sum"))
+    order = Wd.partitionBy("__th_depth", "__th_prefix").orderBy("__th_part").rowsBetween(Wd.unboundedPreceding, -1)
+    starts = parts.withColumn("__th_start", F.coalesce(F.sum("__th_sum").over(order), F.lit(0))).drop("__th_sum")
+    inside = Wd.partitionBy("__th_depth", "__th_prefix", "__th_part").orderBy("__th_seq").rowsBetween(Wd.unboundedPreceding, -1)
+    numbered = many.withColumn("__th_part", part).withColumn("__th_before", F.coalesce(F.sum("__th_bytes").over(inside), F.lit(0)))
     # Small rows of a page start within half a limit, so they fill at most one; each larger row has a page of its own.
     half = max(1, limit // 2)
-    paged = numbered.join(starts, ["_depth", "_prefix", "_part"]).withColumn(
-        "_page", 2 * F.floor((F.col("_start") + F.col("_before")) / half).cast("long") + (F.col("_bytes") > half).cast("long"))
+    paged = numbered.join(starts, ["__th_depth", "__th_prefix", "__th_part"]).withColumn(
+        "__th_page", 2 * F.floor((F.col("__th_start") + F.col("__th_before")) / half).cast("long") + (F.col("__th_bytes") > half).cast("long"))
     return plain.unionByName(paged.select(*plain.columns))
 
 
