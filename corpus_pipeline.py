@@ -12,12 +12,20 @@ from tallyhouse.llm.saved import saved
 LEAST_SHARE = 0.5
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under names that clash with none that an operator adds, and the name of each column."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without letters go, and those in which no language has half of the words."""
     with_code(spark)
     model = language.train(docs.where(language.fold() != 2))
-    judged = language.predict(docs, model)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    plain, name = _plain(docs)
+    judged = language.predict(plain, model, name["text"])
+    kept = judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +37,11 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that repeat go; all documents stay, and the texts of those without repeats are unchanged."""
     with_code(spark)
-    done = passages.remove_repeated(docs)
+    plain, name = _plain(docs)
+    done = passages.remove_repeated(plain, name["text"], name["doc_id"])
     changed = F.col("n_removed") > 0
-    size = dict(docs.dtypes)["n_chars"]
-    return done.withColumns({
-        "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.length("kept_text").cast(size)).otherwise(F.col("n_chars")),
-    }).select(*docs.columns)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(dict(docs.dtypes)["n_chars"])}
+    return done.select(*[(F.when(changed, new[c]).otherwise(F.col(n)) if c in new else F.col(n)).alias(c) for c, n in name.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
