@@ -4,8 +4,8 @@ Method. The search walks over a text once. For each position it keeps the best s
 backpointer of the best segmentation that ends there, but only for a window: a piece has at
 most ``longest`` characters, so only that many positions can still be the start of a piece.
 Whenever all paths that survive share one boundary, the ids up to it are final and are
-committed, and everything before it is forgotten. Memory is therefore bounded by the piece
-length, not by the text.
+committed, and everything before it is forgotten. Memory therefore follows the piece length, not the
+text; only where paths never meet (a long run of one character may be such a case) are backpointers kept longer.
 
 Scores are those of the model file. The best path is the one of highest total score, which is
 what SentencePiece computes when it reads these pieces as a unigram model. (A file of merge
@@ -103,14 +103,15 @@ class Viterbi:
         score[0] = 0.0
         for i in range(n):
             k = i - base
-            if k > patience:
+            if k > patience and (i == reach or k % self.v.longest == 0):
                 at = k if i == reach else self._converge(k, reach - base, start)
                 if at:  # all surviving paths share this boundary
                     self._commit(text, base, at, start, piece, out)
                     base, k = base + at, k - at
                     score = score[at:] + [-math.inf] * at
                     start, piece = [x - at for x in start[at:]] + [0] * at, piece[at:] + [-1] * at
-                elif reach - base + self.v.longest >= len(score):
+            if k + self.v.longest >= len(score):  # no shared boundary so far: the backpointers are still needed
+                if len(score) < n - base + 1:
                     score += [-math.inf] * room
                     start += [0] * room
                     piece += [-1] * room
