@@ -13,14 +13,23 @@ from tallyhouse.sources import pages as pg
 from tallyhouse.sources import sinks, tables
 
 
+def _quoted(writer):
+    """Writer of texts with line breaks and quotes, as the readers expect them."""
+    return (
+        writer.option("header", True).option("escape", '"').option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    )
+
+
 def load_concat_csv(spark, sf):
     path = scratch_path(spark, "concat")
-    ev = T(spark, sf, "events").select("event_id", "value", day("ts").alias("d"))
-    ev.hint("rebalance", F.col("d")).write.partitionBy("d").option("header", True).csv(path)
-    df = tables.load_concat_csv(spark, path, "event_id LONG, value DOUBLE")
+    note = F.concat(F.col("event_type"), F.lit('\n"q", '), F.col("event_id").cast("string"))
+    ev = T(spark, sf, "events").select("event_id", "value", note.alias("note"), day("ts").alias("d"))
+    _quoted(ev.hint("rebalance", F.col("d")).write.partitionBy("d")).csv(path)
+    df = tables.load_concat_csv(spark, path, "event_id LONG, value DOUBLE, note STRING")
     return (
         df.groupBy(F.regexp_extract("filename", r"d=([\d-]+)", 1).alias("d"))
-        .agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("total"), F.min(F.md5("note")).alias("digest"))
     )
 
 
@@ -135,20 +144,20 @@ def load_pool_sources(spark, sf):
 
 def load_pools(spark, sf):
     root = scratch_path(spark, "pools")
-    c = T(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    c = T(spark, sf, "customer").select("c_custkey", "c_acctbal", F.concat("c_mktsegment", F.lit('\n, "x"')).alias("c_mktsegment"))
     for name, cond in (("early", "c_mktsegment < 'G'"), ("late", "c_mktsegment >= 'G'")):
-        c.where(cond).write.option("header", True).csv(f"{root}/{name}.csv")
+        _quoted(c.where(cond).write).csv(f"{root}/{name}.csv")
     df = tables.load_pools(spark, root, "c_custkey LONG, c_acctbal DOUBLE, c_mktsegment STRING")
-    return df.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+    return df.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"), F.max(F.md5("c_mktsegment")).alias("digest"))
 
 
 def load_group_data(spark, sf):
     path = scratch_path(spark, "groups")
-    d = T(spark, sf, "documents").select("doc_id", "n_chars", "lang")
-    d.hint("rebalance", F.col("lang")).write.partitionBy("lang").option("header", True).csv(path)
-    df = tables.load_group_data(spark, path, "doc_id LONG, n_chars LONG", "lang=")
+    d = T(spark, sf, "documents").select("doc_id", "n_chars", F.concat("text", F.lit('\n"')).alias("text"), "lang")
+    _quoted(d.hint("rebalance", F.col("lang")).write.partitionBy("lang")).csv(path)
+    df = tables.load_group_data(spark, path, "doc_id LONG, n_chars LONG, text STRING", "lang=")
     return df.groupBy(F.regexp_extract("group", r"^(\w+)", 1).alias("sample")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min(F.md5("text")).alias("digest")
     )
 
 
@@ -208,7 +217,8 @@ _DAILY = f"""WITH {M}, d AS (
 
 QUERIES = {
     "load_concat_csv": (load_concat_csv, """
-        SELECT strftime(ts, '%Y-%m-%d') AS d, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"""),
+        SELECT strftime(ts, '%Y-%m-%d') AS d, count(*) AS n, round(sum(value), 4) AS total,
+          min(md5(event_type || chr(10) || '"q", ' || event_id::VARCHAR)) AS digest FROM events GROUP BY 1"""),
     "robust_load_csv": (robust_load_csv, """
         SELECT doc_id, md5(text || chr(13) || '"q" ' || lang) AS digest FROM documents"""),
     "load_register": (load_register, "SELECT c_custkey, 'AÇÃO ' || c_name AS c_name FROM customer"),
@@ -233,9 +243,9 @@ QUERIES = {
             ELSE '2050-01-01 00:00:00' END AS last_batch FROM w"""),
     "load_pools": (load_pools, """
         SELECT CASE WHEN c_mktsegment < 'G' THEN 'early' ELSE 'late' END AS file, count(*) AS n,
-          sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY 1"""),
+          sum(c_custkey)::BIGINT AS keys, max(md5(c_mktsegment || chr(10) || ', "x"')) AS digest FROM customer GROUP BY 1"""),
     "load_group_data": (load_group_data, """
-        SELECT lang AS sample, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1"""),
+        SELECT lang AS sample, count(*) AS n, sum(n_chars)::BIGINT AS chars, min(md5(text || chr(10) || '"')) AS digest FROM documents GROUP BY 1"""),
     "read_labelled_arff": (read_labelled_arff, """
         SELECT toxic AS label, count(*) AS n, sum(length(regexp_replace(text, '[\\r\\n\\\\'']', ' ', 'g')))::BIGINT AS chars
         FROM labels JOIN documents USING (doc_id) GROUP BY 1"""),

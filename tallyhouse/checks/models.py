@@ -66,7 +66,7 @@ def token_weights(spark, sf):
 
 def multi_column_counts(spark, sf):
     c = T(spark, sf, "conversations")
-    parts = [(tm.term_counts(c.where(F.col("role") == role), "conv_id", "text"), w) for role, w in (("user", 1.0), ("assistant", 0.5))]
+    parts = [(tm.term_counts(c.where(F.col("role") == role), "conv_id", "text"), w) for role, w in (("user", 1.0), ("assistant", 0.5), ("system", 0.25))]
     a = tm.multi_column_counts(parts, "conv_id", "max").withColumnRenamed("n", "n_max")
     b = tm.multi_column_counts(parts, "conv_id", "sum").withColumnRenamed("n", "n_sum")
     return a.join(b, ["conv_id", "token"])
@@ -187,9 +187,9 @@ QUERIES = {
     "token_weights": (token_weights, f"""WITH {_CW}, s AS (SELECT token, round(w1, 9) - round(w0, 9) AS w FROM cw)
         SELECT token, round(w, 7) AS weight FROM s ORDER BY abs(w) DESC, token LIMIT 40"""),
     "multi_column_counts": (multi_column_counts, f"""
-        WITH t AS (SELECT conv_id, role, unnest({_W}) AS token FROM conversations WHERE role IN ('user', 'assistant')),
+        WITH t AS (SELECT conv_id, role, unnest({_W}) AS token FROM conversations),
         k AS (SELECT conv_id, token, role, count(*) AS k FROM t GROUP BY ALL),
-        c AS (SELECT conv_id, token, k * CASE WHEN role = 'user' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS n FROM k)
+        c AS (SELECT conv_id, token, k * CASE role WHEN 'user' THEN 1.0::DOUBLE WHEN 'assistant' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS n FROM k)
         SELECT conv_id, token, max(n) AS n_max, sum(n) AS n_sum FROM c GROUP BY ALL"""),
     "weighted_counts": (weighted_counts, f"""WITH {_TC}
         SELECT doc_id, token, n * CASE WHEN token IN ('the', 'and', 'une', 'der') THEN 2.5::DOUBLE ELSE 1 END AS n FROM tc"""),

@@ -29,13 +29,6 @@ def symmetric_difference(spark, sf):
     return st.symmetric_difference(d, b, "text").select(F.md5("text").alias("digest"), "side")
 
 
-def column_changes(spark, sf):
-    a = T(spark, sf, "documents")
-    df = st.column_changes(a, T(spark, sf, "benchmark").withColumn("lang", F.lit("en")))
-    n = T(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.select("column", "change", n.alias("n_rows"))
-
-
 def drop_duplicates(spark, sf):
     o = T(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice")
     return st.drop_duplicates(o, ["o_custkey", "o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")])
@@ -48,7 +41,7 @@ def drop_duplicates_but(spark, sf):
 
 def find_double_entries(spark, sf):
     o = T(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("owner"))
-    return st.find_double_entries(o, "owner", 11)
+    return st.find_double_entries(o, "owner", 11, dropna=True)
 
 
 def is_key(spark, sf):
@@ -126,9 +119,6 @@ QUERIES = {
         WITH b AS (SELECT text FROM benchmark UNION SELECT text FROM documents WHERE length(text) > 900)
         SELECT md5(text) AS digest, 'left' AS side FROM (SELECT text FROM documents EXCEPT SELECT text FROM b)
         UNION ALL SELECT md5(text), 'right' FROM (SELECT text FROM b EXCEPT SELECT text FROM documents)"""),
-    "column_changes": (column_changes, """
-        SELECT c AS "column", k AS change, (SELECT count(*) FROM documents) AS n_rows FROM (VALUES ('doc_id', 'lost'), ('text', 'common'),
-          ('lang', 'common'), ('source', 'lost'), ('n_chars', 'lost'), ('item_id', 'gained')) t(c, k)"""),
     "drop_duplicates": (drop_duplicates, """
         SELECT o_custkey, o_orderpriority, o_orderkey, o_totalprice FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1"""),

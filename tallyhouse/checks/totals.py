@@ -208,8 +208,8 @@ def attribute_per_batch(spark, sf):
 
 def ngram_counts(spark, sf):
     d = T(spark, sf, "documents")
-    return tm.ngram_counts(d, "doc_id", tm.link_words(F.col("text")), min_df=10, stopwords=tm.URL_STOPWORDS,
-                           names=tm.frequent_names(T(spark, sf, "part"), "p_name", 100))
+    names = [r["token"] for r in tm.frequent_names(T(spark, sf, "part"), "p_name", 100).collect()]  # a few hundred at most
+    return tm.ngram_counts(d, "doc_id", tm.link_words(F.col("text")), min_df=10, stopwords=[*tm.URL_STOPWORDS, *names])
 
 
 def vocab_size(spark, sf):

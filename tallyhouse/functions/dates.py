@@ -29,7 +29,7 @@ def month_name_to_num(col: Column) -> Column:
 
 def _cut(s: Column, start: int, end: int | None = None) -> Column:
     """Characters ``start`` to ``end`` as Python slices them."""
-    return F.substring(s, start + 1, 1000 if end is None else end - start)
+    return F.substr(s, F.lit(start + 1)) if end is None else F.substring(s, start + 1, end - start)
 
 
 def _parts(d: Column, m: Column, y: Column, rest: Column | None = None) -> Column:
@@ -56,7 +56,7 @@ def _checked_digits(p: Column) -> Column:
 
 def _split_parts(s: Column, sep: str) -> Column:
     def place(a: Column) -> Column:
-        rest = F.when(F.size(a) > 3, F.concat(F.lit("/"), F.array_join(F.slice(a, 4, 100), "/"))).otherwise("")
+        rest = F.when(F.size(a) > 3, F.concat(F.lit("/"), F.array_join(F.slice(a, F.lit(4), F.greatest(F.size(a) - 3, F.lit(0))), "/"))).otherwise("")
         return F.when(F.size(a) >= 3, _parts(F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(a, F.lit(2)), rest))
 
     return let(F.split(s, sep), place)

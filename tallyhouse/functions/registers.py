@@ -66,7 +66,7 @@ def clean_voters(df: DataFrame) -> DataFrame:
     age = F.regexp_replace(F.lower("FAIXA_ETARIA"), "inválida", "Inválido")
     return df.withColumns(
         {
-            "FAIXA_ETARIA": F.concat(F.upper(F.substring(age, 1, 1)), F.substring(age, 2, 1000)),
+            "FAIXA_ETARIA": F.concat(F.upper(F.substring(age, 1, 1)), F.substr(age, F.lit(2))),
             "SEXO": F.regexp_replace("SEXO", "NAO INFORMADO", "NÃO INFORMADO"),
             "GRAU_DE_ESCOLARIDADE": F.regexp_replace(
                 F.regexp_replace("GRAU_DE_ESCOLARIDADE", "NAO INFORMADO", "NÃO INFORMADO"), "LE E ESCREVE", "LÊ E ESCREVE"

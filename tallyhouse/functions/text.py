@@ -56,18 +56,45 @@ def _styled_alphabet() -> tuple[str, str]:
 STYLED, UNSTYLED = _styled_alphabet()
 
 
-def _accent_table() -> tuple[str, str]:
-    """Letters up to U+1EFF whose decomposition is one base character plus marks."""
-    source, target = "", ""
-    for code in range(0xA0, 0x1F00):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            source, target = source + chr(code), target + base
-    return source, target
+HANGUL = range(0xAC00, 0xD7A4)
+
+
+def _decompositions() -> tuple[dict[str, str], dict[str, str], str]:
+    """Compatibility decompositions without marks of all characters: to one character, to none or several, and the marks.
+
+    Hangul syllables stay whole: their letters would name the same words.
+    """
+    one, many, marks = {}, {}, ""
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or code in HANGUL:
+            continue
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks += c
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if base != c:
+            (one if len(base) == 1 else many)[c] = base
+    return one, many, marks
+
 
+_ONE, _MANY, _MARKS = _decompositions()
+_ONE_FROM, _ONE_TO = "".join(_ONE), "".join(_ONE.values())
 
-_ACCENT_FROM, _ACCENT_TO = _accent_table()
-_MARKS = "".join(chr(c) for c in range(0x300, 0x370))  # combining marks, dropped by translate
+
+def _ranges(characters: str) -> str:
+    """Regex class of the characters, runs as ranges."""
+    out, codes = "", sorted(map(ord, characters))
+    first = 0
+    for i in range(1, len(codes) + 1):
+        if i == len(codes) or codes[i] != codes[i - 1] + 1:
+            out += f"\\x{{{codes[first]:x}}}-\\x{{{codes[i - 1]:x}}}"
+            first = i
+    return f"[{out}]"
+
+
+_MANY_CLASS = _ranges("".join(_MANY))
+_GAP = "\u0001"  # stands between entries of the constant lists; no decomposition holds it
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,8 +103,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip_accents(col: Column) -> Column:
-    """All Latin, Greek and Cyrillic accents removed, combining marks dropped."""
-    return F.translate(col, _ACCENT_FROM + _MARKS, _ACCENT_TO)
+    """Compatibility decomposition of every character, marks dropped.
+
+    One pass replaces the characters that become a single one. Those that become several (such as the letter
+    pair ``ﬁ``) are looked up in a second step, only in texts that hold any.
+    """
+    plain = F.translate(col, _ONE_FROM + _MARKS, _ONE_TO)
+    table = F.map_from_arrays(F.split(F.lit(_GAP.join(_MANY)), _GAP), F.split(F.lit(_GAP.join(_MANY.values())), _GAP))
+    longer = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(plain.rlike(_MANY_CLASS), longer).otherwise(plain)
 
 
 def squeeze(col: Column) -> Column:
@@ -106,9 +140,8 @@ def keep_only_letters(col: Column) -> Column:
 
 def remove_stopwords(col: Column, words: Sequence[str] = tuple(PT_STOPWORDS)) -> Column:
     """Whitespace tokens that are not listed (case matters), joined by one space."""
-    stop = F.array(*[F.lit(w) for w in words])
     tokens = F.split(squeeze(col), " ")
-    return F.array_join(F.filter(tokens, lambda t: ~F.array_contains(stop, t)), " ")
+    return F.array_join(F.filter(tokens, lambda t: ~t.isin(*words)) if words else tokens, " ")
 
 
 def replace_bold_unicode(col: Column) -> Column:
@@ -119,7 +152,7 @@ def replace_bold_unicode(col: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+        yield s.str.normalize("NFKC")
 
 
 def std_string(col: Column, case: str | None = None) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ONE_HOT_LIMIT = 1_000  # columns one variable may produce
-
 
 def bin_prob(col: Column, width: float) -> Column:
     """Number of the bin of a probability; 1.0 has a bin of its own."""
@@ -91,19 +89,19 @@ def log_plus(df: DataFrame, columns: Sequence[str], offset: float | str = 0, bas
     return df.withColumns({c: fn(shift[c] + F.col(c)) for c in columns})
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], drop: str | None = None, by_cardinality: bool = True) -> DataFrame:
+def one_hot(
+    df: DataFrame, columns: Sequence[str], drop: str | None = None, by_cardinality: bool = True,
+    values: Mapping[str, Sequence[str | None]] | None = None,
+) -> DataFrame:
     """One 0/1 column per value, columns of variables with fewer values first.
 
-    The values become column names, so they are read to the driver; a variable with more
-    than ``ONE_HOT_LIMIT`` values is refused. ``drop`` is ``first`` or ``if_binary``.
+    The values become column names, so they are known to the driver: those declared in ``values``, or else all that
+    occur. For variables whose number of values grows with the data use ``one_hot_long``.
+    ``drop`` is ``first`` or ``if_binary``.
     """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)
-    ])).alias("c")).select("c.*").distinct()
-    found = long.limit(ONE_HOT_LIMIT * len(columns) + 1).collect()
-    values = {c: sorted((r["v"] for r in found if r["i"] == i), key=lambda v: (v is None, v)) for i, c in enumerate(columns)}
-    if any(len(v) > ONE_HOT_LIMIT for v in values.values()) or len(found) > ONE_HOT_LIMIT * len(columns):
-        raise ValueError(f"a variable has more than {ONE_HOT_LIMIT} values")
+    open_ = [c for c in columns if c not in (values or {})]
+    found = one_hot_long(df, open_).select("variable", "value").distinct().collect() if open_ else []
+    values = dict(values or {}) | {c: sorted((r["value"] for r in found if r["variable"] == c), key=lambda v: (v is None, v)) for c in open_}
     order = sorted(columns, key=lambda c: len(values[c])) if by_cardinality else list(columns)
     out = []
     for c in order:
@@ -114,6 +112,12 @@ def one_hot(df: DataFrame, columns: Sequence[str], drop: str | None = None, by_c
     return df.select(*[c for c in df.columns if c not in columns], *out)
 
 
+def one_hot_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The same facts in long form: one row (kept columns, variable, value) per row and variable, for any number of values."""
+    cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.*")
+
+
 def replicate_rows(df: DataFrame, times: Column) -> DataFrame:
     """Each row ``times`` times; zero drops it."""
     return df.withColumn("_r", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).drop("_r")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.operators.joins import single_row_per_key
+
 # Fixed pattern: text made only of mentions and at most one shortened link.
 ONLY_MENTIONS = r"^(?:@[A-Za-z0-9_]{1,15} )+(?:https://t.co/[A-Za-z0-9]{10})?$"
 # Tokens that stand for a missing value in the public registers.
@@ -107,8 +109,8 @@ def drop_bad_urls(df: DataFrame, column: str = "url") -> DataFrame:
 
 
 def fill_from(df: DataFrame, other: DataFrame, key: str, columns: Sequence[str], constants: Mapping) -> DataFrame:
-    """Nulls filled from ``other`` (one row per key), then by constants."""
-    look = other.select(key, *[F.col(c).alias(f"_f_{c}") for c in columns])
+    """Nulls filled from ``other`` (one row per key, or the job stops), then by constants."""
+    look = single_row_per_key(other, [key]).select(key, *[F.col(c).alias(f"_f_{c}") for c in columns])
     joined = df.join(look, key, "left")
     out = []
     for c in df.columns:

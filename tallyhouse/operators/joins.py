@@ -8,10 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAIR_LIMIT = 100_000  # rows of the smaller side of a product
-SOURCE_LIMIT = 10_000  # rows of an interval table
-
-
 def single_row_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` reduced to one row per key; a second row with the same key stops the job."""
     rest = [c for c in df.columns if c not in keys]
@@ -27,8 +23,8 @@ def attach(facts: DataFrame, attributes: DataFrame, keys: Sequence[str], fill: d
 
 
 def keep_facts(attributes: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Right join: every fact row stays, with its attributes when known."""
-    return attributes.join(facts, list(keys), "right")
+    """Right join: every fact row stays once, with its attributes when known (one row per key, or the job stops)."""
+    return single_row_per_key(attributes, keys).join(facts, list(keys), "right")
 
 
 def pairs_of_same_owner(a: DataFrame, b: DataFrame, key: str, left: str, right: str) -> DataFrame:
@@ -62,35 +58,39 @@ def drop_ids(df: DataFrame, ids: DataFrame, column: str, id_column: str = "id")
     return df.join(ids.select(F.col(id_column).alias(column)), column, "left_anti")
 
 
-def bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """``df`` after checking that it has at most ``limit`` rows, so it may be broadcast."""
-    found = df.limit(limit + 1).count()
-    if found > limit:
-        raise ValueError(f"{what} has more than {limit} rows")
-    return F.broadcast(df)
-
+def all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every row of ``a`` with every row of ``b``: the product is what is asked for. Spark broadcasts a side it knows to be small."""
+    return a.crossJoin(b)
 
-def all_pairs(a: DataFrame, b: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
-    """Every row of ``a`` with every row of ``b``; ``b`` must be small and is checked."""
-    return a.crossJoin(bounded(b, limit, "the second table of a product"))
 
-
-def all_value_combinations(df: DataFrame, columns: Sequence[str], limit: int = PAIR_LIMIT) -> DataFrame:
+def all_value_combinations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All combinations of the distinct values (null included) of each column."""
     parts = [df.select(c).distinct() for c in columns]
-    return reduce(lambda a, b: all_pairs(a, b, limit), parts)
+    return reduce(all_pairs, parts)
 
 
-def dense_labels(df: DataFrame, groups: Sequence[str], values: Sequence[str], limit: int = PAIR_LIMIT) -> DataFrame:
+def dense_labels(df: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Observed group tuples (without nulls) times all values of the counted columns."""
     seen = df.select(*groups).dropna().distinct()
-    return all_pairs(seen, all_value_combinations(df, values, limit), limit)
+    return all_pairs(seen, all_value_combinations(df, values))
 
 
 def interval_join(df: DataFrame, sources: DataFrame, at: str, first: str, last: str) -> DataFrame:
-    """Row with the interval active at ``at`` (both ends included); no interval drops the row."""
-    src = bounded(sources, SOURCE_LIMIT, "the interval table")
-    return df.join(src, F.col(at).between(F.col(first), F.col(last)))
+    """Row with the intervals active at ``at`` (both ends included); no interval drops the row.
+
+    Intervals are listed by day, so that rows meet only intervals of their own day in an equi-join. Days
+    outside the range of a table at rest are not listed; a stream has no range and needs intervals that end.
+    """
+    day = F.to_date(at)
+    begin, end = F.to_date(first), F.to_date(last)
+    listed = sources.where(F.col(first) <= F.col(last))
+    if not df.isStreaming:
+        ends = df.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+        begin, end = F.greatest(begin, ends.select("lo").scalar()), F.least(end, ends.select("hi").scalar())
+    days = F.when(begin <= end, F.sequence(begin, end)).otherwise(F.array().cast("array<date>"))
+    listed = listed.withColumn("__th_day", F.explode(days))
+    joined = df.withColumn("__th_day", day).join(listed, "__th_day").drop("__th_day")
+    return joined.where(F.col(at).between(F.col(first), F.col(last)))
 
 
 def rater_pairs(votes: DataFrame, raters: Sequence[str]) -> DataFrame:

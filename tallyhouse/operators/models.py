@@ -158,7 +158,7 @@ def regression_scores(
     Each fold is one fit on the cluster; only the figures come back.
     """
     spark = df.sparkSession
-    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     rows = vec.transform(df.select(key, target, *features)).withColumn("_f", F.floor(uniform(seed, key) * folds).cast("int"))
     plain = rows.select(key, "features", F.col(target).cast("double").alias("y"), "_f")
     ranked = rank_by_uniform(plain, uniform(f"{seed}-a", key), [key], name="_p")
@@ -249,12 +249,12 @@ def platform_usage_model(
     rows = numeric_preprocess(rows, logs, log=1)
     rows = rows.select("*", *[F.col(c).cast("double").alias(f"num_{c}") for c in [*numbers, *logs]])
     scaled = [f"num_{c}" for c in [*numbers, *logs]]
-    indexers = [StringIndexer(inputCol=c, outputCol=f"ix_{c}", stringOrderType="alphabetDesc", handleInvalid="skip") for c in categories]
+    indexers = [StringIndexer(inputCol=c, outputCol=f"ix_{c}", stringOrderType="alphabetDesc", handleInvalid="error") for c in categories]
     encoder = OneHotEncoder(inputCols=[f"ix_{c}" for c in categories], outputCols=[f"hot_{c}" for c in categories])
-    assemble_num = VectorAssembler(inputCols=scaled, outputCol="_num", handleInvalid="skip")
+    assemble_num = VectorAssembler(inputCols=scaled, outputCol="_num", handleInvalid="error")
     scaler = StandardScaler(inputCol="_num", outputCol="_std", withMean=True, withStd=True)
     assemble = VectorAssembler(
-        inputCols=[f"hot_{c}" for c in categories] + [f"ord_{c}" for c in ordered] + ["_std"], outputCol="features", handleInvalid="skip"
+        inputCols=[f"hot_{c}" for c in categories] + [f"ord_{c}" for c in ordered] + ["_std"], outputCol="features", handleInvalid="error"
     )
     logit = LogisticRegression(labelCol=target, featuresCol="features", regParam=reg, standardization=False)
     fitted = Pipeline(stages=[*indexers, encoder, assemble_num, scaler, assemble, logit]).fit(rows)

@@ -33,13 +33,6 @@ def symmetric_difference(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     )
 
 
-def column_changes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Columns lost, gained and common between two tables (metadata only)."""
-    old, new = set(a.columns), set(b.columns)
-    rows = [(c, "common" if c in new else "lost") for c in sorted(old)] + [(c, "gained") for c in sorted(new - old)]
-    return a.sparkSession.createDataFrame(rows, "column STRING, change STRING")
-
-
 def drop_duplicates(df: DataFrame, subset: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in an explicit order (nulls count as equal)."""
     return keep_first(df, subset, order)
@@ -51,7 +44,7 @@ def drop_duplicates_but(df: DataFrame, ignored: str) -> DataFrame:
     return df.groupBy(*rest).agg(F.min(ignored).alias(ignored)).select(*df.columns)
 
 
-def find_double_entries(df: DataFrame, key: str, n: int = 1, dropna: bool = True) -> DataFrame:
+def find_double_entries(df: DataFrame, key: str, n: int = 1, dropna: bool = False) -> DataFrame:
     """All rows whose key occurs more than ``n`` times, keys in descending order.
 
     A hash of the row breaks ties, which lets the sort split a hot key over tasks.

@@ -23,9 +23,6 @@ def exploded(df: DataFrame, words: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(words).alias("token")).where("token IS NOT NULL")
 
 
-NAME_LIMIT = 200  # names that may travel inside the query
-
-
 def frequent_names(names: DataFrame, column: str, more_than: int) -> DataFrame:
     """Words seen more than ``more_than`` times in a column of names."""
     words = names.select(F.explode(tokens(F.regexp_replace(column, r"\d+", " "), accents=True)).alias("token"))
@@ -43,17 +40,12 @@ def ngram_counts(
     """Total count and document count of words and word pairs found in >= ``min_df`` documents.
 
     Each document emits its terms once for the totals and once, deduplicated, for the
-    document count, so that both are plain sums combined before the only shuffle. A short
-    table of ``names`` joins the stop words; a long one is taken out by a join on the
-    words, after which each document is put together again.
+    document count, so that both are plain sums combined before the only shuffle. Words of
+    the list ``stopwords`` are tested in place; those of a table ``names`` are taken out by a
+    join on the words, after which each document is put together again.
     """
-    if names is not None:
-        few = [row["token"] for row in names.limit(NAME_LIMIT + 1).collect()]
-        if len(few) <= NAME_LIMIT:
-            stopwords, names = [*stopwords, *few], None
     if stopwords:
-        stop = F.array(*[F.lit(w) for w in stopwords])
-        words = F.filter(words, lambda t: ~F.array_contains(stop, t))
+        words = F.filter(words, lambda t: ~t.isin(*stopwords))
     base = df.select(F.col(key).alias("_key"), words.alias("_w"))
     if names is not None:
         flat = base.select("_key", F.posexplode("_w").alias("_p", "token")).join(names, "token", "left_anti")

@@ -15,21 +15,26 @@ def count_rows(name: str = "n") -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
+def known(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys are all known: as in the tables these totals come from, a missing key is no group."""
+    return df.dropna(subset=list(keys))
+
+
 def asset_features(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Number and total value of assets per owner."""
-    return df.groupBy(*keys).agg(count_rows("n_assets"), F.sum(value).alias("asset_value"))
+    return known(df, *keys).groupBy(*keys).agg(count_rows("n_assets"), F.sum(value).alias("asset_value"))
 
 
 def voters_by_unit(df: DataFrame, unit: str, voters: str, whole: str = "BR") -> DataFrame:
     """Voters per unit plus one row for the whole country, added up from the units."""
-    units = df.groupBy(F.col(unit).cast("string").alias(unit)).agg(F.sum(voters).alias(voters))
+    units = known(df, unit).groupBy(F.col(unit).cast("string").alias(unit)).agg(F.sum(voters).alias(voters))
     return units.unionByName(units.agg(F.lit(whole).alias(unit), F.sum(voters).alias(voters)))
 
 
 def nominal_votes(df: DataFrame, key: str, votes: str, turn: str, wanted: int, kind: str) -> DataFrame:
     """Votes per candidate in one turn; the table must hold a single type of election."""
     same = F.assert_true(F.col("_lo").eqNullSafe(F.col("_hi")), F.lit("more than one type of election"))
-    g = df.groupBy(key).agg(
+    g = known(df, key).groupBy(key).agg(
         F.min(kind).alias("_lo"), F.max(kind).alias("_hi"),
         F.sum(F.when(F.col(turn) == wanted, F.col(votes))).alias("votes"),
         F.count(F.when(F.col(turn) == wanted, 1)).alias("_n"),
@@ -43,7 +48,7 @@ def votes_by(df: DataFrame, by: str, votes: str, id_columns: Sequence[str], wher
     aggs = [F.sum(votes).alias("votes")]
     for c in id_columns:
         aggs += [F.min(c).alias(c), F.max(c).alias(f"_x_{c}")]
-    g = df.where(where).groupBy(by).agg(*aggs)
+    g = known(df.where(where), by).groupBy(by).agg(*aggs)
     for c in id_columns:
         g = g.where(F.assert_true(F.col(c).eqNullSafe(F.col(f"_x_{c}")), F.lit(f"{c} differs inside a key")).isNull())
     return g.select(by, *id_columns, "votes")
@@ -54,7 +59,7 @@ def unique_traits(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     aggs = []
     for c in columns:
         aggs += [F.min(c).alias(c), F.max(c).alias(f"_x_{c}"), F.count(F.when(F.col(c).isNull(), 1)).alias(f"_n_{c}")]
-    g = df.groupBy(*keys).agg(*aggs)
+    g = known(df, *keys).groupBy(*keys).agg(*aggs)
     for c in columns:
         one = (F.col(c) == F.col(f"_x_{c}")) & (F.col(f"_n_{c}") == 0)
         g = g.where(F.assert_true(F.coalesce(one, F.lit(False)), F.lit(f"{c} is not unique in a group")).isNull())
@@ -107,7 +112,7 @@ def pool_factors(
 
 def hour_seasonal_factor(df: DataFrame, slot: str = "batch_time", weight: str = "t_win_weight") -> DataFrame:
     """Weight per hour of the slot relative to the busiest hour (at most 24 rows)."""
-    hours = df.groupBy(F.hour(slot).alias("hour")).agg(F.sum(weight).alias("_w"))
+    hours = known(df, slot).groupBy(F.hour(slot).alias("hour")).agg(F.sum(weight).alias("_w"))
     return hours.select("hour", F.try_divide(F.col("_w"), F.max("_w").over(Window.partitionBy())).alias("season_index"))
 
 
@@ -161,7 +166,7 @@ def non_unique_columns(df: DataFrame) -> DataFrame:
 
 def user_hate_totals(df: DataFrame, user: str = "batch_user") -> DataFrame:
     """Per target: mentions, attacks and violent responses, and their frequencies."""
-    g = df.groupBy(user).agg(
+    g = known(df, user).groupBy(user).agg(
         F.sum(F.col("t_win_weight")).alias("n_tweets"),
         F.sum(F.col("hate_score") * F.col("target_prob") * F.col("t_win_weight")).alias("n_hate"),
         F.sum(F.col("hate_score") * F.col("t_win_weight")).alias("_all"),
@@ -180,7 +185,7 @@ def platform_use(owners: DataFrame, links: DataFrame, key: str, flags: Sequence[
 
 
 def group_means(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(by).agg(*[F.avg(c).alias(c) for c in columns])
+    return known(df, by).groupBy(by).agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def mean_difference(means: DataFrame, by: str, columns: Sequence[str], first: str, second: str) -> DataFrame:
@@ -221,7 +226,7 @@ def coverage_per_day(df: DataFrame, day: Column, user: str) -> DataFrame:
 def group_membership(df: DataFrame, key: str, group: str, groups: Sequence) -> DataFrame:
     """Counts of each declared group per id, and the number of groups the id is in."""
     aggs = [F.count(F.when(F.col(group) == g, 1)).alias(f"in_{g}") for g in groups]
-    wide = df.groupBy(key).agg(*aggs)
+    wide = known(df, key).groupBy(key).agg(*aggs)
     inside = sum(((F.col(f"in_{g}") > 0).cast("int") for g in groups), F.lit(0))
     return wide.withColumn("n_groups", inside)
 
@@ -273,7 +278,7 @@ def capture_stats(
 
 def error_profile(log: DataFrame) -> DataFrame:
     """Failed requests per account."""
-    return log.where("status = 'error'").groupBy("id").agg(count_rows("n_errors"))
+    return known(log.where("status = 'error'"), "id").groupBy("id").agg(count_rows("n_errors"))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -291,6 +296,6 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def attribute_per_batch(df: DataFrame, attributes: DataFrame, user: str, slot: str, attribute: str, total: str) -> DataFrame:
     """Mean attribute of the accounts sampled in each slot next to the slot's total."""
-    per = df.groupBy(slot, user).agg(F.sum(total).alias("_t"))
+    per = known(df, slot, user).groupBy(slot, user).agg(F.sum(total).alias("_t"))
     joined = per.join(attributes.select(F.col("id").alias(user), attribute), user, "left")
     return joined.groupBy(slot).agg(F.avg(attribute).alias(f"mean_{attribute}"), F.sum("_t").alias("total"))

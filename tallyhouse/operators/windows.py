@@ -18,7 +18,8 @@ def batch_day(ts: Column | str, hours: float = 3) -> Column:
 
 
 def agg_by_day(df: DataFrame, ts: str, stats: Sequence[str], hours: float = 3) -> DataFrame:
-    return df.groupBy(batch_day(ts, hours).alias("day")).agg(*[F.sum(s).alias(s) for s in stats])
+    day = batch_day(ts, hours)
+    return df.where(day.isNotNull()).groupBy(day.alias("day")).agg(*[F.sum(s).alias(s) for s in stats])
 
 
 def interpolate_linear(df: DataFrame, order: str, value: str, out: str, back_fill: bool = True) -> DataFrame:
@@ -163,7 +164,7 @@ def savgol_density(df: DataFrame, score: str, bins: int = 199) -> DataFrame:
 def value_weights(df: DataFrame, column: str) -> DataFrame:
     """Frequency and inverse frequency of each value of a column."""
     n = F.count(F.lit(1))
-    return df.groupBy(column).agg(n.alias(f"n_{column}"), (1.0 / n).alias(f"w_{column}"))
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(n.alias(f"n_{column}"), (1.0 / n).alias(f"w_{column}"))
 
 
 def with_group_count(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
@@ -193,7 +194,7 @@ def owner_weight(df: DataFrame, owner: str) -> DataFrame:
 
 def sequence_check(df: DataFrame, key: str, number: str) -> DataFrame:
     """Per key: highest number, count, and whether numbering has no holes."""
-    g = df.groupBy(key).agg(F.max(number).cast("bigint").alias("highest"), F.count(number).alias("n"))
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(number).cast("bigint").alias("highest"), F.count(number).alias("n"))
     return g.withColumn("complete", (F.col("highest") == F.col("n")).cast("int"))
 
 

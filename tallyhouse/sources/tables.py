@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,29 +12,33 @@ OPEN_END = "2050-01-01 00:00:00"
 
 
 def load_concat_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.csv"
+    spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.csv", bad_rows: str | None = None
 ) -> DataFrame:
-    """All CSVs below ``path`` as one table, each row with the path of its file as ``filename``."""
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .option("header", True)
-        .schema(schema)
-        .csv(path)
-        .select("*", F.col("_metadata.file_path").alias("filename"))
-    )
+    """All CSVs below ``path`` as one table, each row with the path of its file as ``filename``.
 
+    Texts and bad rows are treated as by ``robust_load_csv``.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return _quoted_csv(reader, path, schema, bad_rows).select("*", F.col("_metadata.file_path").alias("filename"))
 
-def robust_load_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV whose quoted texts may hold carriage returns, line breaks and doubled quotes."""
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .schema(schema)
-        .csv(path)
-    )
+
+def _quoted_csv(reader: DataFrameReader, path: str, schema: T.StructType | str, bad_rows: str | None) -> DataFrame:
+    reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+    if bad_rows is None:
+        return reader.option("mode", "FAILFAST").schema(schema).csv(path)
+    known = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    full = T.StructType([*known.fields, T.StructField(bad_rows, T.StringType())])
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_rows).schema(full).csv(path)
+
+
+def robust_load_csv(spark: SparkSession, path: str, schema: T.StructType | str, bad_rows: str | None = None) -> DataFrame:
+    """CSV whose quoted texts may hold carriage returns, line breaks and doubled quotes.
+
+    A row that does not fit the schema stops the job, or is kept whole in the column named by ``bad_rows``. Since
+    a line break may stand inside a text, a file is read by one task: keep files to some hundred megabytes, and
+    convert a corpus to Parquet once.
+    """
+    return _quoted_csv(spark.read, path, schema, bad_rows)
 
 
 def load_register(

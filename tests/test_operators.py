@@ -163,9 +163,16 @@ def test_attach_refuses_growth(spark):
         joins.attach(a, b, ["k"]).collect()
 
 
-def test_products_and_intervals_are_bounded(spark):
-    with pytest.raises(ValueError, match="more than 10 rows"):
-        joins.all_pairs(spark.range(3), spark.range(11).toDF("b"), limit=10)
+def test_many_intervals_meet_their_rows_only(spark):
+    days = spark.range(20_000).selectExpr("timestamp'2001-01-01' + make_interval(0, 0, 0, 0, 0, cast(id * 90 as int)) as first", "id")
+    days = days.selectExpr("first", "first + interval 89 minutes as last", "id as source").unionByName(
+        spark.sql("select timestamp'2001-01-02' as first, timestamp'2001-01-01' as last, -1L as source"))
+    rows = spark.range(500).selectExpr("id", "timestamp'2001-01-01 00:30:00' + make_interval(0, 0, 0, 0, 0, cast(id * 900 as int)) as at").unionByName(
+        spark.sql("select -5L as id, cast(null as timestamp) as at"))
+    joined = joins.interval_join(rows, days, "at", "first", "last")
+    assert "BroadcastNestedLoopJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["source"]) for r in joined.collect()} == {(i, i * 10) for i in range(500)}
+    assert joins.all_pairs(spark.range(3), spark.range(20_000).toDF("b")).count() == 60_000
 
 
 def test_drop_ids_keeps_rows_without_id(spark):
@@ -194,7 +201,7 @@ def test_is_key_and_duplicates(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 3)], "a INT, b INT")
     assert sets.is_key(df, ["a", "b"]).first()["is_key"] == 0
     assert sets.drop_duplicates(df, ["a", "b"], [F.col("a")]).count() == 2
-    assert {r["a"] for r in sets.find_double_entries(df, "a").collect()} == {1}
+    assert {r["a"] for r in sets.find_double_entries(df, "a", dropna=True).collect()} == {1}
     assert sets.find_double_entries(df, "b", dropna=False).count() == 2
 
 
@@ -356,13 +363,11 @@ def test_published_percentages(spark):
     assert sinks.export_series(df, "day", "h", "t").first()["percent"] == round(77 / 1235 * 100, 2)
 
 
-def test_ngrams_with_many_or_few_names_agree(spark, monkeypatch):
+def test_ngrams_without_names_by_list_or_table(spark):
     docs = spark.createDataFrame([(1, "http ana silva vota"), (2, "ana vota silva vota")], "id INT, t STRING")
     names = spark.createDataFrame([("silva",)], "token STRING")
-    run = lambda: {tuple(r) for r in terms.ngram_counts(docs, "id", terms.link_words(F.col("t")), 1, terms.URL_STOPWORDS, names).collect()}
-    few = run()
-    monkeypatch.setattr(terms, "NAME_LIMIT", 0)
-    assert run() == few == {("ana", 2, 2), ("vota", 3, 2), ("ana vota", 2, 2), ("vota vota", 1, 1)}
+    run = lambda stop, table: {tuple(r) for r in terms.ngram_counts(docs, "id", terms.link_words(F.col("t")), 1, stop, table).collect()}
+    assert run([*terms.URL_STOPWORDS, "silva"], None) == run(terms.URL_STOPWORDS, names) == {("ana", 2, 2), ("vota", 3, 2), ("ana vota", 2, 2), ("vota vota", 1, 1)}
 
 
 # ---- sources ---------------------------------------------------------------------------
@@ -421,3 +426,45 @@ def test_unique_traits_fail_on_two_values_or_null(spark):
     for rows in ([(1, "a"), (1, "b")], [(1, "a"), (1, None)]):
         with pytest.raises(Exception, match="not unique"):
             totals.unique_traits(spark.createDataFrame(rows, "k INT, v STRING"), ["k"], ["v"]).collect()
+
+
+# ---- whole inputs ----------------------------------------------------------------------
+def test_long_texts_are_not_cut(spark):
+    long = "x" * 5000
+    df = spark.createDataFrame([(long, "a", "b")], "FAIXA_ETARIA STRING, SEXO STRING, GRAU_DE_ESCOLARIDADE STRING")
+    assert registers.clean_voters(df).first()[0] == "X" + long[1:]
+    parts = "1/2/" + "/".join(["1990"] * 148)
+    assert one(spark, parts, dates.format_legacy_date) == parts
+
+
+def test_one_hot_of_many_values(spark):
+    df = spark.range(1500).selectExpr("id", "cast(id as string) as v")
+    wide = bins.one_hot(df, ["v"])
+    assert len(wide.columns) == 1501
+    assert bins.one_hot_long(df, ["v"], ["id"]).count() == 1500
+    assert bins.one_hot(df.limit(3), ["v"], values={"v": ["0", "9"]}).columns == ["id", "v_0", "v_9"]
+
+
+def test_compatibility_forms_become_plain_words(spark):
+    for given, plain in (("𝐁𝐨𝐥𝐝 𝒲ord", "bold word"), ("ﬁm ﬃ", "fim ffi"), ("ｆｕｌｌ ｗｉｄｔｈ", "full width"), ("½ é ñ ẽ", "1⁄2 e n e"), ("한국", "한국"), ("ا\u0301", "ا")):
+        assert one(spark, given, lambda c: F.lower(text.strip_accents(c))) == plain
+
+
+def test_readers_lose_no_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t\n1,"x\ny, ""z"""\nX9,bad\n')
+    found = tables.load_concat_csv(spark, str(tmp_path), "id LONG, t STRING", bad_rows="wrong").collect()
+    assert [(r["id"], r["t"]) for r in found if r["wrong"] is None] == [(1, 'x\ny, "z"')]
+    assert [r["wrong"] for r in found if r["wrong"]] == ["X9,bad"]
+    for load in (tables.load_concat_csv, tables.robust_load_csv):
+        with pytest.raises(Exception):
+            load(spark, str(tmp_path), "id LONG, t STRING").collect()
+
+
+def test_missing_keys_are_no_group_and_lookups_do_not_grow(spark):
+    df = spark.createDataFrame([(1, 2.0), (None, 3.0)], "k INT, v DOUBLE")
+    assert [tuple(r) for r in totals.asset_features(df, ["k"], "v").collect()] == [(1, 1, 2.0)]
+    assert totals.counts_table(df, "k").count() == 2
+    double = spark.createDataFrame([(1, 5.0), (1, 6.0)], "k INT, v DOUBLE")
+    for run in (lambda: filters.fill_from(df, double, "k", ["v"], {}), lambda: joins.keep_facts(double, df.select("k"), ["k"])):
+        with pytest.raises(Exception, match="more than one row"):
+            run().collect()
