@@ -9,6 +9,7 @@ from tallyhouse.checks.base import LOG, M, POOL, SRC, T, day, r, stamp
 from tallyhouse.operators import windows as wn
 from tallyhouse.operators.totals import hour_seasonal_factor
 from tallyhouse.plans import violence_series as vs
+from tallyhouse.session import scratch_path
 
 QUERY = "category <> 'MACHINERY' AND unit <> 7"
 START = "2024-01-01 00:30:00"
@@ -45,6 +46,29 @@ def violence_series(spark, sf):
     return vs.daily_series(_slots(spark, sf), until="2024-01-29")
 
 
+def publish(spark, sf):
+    """The series from stored files, log sizes included, read back from the published CSV."""
+    root = scratch_path(spark, "publish")
+    m, log, sources, pools, factors = _inputs(spark, sf)
+    sizes = log.groupBy("batch_time").agg(F.count(F.lit(1)).alias("batch_size"))
+    whole = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    csv = lambda df, name: df.write.options(**whole).csv(f"{root}/{name}")
+    csv(m.select("id", "text", "batch_user", "batch_time", "hate_score", "t_win_weight", "target_prob", "direct_reply", "n_mentions"), "mentions")
+    csv(log.join(sizes, "batch_time").select("id", "batch_time", "batch_size", "status"), "log")
+    csv(sources, "sources")
+    csv(factors, "factors")
+    for name in ("pool_a", "pool_b"):
+        csv(pools.where(F.col("file") == name).drop("file"), f"pools/{name}.csv")
+    schemas = {
+        "mentions": "id LONG, text STRING, batch_user LONG, batch_time TIMESTAMP_NTZ, hate_score DOUBLE, t_win_weight DOUBLE, target_prob DOUBLE, "
+                    "direct_reply INT, n_mentions INT",
+        "log": "id LONG, batch_time TIMESTAMP_NTZ, batch_size LONG, status STRING", "pools": "id LONG, category STRING, unit INT",
+        "factors": "pool_filename STRING, n_tweets_list_factor DOUBLE, n_hate_list_factor DOUBLE",
+    }
+    stored = {n: f"{root}/{n}" for n in ("mentions", "log", "sources", "pools", "factors")}
+    return vs.publish(spark, stored, schemas, QUERY, views.BAD_ACCOUNTS, START, f"{root}/out", "2024-01-15", until="2024-01-29")
+
+
 def period_series(spark, sf):
     return vs.period_series(_slots(spark, sf), 12)
 
@@ -174,6 +198,10 @@ QUERIES = {
         y AS (SELECT CAST(slot - INTERVAL 90 MINUTE AS DATE) AS day, round_even(sum(ft), 0) AS t, round_even(sum(fh), 0) AS h FROM z GROUP BY 1)
         SELECT strftime(day, '%Y-%m-%d') AS day, t::BIGINT AS total, h::BIGINT AS violent, round_even(h / t * 100, 2) AS percent
         FROM y WHERE day <= DATE '2024-01-29'"""),
+    "publish": (publish, _IMPUTE + """,
+        y AS (SELECT CAST(slot - INTERVAL 90 MINUTE AS DATE) AS day, round_even(sum(ft), 0) AS t, round_even(sum(fh), 0) AS h FROM z GROUP BY 1)
+        SELECT strftime(day, '%Y-%m-%d') AS day, t::BIGINT AS total, h::BIGINT AS violent, round_even(h / t * 100, 2) AS percent
+        FROM y WHERE day <= DATE '2024-01-29'"""),
     "period_series": (period_series, _IMPUTE + """,
         y AS (SELECT ceil((epoch_us(slot) - epoch_us(TIMESTAMP '2024-01-01')) / 43200000000.0)::BIGINT AS k, round_even(sum(ft), 0) AS t,
           round_even(sum(fh), 0) AS h FROM z GROUP BY 1)

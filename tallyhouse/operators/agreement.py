@@ -94,14 +94,26 @@ def rater_bias_sigma(votes: DataFrame, control: str, raters: Sequence[str]) -> D
     return flat.withColumn("n_sigma", sigma).orderBy(F.abs("n_sigma").desc(), "annotator")
 
 
-def majority_label(votes: DataFrame, default: int = 0, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """Most frequent vote per item; a tie gives ``default``, no vote gives null."""
+def majority_label(
+    votes: DataFrame, default: int | Mapping[str, int] = 0, keys: Sequence[str] = ("id",), ignored: Sequence[str] = ()
+) -> DataFrame:
+    """Most frequent vote per item; a tie gives ``default``, no vote gives null.
+
+    ``default`` may differ by label (the keys then include ``label``, and a label that is not listed gives null). Votes
+    of the raters in ``ignored`` do not count.
+    """
+    if ignored:
+        votes = votes.withColumn("value", F.when(~F.col("annotator").isin(*ignored), F.col("value")))
+    if isinstance(default, Mapping):
+        tie = F.create_map(*[F.lit(x) for pair in default.items() for x in pair])[F.col("label")] if default else F.lit(None).cast("int")
+    else:
+        tie = F.lit(default)
     bad = F.assert_true(F.coalesce(F.col("value").isin(0, 1), F.lit(True)), F.lit("votes must be 0, 1 or missing"))
     g = votes.where(bad.isNull()).groupBy(*keys).agg(
         F.count(F.when(F.col("value") == 1, 1)).alias("_yes"), F.count(F.when(F.col("value") == 0, 1)).alias("_no")
     )
     label = (
-        F.when(F.col("_yes") > F.col("_no"), 1).when(F.col("_yes") < F.col("_no"), 0).when(F.col("_yes") > 0, default)
+        F.when(F.col("_yes") > F.col("_no"), 1).when(F.col("_yes") < F.col("_no"), 0).when(F.col("_yes") > 0, tie)
     )
     return g.select(*keys, label.alias("final"))
 

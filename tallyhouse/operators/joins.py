@@ -49,6 +49,12 @@ def unmatched(joined: DataFrame) -> DataFrame:
     return joined.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
+def matched_only(joined: DataFrame) -> DataFrame:
+    """Rows of ``full_outer`` without the side; a row found on one side only stops the job."""
+    both = F.assert_true(F.col("side") == "both", F.lit("an id is missing on one side"))
+    return joined.where(both.isNull()).drop("side")
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, id_column: str = "id") -> DataFrame:
     return df.join(ids.select(F.col(id_column).alias(column)), column, "left_semi")
 

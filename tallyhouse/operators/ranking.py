@@ -85,24 +85,36 @@ def running_sums(
 
 
 def top_per_group(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, salts: int = 32
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, salts: int | None = None
 ) -> DataFrame:
-    """First ``k`` rows of each group. Every task first keeps its own best ``k``.
+    """First ``k`` rows of each group, in two steps.
 
-    For small ``k`` Spark itself limits each group before the shuffle; above that limit
-    the group is first cut by a salt so that a hot group spreads over ``salts`` tasks.
+    A group is cut by a salt over as many tasks as there are shuffle partitions; each part keeps its
+    best ``k``, and the parts of a group meet afterwards. For small ``k`` Spark limits the parts before the shuffle.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if k > limit:
-        salted = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-            .withColumn("_r", F.row_number().over(salted))
-            .where(F.col("_r") <= k)
-            .drop("_r", "_salt")
-        )
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts or bucket_count(df)))
+    salted = Window.partitionBy(*group, "_salt").orderBy(*order)
+    best = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k).drop("_r", "_salt")
     final = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= k).drop("_r")
+    return best.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= k).drop("_r")
+
+
+def first_rows(df: DataFrame, value: Column, ties: Sequence[str], n: int, parts: int = 4096) -> DataFrame:
+    """The ``n`` rows with the smallest ``value`` (not negative), for any ``n``.
+
+    Values are counted in cells of equal ratio (``parts`` per doubling, a table that does not grow with the rows). Cells that
+    lie wholly among the first ``n`` rows are taken as they are, and only the one cell in which row ``n`` lies is sorted.
+    """
+    cell = F.when(F.col("_v") > 0, F.floor(F.log2("_v") * parts).cast("bigint")).otherwise(F.lit(-(2**62)))
+    keyed = df.withColumn("_v", value).where(F.col("_v").isNotNull()).withColumn("_cell", cell)
+    sizes = keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.withColumn("_before", before).where(F.col("_before") < n)
+    whole = keyed.join(places.where(F.col("_before") + F.col("_size") <= n).select("_cell"), "_cell").select(*df.columns)
+    edge = keyed.join(places.where(F.col("_before") + F.col("_size") > n).select("_cell", "_before"), "_cell")
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_v", *ties))
+    rest = edge.withColumn("_place", place).where(F.col("_place") + F.col("_before") <= n).select(*df.columns)
+    return whole.unionByName(rest)
 
 
 def exact_quantiles(

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.hashing import exponential_key, uniform
 from tallyhouse.operators.bins import bin_prob
 from tallyhouse.operators.joins import drop_ids, keep_ids
-from tallyhouse.operators.ranking import rank_by_uniform, top_per_group
+from tallyhouse.operators.ranking import first_rows, rank_by_uniform, top_per_group
 
 
 def weighted_sample(df: DataFrame, key: str, n: int, seed: int | str, weight: Column | None = None) -> DataFrame:
     """``n`` rows without replacement, likelier with larger ``weight``; rows of weight 0 or null never."""
     u = uniform(seed, key)
     if weight is None:
-        return df.orderBy(u, key).limit(n)
-    return df.where(weight > 0).orderBy(exponential_key(u, weight), key).limit(n)
+        return first_rows(df, u, [key], n)
+    return first_rows(df.where(weight > 0), exponential_key(u, weight), [key], n)
 
 
 def plan_batch(

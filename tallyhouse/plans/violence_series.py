@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.filters import filter_expr, select_direct_text
 from tallyhouse.operators.joins import interval_join, keep_ids, slot_grid
 from tallyhouse.operators.totals import hour_seasonal_factor
 from tallyhouse.operators.windows import agg_by_day, agg_period, seasonal_impute
-from tallyhouse.sources.sinks import export_series
+from tallyhouse.sources import tables
+from tallyhouse.sources.sinks import export_series, headline_numbers, write_headline, write_series
 
 
 def drop_accounts(df: DataFrame, column: str, bad: Sequence[int]) -> DataFrame:
@@ -29,8 +30,17 @@ def final_probability(df: DataFrame) -> DataFrame:
     )
 
 
+def checked_log(log: DataFrame) -> DataFrame:
+    """Capture log whose batches are whole: one size per batch time, and as many rows as that size."""
+    sizes = log.groupBy("batch_time").agg(F.count(F.lit(1)).alias("_n"), F.min("batch_size").alias("_lo"), F.max("batch_size").alias("_hi"))
+    one = F.coalesce((F.col("_lo") == F.col("_hi")) & (F.col("_n") == F.col("_lo")), F.lit(False))
+    whole = sizes.where(F.assert_true(one, F.lit("a batch of the log is not whole")).isNull()).select("batch_time")
+    return log.join(whole, "batch_time", "left_semi")
+
+
 def load_log(log: DataFrame, sources: DataFrame) -> DataFrame:
-    """Capture log with the account list in use at each batch."""
+    """Capture log with the account list in use at each batch; sizes of batches are checked where the log has them."""
+    log = checked_log(log) if "batch_size" in log.columns else log
     return interval_join(log, sources, "batch_time", "first_batch", "last_batch")
 
 
@@ -98,3 +108,23 @@ def period_series(slots: DataFrame, hours: float) -> DataFrame:
     hate = agg_period(slots, "slot", "final_n_hate", hours)
     total = agg_period(slots, "slot", "final_n_tweets", hours)
     return export_series(hate.join(total, "slot"), "slot", "final_n_hate", "final_n_tweets", daily=False)
+
+
+def publish(
+    spark: SparkSession, stored: Mapping[str, str], schemas: Mapping[str, str], query: str, bad: Sequence[int], start: str,
+    out: str, today: str, hours: float = 3, until: str | None = None,
+) -> DataFrame:
+    """From stored files to the published ones: ``daily`` as CSV and ``headline`` as JSON below ``out``.
+
+    ``stored`` names the folders of scored ``mentions``, the capture ``log``, the account ``pools`` and the files of pool
+    ``sources`` and ``factors``; ``schemas`` those of the first three and of the factors. Returns the daily table as it was written.
+    """
+    scored = tables.load_concat_csv(spark, stored["mentions"], schemas["mentions"]).drop("filename")
+    log = tables.load_concat_csv(spark, stored["log"], schemas["log"]).drop("filename")
+    slots = slot_series(
+        scored, log, tables.load_pool_sources(spark, stored["sources"]), tables.load_pools(spark, stored["pools"], schemas["pools"]),
+        tables.robust_load_csv(spark, stored["factors"], schemas["factors"]), query, bad, start, hours)
+    write_series(daily_series(slots, hours, until), f"{out}/daily")
+    days = agg_by_day(slots, "slot", ["final_n_hate", "final_n_tweets"], hours)
+    write_headline(headline_numbers(days, "day", "final_n_hate", today), f"{out}/headline")
+    return spark.read.option("header", True).schema("day STRING, total LONG, violent LONG, percent DOUBLE").csv(f"{out}/daily")

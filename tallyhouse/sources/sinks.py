@@ -44,6 +44,11 @@ def headline_numbers(series: DataFrame, day: str, hate: str, today: str) -> Data
     )
 
 
+def write_headline(numbers: DataFrame, path: str) -> None:
+    """One JSON object: the table of headline numbers has one row."""
+    numbers.coalesce(1).write.mode("overwrite").json(path)
+
+
 def export_for_annotation(df: DataFrame, keep: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """Sheet for annotators: chosen columns plus empty label columns."""
     return df.select(*keep, *[F.lit(None).cast("int").alias(c) for c in labels])

@@ -468,3 +468,36 @@ def test_missing_keys_are_no_group_and_lookups_do_not_grow(spark):
     for run in (lambda: filters.fill_from(df, double, "k", ["v"], {}), lambda: joins.keep_facts(double, df.select("k"), ["k"])):
         with pytest.raises(Exception, match="more than one row"):
             run().collect()
+
+
+def test_first_rows_for_any_number(spark):
+    df = spark.range(5000).select("id", hashing.uniform("s", "id").alias("u"))
+    for n in (0, 1, 7, 2500, 4999, 6000):
+        got = [r["id"] for r in ranking.first_rows(df, F.col("u"), ["id"], n).collect()]
+        assert sorted(got) == sorted(r["id"] for r in df.orderBy("u", "id").limit(n).collect())
+    tied = spark.range(100).select("id", F.lit(0.5).alias("u"))
+    assert sorted(r["id"] for r in ranking.first_rows(tied, F.col("u"), ["id"], 10).collect()) == list(range(10))
+    plan = sampling.plan_batch(df.withColumn("sample_weight", F.lit(1.0)), 1000, "2024-01-01 00:30:00", "x")
+    assert "TakeOrderedAndProject" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_log_batches_are_whole(spark):
+    log = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), 2), (2, dt.datetime(2024, 1, 1), 2)], "id LONG, batch_time TIMESTAMP_NTZ, batch_size LONG")
+    assert vs.checked_log(log).count() == 2
+    for bad in (log.limit(1), log.withColumn("batch_size", F.col("id"))):
+        with pytest.raises(Exception, match="not whole"):
+            vs.checked_log(bad).collect()
+
+
+def test_majority_by_label_without_some_raters(spark):
+    rows = [(1, "x", "A", 1), (1, "x", "B", 0), (1, "y", "A", 1), (1, "y", "B", 0), (1, "z", "A", 1), (1, "z", "C", 0), (1, "z", "D", 0)]
+    votes = spark.createDataFrame(rows, "id INT, label STRING, annotator STRING, value INT")
+    run = lambda **k: {r["label"]: r["final"] for r in agreement.majority_label(votes, {"x": 1, "y": 0}, ("id", "label"), **k).collect()}
+    assert run() == {"x": 1, "y": 0, "z": 0} and run(ignored=["C", "D"]) == {"x": 1, "y": 0, "z": 1}
+
+
+def test_outer_join_refuses_unmatched_ids(spark):
+    a, b = spark.createDataFrame([(1, 2)], "id INT, x INT"), spark.createDataFrame([(1, 3), (4, 5)], "id INT, y INT")
+    with pytest.raises(Exception, match="missing on one side"):
+        joins.matched_only(joins.full_outer(a, b, "id")).collect()
+    assert joins.matched_only(joins.full_outer(a, b.limit(1), "id")).count() == 1
