@@ -111,7 +111,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     keyed = docs.select(W.row_key(row_id, text).alias("key"), F.col(text).alias("text"))
     paths = saved(keyed.mapInArrow(lambda it: _paths(it, width, k), "key long, pos int, n int, kmer long, h1 long, h2 long"), "paths")
     shared = saved(paths.groupBy("kmer").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("kmer"), "kmers")
-    open_paths = paths.join(shared, "kmer")
+    # Written once, so that a k-mer of many texts can be split in the join and is pre-aggregated afterwards.
+    open_paths = saved(paths.join(shared, "kmer"), "open")
     classes = open_paths.groupBy("kmer", "h1", "h2").agg(
         F.count(F.lit(1)).alias("members"), F.min(F.struct("key", "pos", "n")).alias("source"))
     classes = saved(classes, "classes")
