@@ -88,9 +88,9 @@ def numeric_preprocess(spark, sf):
 def classifiers(spark, sf):
     d = mo.with_tokens(_labelled(spark, sf)).withColumn("w", F.when(F.col("toxic") == 1, 1.5).otherwise(1.0))
     fits = {
-        "forest": (mo.text_classifier("forest", "toxic", 1 << 12, weight="w", numTrees=20, seed=7).fit(d), 0.35),
-        "logistic": (mo.text_classifier("logistic", "toxic", 1 << 12, regParam=0.05, maxIter=20).fit(d), 0.2),
-        "bayes": (mo.text_classifier("bayes", "toxic", 1 << 12, smoothing=0.1).fit(d), 0.1),
+        "forest": (mo.text_classifier("forest", "toxic", 1 << 16, weight="w", numTrees=20, seed=7).fit(d), 0.35),
+        "logistic": (mo.text_classifier("logistic", "toxic", 1 << 16, regParam=0.05, maxIter=20).fit(d), 0.2),
+        "bayes": (mo.text_classifier("bayes", "toxic", 1 << 16, smoothing=0.1).fit(d), 0.1),
     }
     voted = mo.weighted_vote(d, fits, "doc_id")
     return voted.select("doc_id", "toxic", "pred_forest", "pred_logistic", "pred_bayes", "vote")
@@ -124,7 +124,7 @@ def baselines(spark, sf):
 
 def grid_search(spark, sf):
     d = mo.with_tokens(_labelled(spark, sf))
-    pipe = mo.text_classifier("logistic", "quality", 1 << 10, maxIter=15)
+    pipe = mo.text_classifier("logistic", "quality", 1 << 16, maxIter=15)
     return mo.grid_search(d, pipe, {pipe.getStages()[-1].regParam: [0.01, 0.3]}, mo.area_under_roc("quality"), 3, "doc_id", "m13")
 
 
@@ -136,7 +136,7 @@ def regression_scores(spark, sf):
 def learning_curve(spark, sf):
     d = mo.with_tokens(_labelled(spark, sf))
     late = uniform("m15-part", "doc_id") < 0.3
-    pipe = mo.text_classifier("bayes", "quality", 1 << 10)
+    pipe = mo.text_classifier("bayes", "quality", 1 << 16)
     return mo.learning_curve(d.where(~late), d.where(late), pipe, "quality", "doc_id", 4, "m15")
 
 

@@ -82,6 +82,18 @@ def shuffle_columns(spark, sf):
     return sm.shuffle_columns(o, ["o_orderstatus", "o_orderpriority"], "o_orderkey", "s12")
 
 
+# CRC-32 in SQL: the table of its 256 remainders, and the sum over the bytes of a text.
+CRC_TABLE = (
+    "list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), "
+    "lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i))"
+)
+
+
+def crc32(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
 _W = "1.0::DOUBLE / (1 + c_nationkey % 4)"
 _BATCH = f"""a AS (SELECT c_custkey AS id FROM customer ORDER BY -ln({U('a', 'c_custkey')}) / ({_W}), c_custkey LIMIT (SELECT count(*) // 4 FROM customer)),
   b AS (SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT id FROM a) ORDER BY -ln({U('b', 'c_custkey')}) / ({_W}), c_custkey LIMIT (SELECT count(*) // 4 FROM customer))"""
@@ -115,11 +127,17 @@ QUERIES = {
     "random_set_split": (random_set_split, f"""
         WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY {U('s8', 'doc_id')}, doc_id) AS r, count(*) OVER () AS n FROM documents)
         SELECT doc_id, (r > n - round_even(n * 0.25::DOUBLE, 0))::INT + (r > n - round_even(n * 0.25::DOUBLE, 0) - round_even(n * 0.125::DOUBLE, 0))::INT AS "set" FROM p"""),
-    "split_by_string": (split_by_string, None),
+    "split_by_string": (split_by_string, f"""
+        WITH t AS (SELECT {CRC_TABLE} AS tab)
+        SELECT doc_id, (crc < floor(0.3::DOUBLE * 4294967296))::INT AS in_test
+        FROM (SELECT doc_id, {crc32("replace(text, 'The ', '')")} AS crc FROM documents, t)"""),
     "split_by_date": (split_by_date, """
         SELECT CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' ELSE 'test' END AS part, count(*) AS n,
           strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM events GROUP BY 1"""),
-    "split_by_date_and_string": (split_by_date_and_string, None),
+    "split_by_date_and_string": (split_by_date_and_string, f"""
+        WITH t AS (SELECT {CRC_TABLE} AS tab)
+        SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN {crc32("props")} < 2147483648 THEN 'test' ELSE 'validation' END AS part
+        FROM events, t"""),
     "stratified_split": (stratified_split, f"""
         SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {U('s11', 'doc_id')}, doc_id)
           <= round_even(count(*) OVER (PARTITION BY quality) * 0.3::DOUBLE, 0) THEN 'test' ELSE 'train' END AS part FROM labels"""),

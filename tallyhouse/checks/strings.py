@@ -304,7 +304,8 @@ QUERIES = {
         SELECT doc_id, md5(array_to_string(list_filter(split({_SQ.format('text')}, ' '), lambda t: NOT list_contains({list(_EN)}, t)), ' ')) AS digest FROM documents"""),
     "replace_bold_unicode": (replace_bold_unicode, """
         SELECT unnest([120276, 119808, 120328, 119860, 120380, 119912])::INT AS style, count(*) AS n_same, sum(length(text))::BIGINT AS chars FROM documents"""),
-    "std_string": (std_string, None),
+    "std_string": (std_string, """
+        SELECT doc_id, md5(lower(trim(regexp_replace(text || ' fim 1⁄2', '\\s+', ' ', 'g')))) AS digest FROM documents"""),
     "crop_strings": (crop_strings, """
         SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END AS head,
           '...' || substr(text, 11, 20) || CASE WHEN length(text) > 20 THEN '...' ELSE '' END AS "inner" FROM documents"""),
