@@ -141,7 +141,7 @@ def learning_curve(spark, sf):
 
 
 def text_clusters(spark, sf):
-    return mo.text_clusters(T(spark, sf, "documents").select("doc_id", "text"), "text", 12, 20, vocabulary=400).drop("text")
+    return mo.text_clusters(T(spark, sf, "documents").select("doc_id", "text"), "text", 12, 20, "doc_id").drop("text")
 
 
 def class_weights(spark, sf):

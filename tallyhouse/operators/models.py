@@ -10,10 +10,10 @@ from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomFore
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import (
-    IDF, PCA, CountVectorizer, HashingTF, Normalizer, OneHotEncoder, StandardScaler, StringIndexer,
+    HashingTF, OneHotEncoder, StandardScaler, StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark import StorageLevel
@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 from tallyhouse.functions.hashing import uniform
 from tallyhouse.functions.text import tokens
+from tallyhouse.operators.factors import tf_idf, truncated_svd
 from tallyhouse.operators.metrics import binary_metrics
 from tallyhouse.operators.ranking import exact_quantiles, rank_by_uniform
+from tallyhouse.operators.terms import exploded
 
 BatchScorer = Callable[[], Callable[[pd.Series], Sequence[float]]]
 
@@ -208,27 +210,22 @@ def learning_curve(
 
 
 def text_clusters(
-    df: DataFrame, text: str, k: int, components: int, vocabulary: int = 4096, min_df: float = 4.0, stopwords: Sequence[str] = (), seed: int = 7
+    df: DataFrame, text: str, k: int, components: int, key: str, min_df: int = 4, max_df: float = 0.95, stopwords: Sequence[str] = (), seed: int = 7
 ) -> DataFrame:
     """Cluster of each text and the weight 1 / cluster size.
 
-    TF-IDF over a bounded vocabulary, projected on its main components, then k-means.
-    The covariance has vocabulary^2 numbers, so the vocabulary is a parameter.
+    TF-IDF over all words that are neither rare nor nearly everywhere, projected on its first singular vectors
+    (not centred), then k-means. Texts without such a word lie at the origin. ``key`` is unique.
     """
-    stop = F.array(*[F.lit(w) for w in stopwords]).cast("array<string>")
-    rows = with_tokens(df, text).withColumn("tokens", F.filter("tokens", lambda t: ~F.array_contains(stop, t)))
-    counted = CountVectorizer(inputCol="tokens", outputCol="_tf", vocabSize=vocabulary, minDF=min_df).fit(rows)
-    size = len(counted.vocabulary)
-    # The fits below read the counts many times; texts are tokenised for them only once.
-    counts = counted.transform(rows).select(*df.columns, "_tf")
-    held = counts.select("_tf").persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = Pipeline(stages=[
-        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit"),
-        PCA(k=min(components, size), inputCol="_unit", outputCol="_pc"),
-        KMeans(k=k, featuresCol="_pc", predictionCol="cluster_id", seed=seed),
-    ]).fit(held)
-    held.unpersist()
-    out = fitted.transform(counts).select(*df.columns, "cluster_id")
+    words = tokens(F.col(text))
+    words = F.filter(words, lambda t: ~t.isin(*stopwords)) if stopwords else words
+    counts = exploded(df, words, key).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    placed, values = truncated_svd(tf_idf(counts, key, min_df=min_df, max_df=max_df), key, "token", components)
+    names = [f"z{i}" for i in range(len(values))]
+    full = df.select(key).join(placed, key, "left").fillna(0.0, subset=names)
+    points = full.select(key, array_to_vector(F.array(*names)).alias("_pc")).persist(StorageLevel.MEMORY_AND_DISK)
+    model = KMeans(k=k, featuresCol="_pc", predictionCol="cluster_id", seed=seed).fit(points)
+    out = df.join(model.transform(points).select(key, "cluster_id"), key)
     sizes = out.groupBy("cluster_id").agg((1.0 / F.count(F.lit(1))).alias("cluster_weight"))
     return out.join(sizes, "cluster_id").select(*df.columns, "cluster_id", "cluster_weight")
 

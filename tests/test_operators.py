@@ -501,3 +501,26 @@ def test_outer_join_refuses_unmatched_ids(spark):
     with pytest.raises(Exception, match="missing on one side"):
         joins.matched_only(joins.full_outer(a, b, "id")).collect()
     assert joins.matched_only(joins.full_outer(a, b.limit(1), "id")).count() == 1
+
+
+def test_truncated_svd_against_numpy(spark):
+    from tallyhouse.operators import factors
+
+    rng = np.random.default_rng(4)
+    m = rng.random((40, 25)) * (rng.random((40, 25)) < 0.3) * np.linspace(1, 6, 25)
+    rows = [(i, f"t{j}", float(m[i, j])) for i in range(40) for j in range(25) if m[i, j]]
+    placed, values = factors.truncated_svd(spark.createDataFrame(rows, "doc INT, token STRING, w DOUBLE"), "doc", "token", 3, rounds=12)
+    u, s, _ = np.linalg.svd(m)
+    assert values == pytest.approx(s[:3], rel=1e-6)
+    got = placed.toPandas().sort_values("doc")[["z0", "z1", "z2"]].to_numpy()
+    assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3])[sorted({r[0] for r in rows})], abs=1e-4)
+
+
+def test_tf_idf_weights(spark):
+    from tallyhouse.operators import factors
+
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1), (2, "c", 1), (3, "a", 1)], "doc INT, token STRING, n LONG")
+    got = {(r["doc"], r["token"]): r["w"] for r in factors.tf_idf(counts, "doc").collect()}
+    a, b = 2 * (np.log(4 / 4) + 1), np.log(4 / 2) + 1
+    assert got[(1, "a")] == pytest.approx(a / np.hypot(a, b)) and got[(3, "a")] == pytest.approx(1.0)
+    assert {r["token"] for r in factors.tf_idf(counts, "doc", max_df=0.9).collect()} == {"b", "c"}
