@@ -13,7 +13,7 @@ from tallyhouse.functions.hashing import uniform
 from tallyhouse.session import scratch_path
 
 SPARE = 8  # directions iterated beyond those wanted
-ROUNDS = 6
+ROUNDS = 4
 
 
 def tf_idf(counts: DataFrame, row: str, column: str = "token", n: str = "n", min_df: int = 1, max_df: float = 1.0) -> DataFrame:
@@ -60,9 +60,14 @@ def _gram(df: DataFrame, k: int) -> np.ndarray:
 
 def _times(df: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
     """Rows times a small matrix."""
-    names = _names(matrix.shape[0])
-    cells = [sum((F.col(n) * F.lit(float(m)) for n, m in zip(names, matrix[:, j])), F.lit(0.0)).alias(f"z{j}") for j in range(matrix.shape[1])]
-    return df.select(key, *cells)
+    names, out = _names(matrix.shape[0]), _names(matrix.shape[1])
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.concat([b[[key]].reset_index(drop=True), pd.DataFrame(b[names].to_numpy(dtype=float) @ matrix, columns=out)], axis=1)
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, *names).mapInPandas(part, ", ".join([f"`{key}` {kind}", *[f"{n} double" for n in out]]))
 
 
 def _product(entries: DataFrame, other: DataFrame, on: str, to: str, k: int) -> DataFrame:
