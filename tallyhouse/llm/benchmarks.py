@@ -11,9 +11,9 @@ within the radius. Pairs within the radius are then compared exactly: weighted J
 the two multisets of shingles, kept from ``similarity`` on.
 
 Before fingerprints are made, windows that cannot pass the exact comparison are left out: if less
-than ``similarity`` of the weight of a window lies in shingles of any item of that kind, the
-weighted Jaccard similarity with each item is smaller still. The bound is computed for all windows,
-so nothing is lost.
+than ``similarity`` of the weight of a window lies in shingles of items of its size, the weighted
+Jaccard similarity with each such item is smaller still. The bound holds for all windows, so
+nothing is lost.
 
 Items are a table of their own size: they are handled in slices of ``ITEM_WORDS`` words, so that
 what is sent to tasks is bounded; more items mean more passes over the texts.
@@ -105,81 +105,82 @@ def item_table(benchmark: DataFrame, row_id: str = "item_id", text: str = "text"
 
 
 class ItemIndex:
-    """Shingles of a slice of items with their weights, and the item sizes, by shingle length."""
+    """Shingles of a slice of items: weights, and the sizes of the items that hold each, by shingle length."""
 
     def __init__(self, rows: list):
-        self.sizes: dict[int, list[int]] = {}
         values: dict[int, float] = {}
+        sizes: dict[int, set[tuple[int, int]]] = {}
         for r in rows:
-            self.sizes.setdefault(r["k"], []).append(r["size"])
-            values.update(zip(r["shingles"], r["weights"]))
-        self.sizes = {k: sorted(set(v)) for k, v in self.sizes.items()}
+            for shingle, weight in zip(r["shingles"], r["weights"]):
+                values[shingle] = weight
+                sizes.setdefault(shingle, set()).add((r["k"], r["size"]))
+        self.lengths = sorted({r["k"] for r in rows})
         self.shingles = np.array(sorted(values), dtype=np.int64)
         self.weights = np.array([values[x] for x in self.shingles.tolist()], dtype=np.float64)
-        self.bits = max(16, int(len(self.shingles) * 32 - 1).bit_length()) if values else 16
-        self.mask = _U((1 << self.bits) - 1)
-        self.seen = np.zeros(1 << self.bits, dtype=bool)
+        listed = [sorted(size for _, size in sizes[x]) for x in self.shingles.tolist()]
+        self.bounds = np.r_[0, np.cumsum([len(x) for x in listed])].astype(np.int64)
+        self.sizes = np.array([n for x in listed for n in x], dtype=np.int32)
+        self.mask = _U((1 << max(16, int(len(self.shingles) * 32).bit_length())) - 1)
+        self.seen = np.zeros(int(self.mask) + 1, dtype=bool)
         self.seen[(self.shingles.view(_U) & self.mask).astype(np.int64)] = True
 
-    def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of shingles of any item, and their weights."""
-        maybe = np.flatnonzero(self.seen[(shingles & self.mask).astype(np.int64)])
+    def find(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of shingles of any item, and their places in the index."""
+        maybe = np.flatnonzero(self.seen[(shingles & self.mask).view(np.int64)])
         if not len(maybe) or not len(self.shingles):
-            return maybe[:0], np.zeros(0)
+            return maybe[:0], maybe[:0]
         value = shingles[maybe].view(np.int64)
         at = np.minimum(np.searchsorted(self.shingles, value), len(self.shingles) - 1)
         hit = self.shingles[at] == value
-        return maybe[hit], self.weights[at[hit]]
+        return maybe[hit], at[hit]
+
+
+def _near(w: W.Words, g: np.ndarray, k: int, index: ItemIndex, similarity: float) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Windows (document, first word, size, shingles, weights) with enough weight in shingles of items of just this size."""
+    at, place = index.find(g)
+    owner = np.searchsorted(w.bounds, at, side="right") - 1
+    whole = at + k <= w.bounds[owner + 1]
+    at, place, owner = at[whole], place[whole], owner[whole]
+    many = index.bounds[place + 1] - index.bounds[place]
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    size = index.sizes[np.repeat(index.bounds[place], many) + step].astype(np.int64)
+    hit, doc = np.repeat(np.arange(len(at)), many), np.repeat(owner, many)
+    order = np.lexsort((hit, size, doc))
+    hit, doc, size = hit[order], doc[order], size[order]
+    cuts = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(size) != 0), True]) if len(hit) else []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        m, d = int(size[i]) - k + 1, int(doc[i])
+        a, b = int(w.bounds[d]), int(w.bounds[d + 1]) - k + 1
+        # A window of m shingles needs at least similarity * m of them, as no weight is above one.
+        if m < 1 or m > b - a or j - i < similarity * m - 1e-9:
+            continue
+        weights, own = np.ones(b - a), np.zeros(b - a)
+        first, last = np.searchsorted(owner, [d, d + 1])
+        weights[at[first:last] - a] = index.weights[place[first:last]]
+        mine = at[hit[i:j]] - a
+        own[mine] = weights[mine]
+        got, whole_weight = np.r_[0, np.cumsum(own)], np.r_[0, np.cumsum(weights)]
+        got, whole_weight = got[m:] - got[:-m], whole_weight[m:] - whole_weight[:-m]
+        for p in np.flatnonzero(got >= similarity * whole_weight - 1e-9).tolist():
+            yield d, p, m + k - 1, g[a + p:a + p + m], weights[p:p + m]
 
 
 def _windows(batches: Iterator[pa.RecordBatch], index: ItemIndex, similarity: float) -> Iterator[pa.RecordBatch]:
     """Item-sized windows that can reach the similarity, with fingerprint and shingles."""
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
     for batch in batches:
-        keys = batch.column(0)
-        out: dict[str, list] = {"row": [], "start": [], "size": [], "f0": [], "f1": [], "shingles": [], "weights": []}
-        for first, last, w in _slices(batch, "text"):
+        out: list[tuple] = []
+        for first, _, w in _slices(batch, "text"):
             h = w.hashes()
-            for k, sizes in index.sizes.items():
-                if len(h) < k:
-                    continue
-                g = W.grams(h, k, k)
-                at, weight = index.weigh(g)
-                if not len(at):
-                    continue
-                owner = np.searchsorted(w.bounds, at, side="right") - 1
-                whole = at + k <= w.bounds[owner + 1]
-                at, weight, owner = at[whole], weight[whole], owner[whole]
-                docs, counts = np.unique(owner, return_counts=True)
-                # A window of m shingles needs at least similarity * m of them to be of an item.
-                for d in docs[counts >= np.ceil(similarity * (sizes[0] - k + 1) - 1e-9)].tolist():
-                    mine = owner == d
-                    a, b = int(w.bounds[d]), int(w.bounds[d + 1]) - k + 1
-                    own = np.zeros(b - a)
-                    rest = np.ones(b - a)
-                    own[at[mine] - a] = weight[mine]
-                    rest[at[mine] - a] = 0
-                    hits, misses = np.r_[0, np.cumsum(own)], np.r_[0, np.cumsum(rest)]
-                    weights = own + rest
-                    for size in sizes:
-                        m = size - k + 1
-                        if m > b - a:
-                            break
-                        got, lost = hits[m:] - hits[:-m], misses[m:] - misses[:-m]
-                        for p in np.flatnonzero(got >= similarity * (got + lost) - 1e-9).tolist():
-                            shingles = g[a + p:a + p + m]
-                            f0, f1 = fingerprint(shingles, weights[p:p + m])
-                            out["row"].append(first + d)
-                            out["start"].append(p)
-                            out["size"].append(size)
-                            out["f0"].append(f0)
-                            out["f1"].append(f1)
-                            out["shingles"].append(shingles.view(np.int64))
-                            out["weights"].append(weights[p:p + m])
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-        rows = pa.array(out.pop("row"), type=pa.int64())
+            for k in index.lengths:
+                if len(h) >= k:
+                    out += [(first + d, p, size, *fingerprint(x, v), x.view(np.int64), v.copy())
+                            for d, p, size, x, v in _near(w, W.grams(h, k, k), k, index, similarity)]
+        columns = list(zip(*out)) or [()] * 7
+        rows = pa.array(columns[0], type=pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [keys.take(rows), batch.column(1).take(rows)] + [pa.array(v, type=t) for v, t in zip(out.values(), kinds)],
-            names=["doc", "row_key", *out])
+            [batch.column(0).take(rows), batch.column(1).take(rows)] + [pa.array(v, type=t) for v, t in zip(columns[1:], kinds)],
+            names=["doc", "row_key", "start", "size", "f0", "f1", "shingles", "weights"])
 
 
 def _bounds() -> list[tuple[int, int]]:
