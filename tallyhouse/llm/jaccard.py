@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     placed = saved(tiles.join(sides, "tile").select("key", "members", "bytes", "pair", "side"), "placed")
     total = placed.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     n_units = max(1, math.ceil(total / UNIT_BYTES))
-    texts = keyed.select("key", "text").join(placed.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    # Merged by the key at every size: one exchange of the texts, which grows with the input and no faster.
+    texts = keyed.select("key", "text").join(placed.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     checked = saved(
         texts.join(placed, "key").select("key", "text", "members", "side", "pair", F.pmod("pair", F.lit(n_units)).alias("unit"))
         .groupBy("unit").applyInArrow(lambda t: _verify(t, similarity), "key long, links long, parent long"), "checked")
