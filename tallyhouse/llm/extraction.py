@@ -47,17 +47,17 @@ SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "optio
 ASIDE_ELEMENTS = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "search"))
 ASIDE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"))
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies copyright discuss discussion disqus footer gdpr header login masthead menu modal nav navbar navigation navi newsletter notice notices "
-    "notification overlay pager pagination paywall popup privacy promo promoted promotion promotions recommended recommendations related "
-    "replies reply respond responses share sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription "
-    "tags teaser teasers toolbar topbar topnav trending widget widgets".split())
+    "ad adbox ads adv advert adverts advertisement advertising advertorial alert banner blogroll breadcrumb breadcrumbs comment comments commentlist "
+    "consent cookie cookies copyright disclaimer discuss discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation navi "
+    "newsletter notice notices notification overlay pager pagination paywall popular popup privacy promo promoted promotion promotions rail recommended "
+    "recommendations related replies reply respond responses share sharing side sidebar sidebars sidenav signup skip social sponsor sponsored sponsors "
+    "subscribe subscription tags teaser teasers toolbar topbar topnav trending widget widgets".split())
 MAIN_WORDS = frozenset(("article", "articlebody", "entry", "story"))
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "inside", "has_article")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
