@@ -14,7 +14,7 @@ a block depends on how frequent an n-gram is, and the numbers of both follow the
 
 Defined results: null and empty texts have no words, score null and share null; repeated rows are documents of their
 own and do predict each other; extra columns are not used; an empty table gives an empty result. N-grams are
-compared by 64-bit hashes.
+compared by hashes of ``SPARE_BITS`` bits more than the corpus needs to number its words, 64 at most.
 """
 
 from __future__ import annotations
@@ -33,20 +33,23 @@ from tallyhouse.llm.saved import saved
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_BYTES = 16_000_000
-BUCKET_GRAMS = 3_000_000
+BLOCK_BYTES = 10_000_000
+BUCKET_GRAMS = 2_000_000
+SPARE_BITS = 24
 BYTES_PER_WORD = 6
 _U = np.uint64
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Byte planes of the numbers: those of small numbers are mostly zero and compress well."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Byte planes of the numbers, compressed: those of small numbers take next to no room."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True) + len(planes).to_bytes(8, "little")
 
 
 def _unpack(raw: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+    planes = pa.decompress(raw[:-8], decompressed_size=int.from_bytes(raw[-8:], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 class Block:
@@ -63,10 +66,10 @@ class Block:
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the last words of all n-grams of one order, and the hashes of these."""
+    def grams(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the last words of all n-grams of one order, and ``bits`` bits of hash of these."""
         last = np.flatnonzero(self.place >= order - 1)
-        return last, W.grams(self.words, order, order)[last - (order - 1)]
+        return last, W.grams(self.words, order, order)[last - (order - 1)] >> _U(64 - bits)
 
 
 def _sorted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,15 +79,15 @@ def _sorted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, ranked, heads
 
 
-def _requests(table: pa.Table, orders: int, buckets: int) -> pa.Table:
+def _requests(table: pa.Table, orders: int, buckets: int, bits: int) -> pa.Table:
     """Distinct n-grams of a block and their counts, in one packed run for each order and bucket."""
     block = table.column("block")[0].as_py()
     words = Block(table)
     out: dict[str, list] = {"bucket": [], "block": [], "gram_order": [], "grams": [], "counts": []}
-    step = (1 << 64) // buckets + 1
-    edges = np.array([min(b * step, (1 << 64) - 1) for b in range(1, buckets)], dtype=_U)
+    step = (1 << bits) // buckets + 1
+    edges = np.array([min(b * step, (1 << bits) - 1) for b in range(1, buckets)], dtype=_U)
     for k in range(1, orders + 1):
-        _, grams = words.grams(k)
+        _, grams = words.grams(k, bits)
         _, ranked, heads = _sorted(grams)
         values, counts = ranked[heads], np.diff(np.r_[heads, len(ranked)]).astype(np.uint32)
         cuts = np.r_[0, np.searchsorted(values, edges), len(values)]
@@ -119,14 +122,14 @@ def _totals(table: pa.Table) -> pa.Table:
                     names=["block", "bucket", "gram_order", "totals"])
 
 
-def _scores(docs: pa.Table, answers: pa.Table, orders: int, alpha: float) -> pa.Table:
+def _scores(docs: pa.Table, answers: pa.Table, orders: int, alpha: float, bits: int) -> pa.Table:
     """Sum of the logarithms of S of each document, all but the number of words of the corpus."""
     words = Block(docs)
     n = len(words.words)
     penalty = math.log(alpha)
     counts = []  # by order and last word: occurrences in all other documents
     for k in range(1, orders + 1):
-        last, grams = words.grams(k)
+        last, grams = words.grams(k, bits)
         order, ranked, heads = _sorted(grams)
         mine = answers.filter(pc.equal(answers.column("gram_order"), k)).sort_by("bucket")
         runs = [_unpack(x.as_py(), np.uint64) for x in mine.column("totals")]
@@ -161,13 +164,15 @@ def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text", order: in
     size = W.total_bytes(docs, text)
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     buckets = max(1, math.ceil(size / BYTES_PER_WORD * order / BUCKET_GRAMS))
+    # So many bits that one n-gram in 2^24 meets another one's hash, or all there are.
+    bits = min(64, SPARE_BITS + max(1, size // BYTES_PER_WORD).bit_length())
     dealt = keyed.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), "id", "text")
     asked = dealt.groupBy("block").applyInArrow(
-        lambda t: _requests(t, order, buckets), "bucket int, block int, gram_order int, grams binary, counts binary")
+        lambda t: _requests(t, order, buckets, bits), "bucket int, block int, gram_order int, grams binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(_totals, "block int, bucket int, gram_order int, totals binary")
     kind = dict(keyed.dtypes)["id"]
     partial = saved(dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
-        lambda left, right: _scores(left, right, order, alpha), f"id {kind}, n_words long, n_single long, n_full long, partial double"), "scores")
+        lambda left, right: _scores(left, right, order, alpha, bits), f"id {kind}, n_words long, n_single long, n_full long, partial double"), "scores")
     total = partial.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     others = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
     whole = F.when(F.col("n_words") > 0, F.col("partial") - F.col("n_single") * F.ln(others))
