@@ -46,7 +46,7 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, W.Wo
     data, offsets = W.text_bytes(pc.utf8_lower(batch.column(batch.schema.get_field_index(column))))
     first, rows = 0, len(offsets) - 1
     while first < rows:
-        last = int(np.searchsorted(offsets, offsets[first] + 1_000_000, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + 400_000, side="right")) - 1
         last = min(max(last, first + 1), rows)
         yield first, last, W.cut(_SPACED[data[offsets[first]:offsets[last]]], offsets[first:last + 1] - offsets[first])
         first = last

@@ -37,7 +37,7 @@ from tallyhouse.llm.words import lists
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO_UNITS = 250_000
+MEMO_UNITS = 150_000
 
 
 class Vocabulary:
@@ -204,30 +204,40 @@ def encoder_of(vocabulary: Vocabulary) -> Encoder:
     return _ENCODERS[name]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each whole text as an array of int."""
-    schema = T.StructType([f for f in docs.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    kept = [f.name for f in docs.schema if f.name != out]
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", check: str | None = None) -> DataFrame:
+    """Add the ids of each whole text as an array of int, and with ``check`` whether decoding them gives the text back."""
+    kept = [f.name for f in docs.schema if f.name not in (out, check)]
+    added = [T.StructField(out, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(check, T.BooleanType())] if check else [])
+    schema = T.StructType([f for f in docs.schema if f.name in kept] + added)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value)
+        encoder, surfaces = encoder_of(shared.value), shared.value.surfaces
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            for first in range(0, max(batch.num_rows, 1), 500):
-                part = [None if x is None else encoder.encode(x) for x in texts.slice(first, 500).to_pylist()]
+            for first in range(0, batch.num_rows, 200):
+                given = texts.slice(first, 200).to_pylist()
+                part = [None if x is None else encoder.encode(x) for x in given]
                 sizes = np.array([0 if x is None else len(x) // 4 for x in part], dtype=np.int64)
                 ids = lists(np.frombuffer(b"".join(x for x in part if x), dtype=np.int32), np.r_[0, np.cumsum(sizes)], pa.int32())
                 if None in part:
                     gone = pa.array([x is None for x in part])
                     ids = pa.ListArray.from_arrays(ids.offsets, ids.values, mask=gone)
-                rows = batch.slice(first, 500)
-                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in kept] + [ids], names=[*kept, out])
+                rows = batch.slice(first, 200)
+                columns = [rows.column(rows.schema.get_field_index(c)) for c in kept] + [ids]
+                if check:
+                    same = [x is None or decoded(np.frombuffer(p, dtype=np.int32).tolist(), surfaces) == x for x, p in zip(given, part)]
+                    columns.append(pa.array(same, type=pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def decoded(ids: list[int], surfaces: list[bytes]) -> str:
+    """Text of a list of ids, without the mark in front."""
+    return b"".join(map(surfaces.__getitem__, ids))[1:].decode("utf-8", errors="replace")
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "text") -> DataFrame:
     """Add the text of each array of ids. Ids outside the vocabulary raise an error."""
     schema = T.StructType([f for f in encoded.schema if f.name != out] + [T.StructField(out, T.StringType())])
@@ -238,15 +248,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
         surfaces = shared.value.surfaces
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            for first in range(0, max(batch.num_rows, 1), 500):
-                texts = []
-                for row in column.slice(first, 500):
-                    if not row.is_valid:
-                        texts.append(None)
-                        continue
-                    raw = b"".join(map(surfaces.__getitem__, row.values.to_numpy(zero_copy_only=False).tolist()))
-                    texts.append(raw[1:].decode("utf-8", errors="replace"))
-                rows = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, 200):
+                texts = [decoded(row.values.to_numpy(zero_copy_only=False).tolist(), surfaces) if row.is_valid else None for row in column.slice(first, 200)]
+                rows = batch.slice(first, 200)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(rows.schema.get_field_index(c)) for c in kept] + [pa.array(texts, type=pa.string())], names=[*kept, out])
 
@@ -255,9 +259,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
 
 def encode_and_check(docs: DataFrame, vocabulary: Vocabulary, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Row id, ids, their number, and whether decoding them gives the text back exactly."""
-    encoded = encode(docs.select(row_id, text), vocabulary, text)
-    back = decode(encoded, vocabulary, out="decoded")
-    return back.select(row_id, "ids", F.size("ids").alias("n_ids"), F.col(text).eqNullSafe(F.col("decoded")).alias("exact"))
+    done = encode(docs.select(row_id, text), vocabulary, text, check="exact")
+    return done.select(row_id, "ids", F.size("ids").alias("n_ids"), "exact")
 
 
 def default_vocabulary(path: str | None = None) -> Vocabulary:

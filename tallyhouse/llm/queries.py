@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 from tallyhouse.llm import backoff, benchmarks, extraction, jaccard, language, linkgraph, passages, pieces, quality, sharding
 
 
+BATCH_ROWS = "1000"  # of whole texts, in an exchange with a Python worker
+
+
 def with_code(spark: SparkSession) -> SparkSession:
-    """Ship this package to the Python workers, once per application; they need not have it installed."""
+    """Ship this package to the Python workers, once per application; they need not have it installed.
+
+    Rows are exchanged with them in small batches, since each holds a whole text.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_tallyhouse_code", False):
         return spark

@@ -282,6 +282,8 @@ def test_pieces_round_trip(documents, odd, vocabulary):
         got = pieces.encode_and_check(df, vocabulary)
         assert got.count() == df.count() and got.where("not exact").count() == 0
     assert rows_of(pieces.encode_and_check(odd, vocabulary).where("doc_id = 3"), "ids") == [(None,)]
+    back = pieces.decode(pieces.encode(odd, vocabulary), vocabulary, out="back")
+    assert back.where("not (text <=> back)").count() == 0
     kept = pieces.encode(odd.withColumn("ids", F.lit("x")), vocabulary)
     assert kept.columns == [*odd.columns, "ids"] and pieces.encode(odd.limit(0), vocabulary).count() == 0
 
