@@ -9,7 +9,7 @@ from tallyhouse.llm import benchmarks, jaccard, language, passages, pieces
 from tallyhouse.llm.queries import table, with_code
 from tallyhouse.llm.saved import saved
 
-LEAST_SHARE = 0.5
+LEAST_SHARE = 1 / 3
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -19,7 +19,7 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters go, and those in which no language has half of the words."""
+    """Documents with a language: those without letters go, and those in which no language has a third of the words."""
     with_code(spark)
     model = language.train(docs.where(language.fold() != 2))
     plain, name = _plain(docs)
