@@ -4,7 +4,7 @@ Method. Texts are compared in lower case, as words of letters and digits, in shi
 words (an item of fewer words is one shingle). A shingle weighs one over the number of items
 that hold it. The SimHash of a window is the sign of the weighted sum of 128 pseudo-random
 signs of its shingles. For every item size that occurs, windows of that size slide over every
-whole text word by word. The 128 bits are cut into blocks so that two fingerprints
+whole text word by word; a text shorter than an item is one window as a whole. The 128 bits are cut into blocks so that two fingerprints
 within ``radius`` differ in few bits in some block; the items' blocks are listed with all
 values within that many bits, so an equi-join on (size, block, value) meets every pair
 within the radius. Pairs within the radius are then compared exactly: weighted Jaccard similarity of
@@ -18,8 +18,7 @@ nothing is lost.
 Items are a table of their own size: they are handled in slices of ``ITEM_WORDS`` words, so that
 what is sent to tasks is bounded; more items mean more passes over the texts.
 
-Defined results: null and empty texts and items hold no words and match nothing; a text
-shorter than an item does not match it; repeated items match under each of their ids; repeated rows of one
+Defined results: null and empty texts and items hold no words and match nothing; repeated items match under each of their ids; repeated rows of one
 document id give one row. Only documents that match are returned. An empty table on either
 side gives an empty result, extra columns are not used.
 """
@@ -151,9 +150,10 @@ def _near(w: W.Words, g: np.ndarray, k: int, index: ItemIndex, similarity: float
     for i, j in zip(cuts[:-1], cuts[1:]):
         m, d = int(size[i]) - k + 1, int(doc[i])
         a, b = int(w.bounds[d]), int(w.bounds[d + 1]) - k + 1
-        # A window of m shingles needs at least similarity * m of them, as no weight is above one.
-        if m < 1 or m > b - a or j - i < similarity * m - 1e-9:
+        # A window needs at least similarity * m shingles of an item of m, as no weight is above one; a shorter text is one window.
+        if m < 1 or j - i < similarity * m - 1e-9:
             continue
+        m = min(m, b - a)
         weights, own = np.ones(b - a), np.zeros(b - a)
         first, last = np.searchsorted(owner, [d, d + 1])
         weights[at[first:last] - a] = index.weights[place[first:last]]
@@ -162,11 +162,11 @@ def _near(w: W.Words, g: np.ndarray, k: int, index: ItemIndex, similarity: float
         got, whole_weight = np.r_[0, np.cumsum(own)], np.r_[0, np.cumsum(weights)]
         got, whole_weight = got[m:] - got[:-m], whole_weight[m:] - whole_weight[:-m]
         for p in np.flatnonzero(got >= similarity * whole_weight - 1e-9).tolist():
-            yield d, p, m + k - 1, g[a + p:a + p + m], weights[p:p + m]
+            yield d, p, int(size[i]), g[a + p:a + p + m], weights[p:p + m]
 
 
 def _windows(batches: Iterator[pa.RecordBatch], index: ItemIndex, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Item-sized windows that can reach the similarity, with fingerprint and shingles."""
+    """Item-sized windows, and shorter texts as a whole, that can reach the similarity, with fingerprint and shingles."""
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
     for batch in batches:
         out: list[tuple] = []

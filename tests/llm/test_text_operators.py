@@ -263,6 +263,18 @@ def test_decontamination_against_all_windows(spark, documents):
     assert got == expected
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    """Whole documents that lack words of an item, with nothing around them."""
+    words_ = ["item" + str(i) for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(words_))], "item_id long, text string")
+    rows = [(1, words_), (2, words_[:-1]), (3, words_[1:]), (4, words_[:30] + words_[31:]), (5, words_[:48]), (6, words_[:47]), (7, words_[:40])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (list(r["item_ids"]), r["similarity"]) for r in benchmarks.contaminated(docs, bench).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: [1] for i in (1, 2, 3, 4, 5)}
+    assert [got[i][1] for i in (1, 2, 3, 4, 5)] == pytest.approx([1, 54 / 55, 54 / 55, 50 / 59, 44 / 55])
+    assert [r["doc_id"] for r in benchmarks.without_contaminated(docs, bench).orderBy("doc_id").collect()] == [6, 7]
+
+
 def test_item_blocks_meet_all_within_the_radius():
     draw = np.random.default_rng(1)
     bounds = benchmarks._bounds()
