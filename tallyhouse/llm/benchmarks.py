@@ -1,17 +1,17 @@
 """Documents that hold benchmark items, found by fingerprints of item-sized windows.
 
 Method. Texts are compared in lower case, as words of letters and digits, in shingles of five
-words (an item of fewer words is one shingle). A shingle weighs one over the number of items
-that hold it. The SimHash of a window is the sign of the weighted sum of 128 pseudo-random
+words (an item of fewer words is one shingle). All shingles weigh the same, so a similarity depends on the two
+texts alone. The SimHash of a window is the sign of the sum of 128 pseudo-random
 signs of its shingles. For every item size that occurs, windows of that size slide over every
 whole text word by word; a text shorter than an item is one window as a whole. The 128 bits are cut into blocks so that two fingerprints
 within ``radius`` differ in few bits in some block; the items' blocks are listed with all
 values within that many bits, so an equi-join on (size, block, value) meets every pair
-within the radius. Pairs within the radius are then compared exactly: weighted Jaccard similarity of
+within the radius. Pairs within the radius are then compared exactly: Jaccard similarity of
 the two multisets of shingles, kept from ``similarity`` on.
 
 Before fingerprints are made, windows that cannot pass the exact comparison are left out: if less
-than ``similarity`` of the weight of a window lies in shingles of items of its size, the weighted
+than ``similarity`` of the shingles of a window are shingles of items of its size, the
 Jaccard similarity with each such item is smaller still. The bound holds for all windows, so
 nothing is lost.
 
@@ -61,12 +61,12 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, W.Wo
         first = last
 
 
-def fingerprint(shingles: np.ndarray, weights: np.ndarray) -> tuple[int, int]:
-    """Two longs with the 128 signs of the weighted sum."""
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """Two longs with the 128 signs of the sum."""
     low = W.mix(shingles)
     high = W.mix(low ^ _U(0x5851F42D4C957F2D))
     planes = np.unpackbits(np.stack([low, high], axis=1).view(np.uint8), axis=1)
-    signs = (weights[:, None] * (planes.astype(np.float64) * 2 - 1)).sum(axis=0) > 0
+    signs = 2 * planes.sum(axis=0, dtype=np.int64) > len(planes)
     packed = np.packbits(signs).view(np.int64)
     return int(packed[0]), int(packed[1])
 
@@ -91,31 +91,24 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def item_table(benchmark: DataFrame, row_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Items with their size in words, shingle length, shingles and the weights of these."""
+    """Items with their size in words, shingle length and shingles."""
     kind = dict(benchmark.dtypes)[row_id]
     cut = benchmark.select(F.col(row_id).alias("item_id"), F.col(text).alias("text")).mapInArrow(
         _items, f"item_id {kind}, size int, k int, shingles array<long>")
-    one = cut.select("item_id", "size", "k", F.posexplode("shingles").alias("at", "shingle"), F.xxhash64("item_id", "shingles").alias("row"))
-    uses = one.groupBy("shingle").agg((F.lit(1.0) / F.count_distinct("item_id")).alias("weight"))
-    return (one.join(uses, "shingle").groupBy("row", "item_id", "size", "k")
-            .agg(F.array_sort(F.collect_set(F.struct("at", "shingle", "weight"))).alias("s"))
-            .select("item_id", "size", "k", F.col("s.shingle").alias("shingles"), F.col("s.weight").alias("weights"),
-                    F.pmod(F.col("row"), F.lit(1 << 30)).alias("row")))
+    return (cut.dropDuplicates(["item_id", "shingles"])
+            .withColumn("row", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(1 << 30))))
 
 
 class ItemIndex:
-    """Shingles of a slice of items: weights, and the sizes of the items that hold each, by shingle length."""
+    """Shingles of a slice of items, and the sizes of the items that hold each, by shingle length."""
 
     def __init__(self, rows: list):
-        values: dict[int, float] = {}
         sizes: dict[int, set[tuple[int, int]]] = {}
         for r in rows:
-            for shingle, weight in zip(r["shingles"], r["weights"]):
-                values[shingle] = weight
+            for shingle in r["shingles"]:
                 sizes.setdefault(shingle, set()).add((r["k"], r["size"]))
         self.lengths = sorted({r["k"] for r in rows})
-        self.shingles = np.array(sorted(values), dtype=np.int64)
-        self.weights = np.array([values[x] for x in self.shingles.tolist()], dtype=np.float64)
+        self.shingles = np.array(sorted(sizes), dtype=np.int64)
         listed = [sorted(size for _, size in sizes[x]) for x in self.shingles.tolist()]
         self.bounds = np.r_[0, np.cumsum([len(x) for x in listed])].astype(np.int64)
         self.sizes = np.array([n for x in listed for n in x], dtype=np.int32)
@@ -134,8 +127,8 @@ class ItemIndex:
         return maybe[hit], at[hit]
 
 
-def _near(w: W.Words, g: np.ndarray, k: int, index: ItemIndex, similarity: float) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """Windows (document, first word, size, shingles, weights) with enough weight in shingles of items of just this size."""
+def _near(w: W.Words, g: np.ndarray, k: int, index: ItemIndex, similarity: float) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Windows (document, first word, size, shingles) with enough shingles of items of just this size."""
     at, place = index.find(g)
     owner = np.searchsorted(w.bounds, at, side="right") - 1
     whole = at + k <= w.bounds[owner + 1]
@@ -150,37 +143,33 @@ def _near(w: W.Words, g: np.ndarray, k: int, index: ItemIndex, similarity: float
     for i, j in zip(cuts[:-1], cuts[1:]):
         m, d = int(size[i]) - k + 1, int(doc[i])
         a, b = int(w.bounds[d]), int(w.bounds[d + 1]) - k + 1
-        # A window needs at least similarity * m shingles of an item of m, as no weight is above one; a shorter text is one window.
+        # A window needs at least similarity * m shingles of an item of m; a shorter text is one window.
         if m < 1 or j - i < similarity * m - 1e-9:
             continue
         m = min(m, b - a)
-        weights, own = np.ones(b - a), np.zeros(b - a)
-        first, last = np.searchsorted(owner, [d, d + 1])
-        weights[at[first:last] - a] = index.weights[place[first:last]]
-        mine = at[hit[i:j]] - a
-        own[mine] = weights[mine]
-        got, whole_weight = np.r_[0, np.cumsum(own)], np.r_[0, np.cumsum(weights)]
-        got, whole_weight = got[m:] - got[:-m], whole_weight[m:] - whole_weight[:-m]
-        for p in np.flatnonzero(got >= similarity * whole_weight - 1e-9).tolist():
-            yield d, p, int(size[i]), g[a + p:a + p + m], weights[p:p + m]
+        own = np.zeros(b - a, dtype=np.int64)
+        own[at[hit[i:j]] - a] = 1
+        got = np.r_[0, np.cumsum(own)]
+        for p in np.flatnonzero(got[m:] - got[:-m] >= similarity * m - 1e-9).tolist():
+            yield d, p, int(size[i]), g[a + p:a + p + m]
 
 
 def _windows(batches: Iterator[pa.RecordBatch], index: ItemIndex, similarity: float) -> Iterator[pa.RecordBatch]:
     """Item-sized windows, and shorter texts as a whole, that can reach the similarity, with fingerprint and shingles."""
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     for batch in batches:
         out: list[tuple] = []
         for first, _, w in _slices(batch, "text"):
             h = w.hashes()
             for k in index.lengths:
                 if len(h) >= k:
-                    out += [(first + d, p, size, *fingerprint(x, v), x.view(np.int64), v.copy())
-                            for d, p, size, x, v in _near(w, W.grams(h, k, k), k, index, similarity)]
-        columns = list(zip(*out)) or [()] * 7
+                    out += [(first + d, p, size, *fingerprint(x), x.view(np.int64))
+                            for d, p, size, x in _near(w, W.grams(h, k, k), k, index, similarity)]
+        columns = list(zip(*out)) or [()] * 6
         rows = pa.array(columns[0], type=pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(rows), batch.column(1).take(rows)] + [pa.array(v, type=t) for v, t in zip(columns[1:], kinds)],
-            names=["doc", "row_key", "start", "size", "f0", "f1", "shingles", "weights"])
+            names=["doc", "row_key", "start", "size", "f0", "f1", "shingles"])
 
 
 def _bounds() -> list[tuple[int, int]]:
@@ -208,7 +197,7 @@ def _item_blocks(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Da
     for batch in batches:
         rows = []
         for r in batch.itertuples():
-            f0, f1 = fingerprint(np.asarray(r.shingles, dtype=np.int64).view(_U), np.asarray(r.weights, dtype=np.float64))
+            f0, f1 = fingerprint(np.asarray(r.shingles, dtype=np.int64).view(_U))
             bits = (f0 & (2**64 - 1)) | ((f1 & (2**64 - 1)) << 64)
             for n, (lo, hi) in enumerate(_bounds()):
                 value = (bits >> lo) & ((1 << (hi - lo)) - 1)
@@ -218,15 +207,12 @@ def _item_blocks(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Da
         yield pd.DataFrame(rows, columns=["item_row", "item_id", "size", "i0", "i1", "block", "value"])
 
 
-def _similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, wa, b, wb in batches:
+def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
         out = []
-        for x, wx, y, wy in zip(a, wa, b, wb):
-            weight = dict(zip(x.tolist(), wx.tolist())) | dict(zip(y.tolist(), wy.tolist()))
+        for x, y in zip(a, b):
             left, right = Counter(x.tolist()), Counter(y.tolist())
-            both = sum(weight[s] * min(n, right[s]) for s, n in left.items())
-            union = sum(weight[s] * max(left[s], right[s]) for s in left.keys() | right.keys())
-            out.append(both / union)
+            out.append((left & right).total() / (left | right).total())
         yield pd.Series(out, dtype="float64")
 
 
@@ -244,23 +230,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text:
     for n in range(passes):
         part = items.where(F.pmod(F.col("row"), F.lit(passes)) == n)
         # At most about ITEM_WORDS words of items: a bounded table.
-        index = spark.sparkContext.broadcast(ItemIndex(part.select("size", "k", "shingles", "weights").collect()))
+        index = spark.sparkContext.broadcast(ItemIndex(part.select("size", "k", "shingles").collect()))
         windows = keyed.mapInArrow(
             lambda it, index=index: _windows(it, index.value, similarity),
-            f"doc {doc_kind}, row_key long, start int, size int, f0 long, f1 long, shingles array<long>, weights array<double>")
+            f"doc {doc_kind}, row_key long, start int, size int, f0 long, f1 long, shingles array<long>")
         windows = saved(windows, "windows")
-        blocks = part.select("row", "item_id", "size", "shingles", "weights").mapInPandas(
+        blocks = part.select("row", "item_id", "size", "shingles").mapInPandas(
             lambda it: _item_blocks(it, radius), f"item_row long, item_id {item_kind}, size int, i0 long, i1 long, block int, value long")
         probes = windows.select("doc", "row_key", "start", "size", "f0", "f1",
                                 F.posexplode(F.array(*_blocks(F.col("f0"), F.col("f1")))).alias("block", "value"))
         near = (probes.join(blocks, ["size", "block", "value"])
                 .where(F.bit_count(F.col("f0").bitwiseXOR(F.col("i0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("i1"))) <= radius)
                 .select("doc", "row_key", "start", "size", "item_id", "item_row").distinct())
-        pairs = (near.join(windows.select("row_key", "start", "size", "shingles", "weights").dropDuplicates(["row_key", "start", "size"]),
+        pairs = (near.join(windows.select("row_key", "start", "size", "shingles").dropDuplicates(["row_key", "start", "size"]),
                            ["row_key", "start", "size"])
-                 .join(part.select(F.col("row").alias("item_row"), "item_id", F.col("shingles").alias("s"), F.col("weights").alias("w")),
+                 .join(part.select(F.col("row").alias("item_row"), "item_id", F.col("shingles").alias("s")),
                        ["item_row", "item_id"]))
-        done = (pairs.withColumn("similarity", exact("shingles", "weights", "s", "w")).where(F.col("similarity") >= similarity - 1e-9)
+        done = (pairs.withColumn("similarity", exact("shingles", "s")).where(F.col("similarity") >= similarity - 1e-9)
                 .select("doc", "row_key", "start", "size", "item_id", "similarity"))
         found = done if found is None else found.unionByName(done)
     return found

@@ -275,6 +275,18 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert [r["doc_id"] for r in benchmarks.without_contaminated(docs, bench).orderBy("doc_id").collect()] == [6, 7]
 
 
+@pytest.mark.parametrize("copies", [1, 2, 9])
+def test_decontamination_with_repeated_items(spark, copies):
+    """Listing an item or a part of it again changes no similarity."""
+    words_ = ["item" + str(i) for i in range(60)]
+    shared = [(100 + n, " ".join(words_[:30] + [f"own{n}x{i}" for i in range(30)])) for n in range(copies - 1)]
+    bench = spark.createDataFrame([(i, " ".join(words_)) for i in range(copies)] + shared, "item_id long, text string")
+    changed = words_[:30] + ["changed"] + words_[31:]
+    docs = spark.createDataFrame([(1, " ".join(["before"] * 9 + changed + ["after"] * 9))], "doc_id long, text string")
+    got = [(list(r["item_ids"]), r["similarity"]) for r in benchmarks.contaminated(docs, bench).collect()]
+    assert got == [(list(range(copies)), pytest.approx(51 / 61))]
+
+
 def test_item_blocks_meet_all_within_the_radius():
     draw = np.random.default_rng(1)
     bounds = benchmarks._bounds()
