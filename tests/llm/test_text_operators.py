@@ -287,6 +287,18 @@ def test_decontamination_with_repeated_items(spark, copies):
     assert got == [(list(range(copies)), pytest.approx(51 / 61))]
 
 
+def test_decontamination_in_several_passes(spark, monkeypatch):
+    """Items that share shingles give the same similarities in any number of passes."""
+    base = ["item" + str(i) for i in range(60)]
+    texts = [base] + [base[:40] + [f"own{n}x{i}" for i in range(20)] for n in range(5)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(n, " ".join(["before"] * 9 + w[:20] + ["changed"] + w[21:] + ["after"] * 9)) for n, w in enumerate(texts)], "doc_id long, text string")
+    for most in (1_000_000, 60):
+        monkeypatch.setattr(benchmarks, "ITEM_WORDS", most)
+        got = sorted((r["doc_id"], list(r["item_ids"]), round(r["similarity"], 9)) for r in benchmarks.contaminated(docs, bench).collect())
+        assert got == [(n, [n], round(51 / 61, 9)) for n in range(6)]
+
+
 def test_item_blocks_meet_all_within_the_radius():
     draw = np.random.default_rng(1)
     bounds = benchmarks._bounds()
