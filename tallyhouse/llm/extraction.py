@@ -4,7 +4,10 @@ Method. A page is cut at the borders of block elements into flat text blocks. Th
 words and the link density (share of words inside links), the same two of the blocks before and after it, and three
 facts about the elements around it: whether one of them is of a kind that holds no main text (menu, header, footer, sidebar,
 notice, advert, form, comments; by element, role, class or id), whether one of them is an article, and
-whether the page has articles at all. A decision tree is trained on the small labelled
+whether the page has articles at all. A class or id names such a kind by one of its
+words, but not by words for what the element has or lacks (``with-sidebar``, ``no-comments``). On an element that is itself an article
+(by element, role, or a whole class or id) only a whole class or id counts, or one that joins both (``story-footer``); what
+it is filed under (``category-privacy``) does not. A decision tree is trained on the small labelled
 table of ``labelled_pages`` and decides block by block.
 
 Scripts, styles, the head, hidden elements and markup are no text. Character references are decoded, white space
@@ -58,26 +61,38 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
+_HAS = re.compile(r"(?:^|(?<=[-_]))(?:has|no|with|without)[-_].*")
+_FILED = ("category-", "tag-")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _facts(name: str, rest: str) -> tuple[bool, bool, bool]:
     """Whether an element is hidden, aside of the main text, or an article."""
     aside, inside, hidden = name in ASIDE_ELEMENTS, name in ("article", "main"), False
+    main, part, joint, whole = inside, False, False, False
     if rest and not rest.isspace():
         for m in _ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                named = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-                aside |= not ASIDE_WORDS.isdisjoint(named)
-                inside |= not MAIN_WORDS.isdisjoint(named)
+                for token in value.split():
+                    named = set(_WORD.findall(_HAS.sub("", _CAMEL.sub("-", token).lower())))
+                    if not ASIDE_WORDS.isdisjoint(named):
+                        part = True
+                        whole |= token.lower() in ASIDE_WORDS
+                        joint |= not MAIN_WORDS.isdisjoint(named) and not token.lower().startswith(_FILED)
+                    inside |= not MAIN_WORDS.isdisjoint(named)
+                    main |= token.lower() in MAIN_WORDS
             elif key == "role":
                 aside |= value.lower() in ASIDE_ROLES
-                inside |= value.lower() in ("main", "article")
+                main |= value.lower() in ("main", "article")
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 hidden = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
+    if name not in ("article", "main"):
+        whole |= joint
+    inside |= main
+    aside |= whole if main else part
     return hidden, aside and name not in ("html", "body"), inside and name not in ("html", "body")
 
 

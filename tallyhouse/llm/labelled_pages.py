@@ -44,4 +44,9 @@ PAGES = (
     f"<body>{_menu(5)}<p>+{LONG[4]}</p><p>+{LONG[5]}</p>{_menu(7)}<div class='sidebar'><p>{OFFER}</p><p>{LONG[0]}</p></div></body>",
     f"<body><main><p>+{LONG[0]}</p><p>+{SHORT[3]}</p><p>+{SHORT[1]}</p></main><div><p>{TERMS}</p><p>{OFFER}</p></div></body>",
     f"<body><article><ul><li>+<a href='/q'>{LONG[2]}</a></li><li>+<a href='/r'>Second source</a></li></ul><p>+{LONG[3]}</p></article><div><p>{REPLY}</p></div></body>",
+    f"<body><nav>{_menu(3)}</nav><article class='post category-privacy tag-cookies'><h1>+{TITLE[0]}</h1>{_text(4, 2)}</article>"
+    f"<article class='teaser'><p>{LONG[0]}</p></article><div><p>{TERMS}</p></div></body>",
+    f"<body><main class='with-sidebar'><h1>+{TITLE[1]}</h1>{_text(2, 2)}<div class='sidebar'><p>{OFFER}</p></div></main><footer><p>{FOOT}</p></footer></body>",
+    f"<body><div id='story' class='no-comments'><h1>+{TITLE[2]}</h1>{_text(1, 2)}<div class='story-footer'><p>{OFFER}</p></div></div>"
+    f"<section class='article-comments'><p>{REPLY}</p></section></body>",
 )

@@ -126,6 +126,26 @@ def test_main_text(tree, page, text):
     assert extraction.main_text(page, tree) == text
 
 
+@pytest.mark.parametrize("opening,closing", [
+    ('<article class="post category-privacy">', "</article>"), ('<main class="with-sidebar">', "</main>"), ('<div id="story" class="no-comments">', "</div>"),
+    ('<article class="side-by-side hasComments">', "</article>"), ('<div class="tag-story-sharing entry">', "</div>"), ('<div role="main" class="page-layout-sidebar">', "</div>"),
+    ('<div class="page-with-sidebar"><article>', "</article></div>"),
+])
+def test_main_text_of_elements_with_words_of_other_kinds(tree, opening, closing):
+    parts = ["The bridge stays closed until spring", "The council met on Tuesday to discuss the bridge, which has been closed since the storm.", "No."]
+    page = f"<body><nav><a href='/'>Home</a></nav>{opening}<h1>{parts[0]}</h1><p>{parts[1]}</p><p>{parts[2]}</p>"
+    page += f"<div class='story-comments'><p>first!</p></div><div class='comment-list'><p>Well said.</p></div>{closing}<footer><p>rights reserved</p></footer></body>"
+    assert extraction.main_text(page, tree) == "\n".join(parts)
+
+
+@pytest.mark.parametrize("opening,closing", [
+    ('<article class="teaser">', "</article>"), ('<div class="story story-footer">', "</div>"), ('<div class="article-comments">', "</div>"), ('<header class="entry">', "</header>"),
+    ('<div class="category-nav">', "</div>")])
+def test_other_kinds_stay_out(tree, opening, closing):
+    page = f"<body><article><p>The council met on Tuesday to discuss the bridge.</p></article>{opening}<p>Buy three pairs of socks today and get one free.</p>{closing}</body>"
+    assert extraction.main_text(page, tree) == "The council met on Tuesday to discuss the bridge."
+
+
 def test_extract_odd_rows(spark, tree):
     rows = [(1, None, None, "a"), (1, None, None, "a"), (None, "u", "<article>x</article>", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
