@@ -350,6 +350,16 @@ def test_pipeline_on_odd_rows(spark, odd, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).where("not exact").count() == 0
 
 
+def test_language_stage_without_labels(spark, documents, odd):
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    with pytest.raises(ValueError):
+        stage(spark, documents.withColumn("lang", F.lit(None).cast("string")), "")
+    assert stage(spark, odd.where("text is null"), "").count() == 0
+    # The least share rejects none of these.
+    judged = language.predict(documents, language.train(documents.where(language.fold() != 2)))
+    assert judged.where(F.col("lang_pred") != language.UNKNOWN).where(F.col("score") < corpus_pipeline.LEAST_SHARE).count() == 0
+
+
 def test_pipeline_stages(spark, documents):
     """Each stage against plain restatements on its own input."""
     sf = "/root/testdata/sf0.001"
