@@ -4,7 +4,8 @@ Method. Rules name a host and a path; a rule fits its host and all subdomains if
 and the longest rule wins (of equally long ones the first in the alphabet; of equal ones ``block``). Hosts most of
 whose pages a rule allows are trusted seeds, hosts most of whose pages a rule blocks are distrusted seeds, weighted by the share of such pages.
 Links of pages to other hosts are edges between hosts. Personalised PageRank spreads trust from the trusted seeds along the
-edges and distrust from the blocked seeds against them (who links to a blocked host is suspect). A host is
+edges and distrust from the blocked seeds against them (who links to a blocked host is suspect), in rounds until what is
+still to move is less than ``TOLERANCE`` and than ``PART`` of the least share that blocks a host. A host is
 blocked if it has more distrust than trust and at least ``LEVEL`` times the mean share of a host; all other hosts are allowed.
 A rule decides the urls it fits, the host's verdict decides all others.
 
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.saved import saved
 
 DAMPING = 0.85
-ROUNDS = 20
+ROUNDS = 250  # never reached: 0.85**250 is far below any tolerance
 TOLERANCE = 1e-6
 LEVEL = 0.5
+PART = 0.01
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -63,8 +65,11 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.select("source", target.alias("target")).where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Rank by host from edges (source, target, n) and seeds (host, weight > 0). Hosts out of reach have no row."""
+def personalised_rank(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """Rank by host from edges (source, target, n) and seeds (host, weight > 0), in all within ``tolerance`` of the limit.
+
+    Hosts out of reach, or so far that their share is below the tolerance, may have no row.
+    """
     total = seeds.agg(F.sum("weight").alias("w")).first()["w"]
     seeds = saved(seeds.select("host", (F.col("weight") / (total or 1.0)).alias("weight")), "seeds")
     out = edges.groupBy("source").agg(F.sum("n").alias("all"))
@@ -84,9 +89,10 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
         change = new.join(old, "host", "full_outer").agg(
             F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("c")).first()["c"]
         rank = new
-        if change < tolerance:
-            break
-    return rank
+        # Each later round changes at most the damped change of the one before.
+        if change * damping / (1 - damping) < tolerance:
+            return rank
+    raise RuntimeError(f"ranks have not settled to {tolerance} in {rounds} rounds")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", level: float = LEVEL) -> DataFrame:
@@ -103,13 +109,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html
         F.count(F.lit(1)).alias("pages"), F.count_if(F.col("__th_fit.action") == "allow").alias("good"), F.count_if(F.col("__th_fit.action") == "block").alias("bad")), "hosts")
     edges = saved(host_links(rows, html), "edges")
     seeds = by_host.where("host <> ''")
-    trust = personalised_rank(edges, seeds.where("2 * good > pages").select("host", (F.col("good") / F.col("pages")).alias("weight")))
-    reverse = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "n")
-    distrust = personalised_rank(reverse, seeds.where("2 * bad > pages").select("host", (F.col("bad") / F.col("pages")).alias("weight")))
     known = by_host.select("host").union(edges.select("target")).distinct()
-    n = max(1, known.count())
+    least = level / max(1, known.count())
+    near = min(TOLERANCE, PART * least)
+    trust = personalised_rank(edges, seeds.where("2 * good > pages").select("host", (F.col("good") / F.col("pages")).alias("weight")), near)
+    reverse = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "n")
+    distrust = personalised_rank(reverse, seeds.where("2 * bad > pages").select("host", (F.col("bad") / F.col("pages")).alias("weight")), near)
     scored = by_host.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
-    blocked = (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0))) & (F.coalesce("distrust", F.lit(0.0)) >= F.lit(level / n))
+    blocked = (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0))) & (F.coalesce("distrust", F.lit(0.0)) >= F.lit(least))
     verdicts = saved(scored.withColumn("__th_verdict", F.when(blocked, "block").otherwise("allow")), "verdicts")
     return ruled.join(verdicts, "host", "left").select(
         *kept, "host", "path", F.col("__th_fit.rule").alias("rule"),

@@ -89,6 +89,21 @@ def test_trust_and_distrust(spark):
     assert linkgraph.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_rank_over_many_links(spark):
+    """The ends of a chain of 24 links from the seed have their rank too."""
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(24)], "source string, target string, n long")
+    seeds = spark.createDataFrame([("h0", 1.0)], "host string, weight double")
+    got = {r["host"]: r["rank"] for r in linkgraph.personalised_rank(edges, seeds, tolerance=1e-8, damping=0.5).collect()}
+    whole = sum(0.5**i for i in range(25))
+    assert len(got) == 25 and sum(abs(got[f"h{i}"] - 0.5**i / whole) for i in range(25)) < 1e-8
+
+
+def test_rank_that_does_not_settle(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "source string, target string, n long")
+    with pytest.raises(RuntimeError):
+        linkgraph.personalised_rank(edges, spark.createDataFrame([("a", 1.0)], "host string, weight double"), 1e-9, rounds=3)
+
+
 @pytest.fixture(scope="module")
 def tree(spark):
     return extraction.Tree.fit(extraction.training_table(spark))
