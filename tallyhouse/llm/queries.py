@@ -10,7 +10,9 @@ import tallyhouse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import backoff, benchmarks, extraction, jaccard, language, linkgraph, passages, pieces, quality, sharding
+from tallyhouse.llm import (
+    alignment, backoff, benchmarks, extraction, jaccard, language, linkgraph, passages, pieces, quality, sharding, tokenfiles, whitening)
+from tallyhouse.session import scratch_path
 
 
 BATCH_ROWS = "1000"  # of whole texts, in an exchange with a Python worker
@@ -91,6 +93,20 @@ def op10_sentencepiece(spark, sf):
     return pieces.encode_and_check(table(spark, sf, "documents"), pieces.default_vocabulary())
 
 
+def op11_token_files(spark, sf):
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf, "documents"), path, tokenfiles.default_tokenizer())
+    return tokenfiles.checksums(spark, path)
+
+
+def op12_cross_tokenizer_alignment(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), *alignment.default_paths())
+
+
+def op13_embedding_whitening(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
 # The shard of a row is the shortest prefix of its key's bits whose bucket fits, or the first that has one row.
 OP1_SQL = f"""
 WITH sized AS (
@@ -118,4 +134,7 @@ QUERIES = {
     "op8_html_extraction": (op8_html_extraction, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_sentencepiece": (op10_sentencepiece, None),
+    "op11_token_files": (op11_token_files, None),
+    "op12_cross_tokenizer_alignment": (op12_cross_tokenizer_alignment, None),
+    "op13_embedding_whitening": (op13_embedding_whitening, None),
 }
