@@ -33,6 +33,7 @@ from tallyhouse.llm.saved import saved
 from tallyhouse.llm.words import lists
 
 MARK = "▁"
+MEMO_UNITS = 200_000
 KEPT = ("id", "n_a", "n_b", "n_groups", "n_links")
 BLOCK_CHARS = 16_000_000  # of text, by whole batches; the pairs of a block are one group of a shuffle
 
@@ -68,7 +69,7 @@ class Aligner:
             if self.b.surfaces[i] and not (self.b.model.is_control(i) or self.b.model.is_unknown(i)):
                 place[self.b.surfaces[i]] = i  # the smallest id of those with the same bytes
         self.identity = np.array([place.get(x, -1) for x in self.a.surfaces], dtype=np.int64)
-        self.memo = U.Memo(self.align)
+        self.memo = U.Memo(self.align, MEMO_UNITS)
 
     def align(self, new: list[str]) -> list[tuple[int, int, int, bytes, bytes] | tuple[()]]:
         """Of each unit: tokens of A and of B, groups, the groups spelled out, packed pairs; nothing where bytes differ."""

@@ -8,6 +8,7 @@ so that memory depends on neither the number of documents nor, but for one unit
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -15,21 +16,22 @@ import numpy as np
 
 PIECE_CHARS = 1_000_000
 JOINED_CHARS = 20_000
-MEMO_UNITS = 200_000  # of each of the two generations
+MEMO_UNITS = 400_000  # of each of the two generations
 MEMO_CHARS = 64
 # Characters that some definition of white space holds, other than the three that a unit may start with.
-_ODD = re.compile("[^\\S \\n\\t]|[\\u180e\\u200b\\ufeff]")
+_BLANKS = frozenset("\u180e\u200b\ufeff")
+_ODD = tuple(sorted({chr(i) for i in range(0x3001) if chr(i).isspace()} - set(" \n\t") | _BLANKS))
 _PLAIN = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 # Byte-level BPE also cuts between a letter and a mark that is no letter; the letters and marks named here are such in any Unicode version.
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
 _FINE = re.compile(rf"[ \n\t]*[{_LETTER}]+(?=[ \n\t{_MARK}]|\Z)|[ \n\t]*[^ \n\t]+|[ \n\t]+")
 _BORDER = re.compile("(?<![\\s\\u180e\\u200b\\ufeff])(?=[ \\n\\t])")
-_SPACE, _BLANKS = frozenset(" \n\t"), frozenset("\u180e\u200b\ufeff")
+_SPACE = frozenset(" \n\t")
 
 
 def units(text: str, fine: bool = False) -> list[str]:
     """Units of a text, in order; joined they are the text. ``fine``: words without the marks behind them, for byte-level BPE alone."""
-    if _ODD.search(text):
+    if any(map(text.__contains__, _ODD)):
         return [x for x in _BORDER.split(text) if x]
     return (_FINE if fine else _PLAIN).findall(text)
 
@@ -105,6 +107,7 @@ class ByteBpe:
     """Byte-level BPE of a tokenizers file: ids of units, and the bytes of each id."""
 
     def __init__(self, path: str, specials_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
