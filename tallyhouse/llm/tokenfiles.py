@@ -38,6 +38,7 @@ SHARD_BYTES = 64_000_000  # of text; its ids take about half of that
 ROW_GROUP_BYTES = 16_000_000
 PAGE_BYTES = 256_000
 PAGE_ROWS = 1_000
+CHECK_ROWS = 10  # sizes are looked at after so many rows, since a row may be a long text
 
 _ENCODERS: dict[str, tuple[U.ByteBpe, U.Memo]] = {}
 
@@ -53,27 +54,32 @@ def _encoder(path: str) -> tuple[U.ByteBpe, U.Memo]:
 
 def packed_ids(texts: list[str | None], memo: U.Memo) -> Iterator[bytes]:
     """Ids of each text as int32, for runs of texts at once."""
-    run: list[list[str]] = []
-    size = 0
+    run: list[str] = []  # units of some texts, and how many each has
+    sizes: list[int] = []
+    chars = 0
 
     def encoded() -> Iterator[bytes]:
-        found = memo.values([u for part in run for u in part])
+        found = memo.values(run)
         first = 0
-        for part in run:
-            yield b"".join(found[first:first + len(part)])
-            first += len(part)
+        for n in sizes:
+            yield b"".join(found[first:first + n])
+            first += n
+        run.clear()
+        sizes.clear()
 
     for text in texts:
         if text is not None and len(text) > U.PIECE_CHARS:
             yield from encoded()
-            run, size = [], 0
+            chars = 0
             yield b"".join(b"".join(memo.values(U.units(piece, fine=True))) for piece in U.pieces(text))
             continue
-        run.append(U.units(text, fine=True) if text else [])
-        size += len(text or "")
-        if size >= U.PIECE_CHARS:
+        before = len(run)
+        run += U.units(text, fine=True) if text else ()
+        sizes.append(len(run) - before)
+        chars += len(text or "")
+        if chars >= U.PIECE_CHARS:
             yield from encoded()
-            run, size = [], 0
+            chars = 0
     yield from encoded()
 
 
@@ -112,8 +118,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, row_id: str = "doc_id", te
     encoded = placed.select("id", "text").mapInArrow(run, f"shard int, `{row_id}` {kind}, at long, n_tokens long, ids array<int>")
     delta = {f"parquet.enable.dictionary#{c}": "false" for c in ("shard", row_id, "at", "n_tokens")}
     encoded.write.options(**{
-        "parquet.writer.version": "PARQUET_2_0", "compression": "zstd", "parquet.block.size": str(row_group_bytes),
-        "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows), **delta}).parquet(f"{path}/tokens")
+        "parquet.writer.version": "PARQUET_2_0", "compression": "lz4_raw", "parquet.block.size": str(row_group_bytes),
+        "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows), "parquet.page.size.row.check.min": str(CHECK_ROWS), **delta}).parquet(f"{path}/tokens")
     metadata = spark.read.parquet(f"{path}/tokens").select("shard", row_id, "n_tokens")
     sums = metadata.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("n_tokens"), F.min(row_id).alias("first_id"), F.max(row_id).alias("last_id"))

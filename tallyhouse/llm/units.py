@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -86,7 +88,7 @@ class Memo:
         found = list(map(self.young.get, asked))
         if None not in found:
             return found
-        missing = [i for i, x in enumerate(found) if x is None]
+        missing = list(compress(range(len(found)), map(is_, found, repeat(None))))
         names = list(dict.fromkeys(map(asked.__getitem__, missing)))
         kept = list(map(self.old.get, names))
         fresh = dict(zip(names, kept))
