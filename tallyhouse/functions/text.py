@@ -111,7 +111,8 @@ def strip_accents(col: Column) -> Column:
     plain = F.translate(col, _ONE_FROM + _MARKS, _ONE_TO)
     table = F.map_from_arrays(F.split(F.lit(_GAP.join(_MANY)), _GAP), F.split(F.lit(_GAP.join(_MANY.values())), _GAP))
     longer = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(plain.rlike(_MANY_CLASS), longer).otherwise(plain)
+    other = F.when(plain.rlike(_MANY_CLASS), longer).otherwise(plain)
+    return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(other)  # a text of ASCII is its own result
 
 
 def squeeze(col: Column) -> Column:

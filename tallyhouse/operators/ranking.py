@@ -12,6 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.selection import exact_quantiles as exact_quantiles  # order statistics have their own module
 
 def bucket_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -115,54 +116,3 @@ def first_rows(df: DataFrame, value: Column, ties: Sequence[str], n: int, parts:
     place = F.row_number().over(Window.partitionBy("_cell").orderBy("_v", *ties))
     rest = edge.withColumn("_place", place).where(F.col("_place") + F.col("_before") <= n).select(*df.columns)
     return whole.unionByName(rest)
-
-
-def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10_000
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, one row per group.
-
-    Approximate quantiles with a guaranteed rank error give a narrow band around each
-    wanted quantile. Everything outside the band is only counted (with its nearest
-    value); inside, equal values are counted together and only those counts are sorted.
-    """
-    group = list(group)
-    v = F.col(value)
-    eps = 2.0 / accuracy
-    edges = [e for p in probs.values() for e in (max(p - eps, 0.0), min(p + eps, 1.0))]
-    known = df.where(v.isNotNull()).select(*group, value)
-    bands = known.groupBy(*group).agg(
-        F.percentile_approx(v, edges, accuracy).alias("_b"), F.count(F.lit(1)).alias("_total")
-    )
-    cells = []
-    for i in range(len(probs)):
-        lo, hi = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
-        zone = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
-        cells.append(F.struct(F.lit(i).alias("i"), zone.alias("zone"), F.when(zone == 0, v).alias("inner")))
-    counted = (
-        known.join(bands, group)
-        .select(*group, "_total", value, F.explode(F.array(*cells)).alias("_c"))
-        .groupBy(*group, "_total", "_c.i", "_c.zone", "_c.inner")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    )
-    run = Window.partitionBy(*group, "i").orderBy("zone", "inner").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("_end", F.sum("_n").over(run)).withColumn("_start", F.col("_end") - F.col("_n"))
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1)
-    spot = (F.col("_total") - 1) * prob
-    placed = placed.withColumn("_k", F.floor(spot)).withColumn("_f", spot - F.floor(spot))
-
-    def at(rank: Column) -> Column:
-        inside = (rank >= F.col("_start")) & (rank < F.col("_end"))
-        reachable = (F.col("zone") == 0) | F.when(F.col("zone") < 0, rank == F.col("_end") - 1).otherwise(
-            rank == F.col("_start")
-        )
-        nearest = F.when(F.col("zone") < 0, F.col("_hi")).otherwise(F.col("_lo"))
-        checked = F.when(F.assert_true(reachable, F.lit("raise the accuracy of the quantiles")).isNull(), nearest)
-        return F.max(F.when(inside, checked))
-
-    picked = placed.groupBy(*group, "_total", "i").agg(
-        at(F.col("_k")).alias("_a"), at(F.least(F.col("_k") + 1, F.col("_total") - 1)).alias("_z"), F.max("_f").alias("_f")
-    )
-    result = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
-    out = [F.max(F.when(F.col("i") == i, result)).alias(n) for i, n in enumerate(probs)]
-    return picked.groupBy(*group).agg(F.max("_total").alias("n"), *out)
