@@ -9,6 +9,7 @@ from tallyhouse.checks.agreement import _JUDGED, _judged
 from tallyhouse.checks.base import M, T, r
 from tallyhouse.checks.totals import SQL_WORDS
 from tallyhouse.functions.hashing import uniform
+from tallyhouse.operators import additive as ad
 from tallyhouse.operators import metrics as me
 from tallyhouse.operators import models as mo
 from tallyhouse.operators import terms as tm
@@ -129,17 +130,37 @@ def grid_search(spark, sf):
 
 
 def regression_scores(spark, sf):
-    li = T(spark, sf, "lineitem").withColumn("k", F.xxhash64(*T(spark, sf, "lineitem").columns))
-    return mo.regression_scores(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "k", 3, "m14")
+    li = T(spark, sf, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint")))
+    df = ad.regression_scores(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "k", 3, "m14")
+    return df.select("score", r("mean", 5).alias("mean"), r("deviation", 5).alias("deviation"))
 
 
 def learning_curve(spark, sf):
+    counts = tm.term_counts(T(spark, sf, "documents"), "doc_id", "text")
+    df = ad.bayes_learning_curve(counts, _labelled(spark, sf), "doc_id", "quality", uniform("m15-part", "doc_id") < 0.3, 4, "m15")
+    return df.select("step", "n_train", r("train", 9).alias("train"), r("validation", 9).alias("validation"))
+
+
+def learning_curve_estimator(spark, sf):
+    """The same for any estimator of MLlib, with one fit per size."""
     d = mo.with_tokens(_labelled(spark, sf))
     late = uniform("m15-part", "doc_id") < 0.3
     pipe = mo.text_classifier("bayes", "quality", 1 << 16)
     return mo.learning_curve(d.where(~late), d.where(late), pipe, "quality", "doc_id", 4, "m15")
 
 
+def cv_scores(spark, sf):
+    counts = tm.term_counts(T(spark, sf, "documents"), "doc_id", "text")
+    df = ad.bayes_cv_scores(counts, _labelled(spark, sf), "doc_id", "quality", [0.05, 0.5, 1.0], 5, "m13")
+    return df.select("alpha", "score", *[r(c, 9).alias(c) for c in ("mean", "deviation", "mean_deviation")])
+
+
+def bayes_predictions(spark, sf):
+    counts = tm.term_counts(T(spark, sf, "documents"), "doc_id", "text")
+    df = ad.bayes_predictions(counts, _labelled(spark, sf), "doc_id", "toxic", uniform("m8-part", "doc_id") < 0.7, 0.1)
+    return df.select("doc_id", "prediction", r("odds", 6).alias("odds"))
+
+
 def text_clusters(spark, sf):
     return mo.text_clusters(T(spark, sf, "documents").select("doc_id", "text"), "text", 12, 20, "doc_id").drop("text")
 
@@ -153,7 +174,7 @@ def platform_usage_model(spark, sf):
     c = T(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     c = c.withColumn("schooling", F.element_at(F.array(*[F.lit(x) for x in ("basic", "middle", "upper")]), (F.col("c_custkey") % 3 + 1).cast("int")))
     c = c.withColumn("nenhuma", (uniform("none", "c_custkey") < F.when(F.col("c_acctbal") > 0, 0.6).otherwise(0.3)).cast("int"))
-    return mo.platform_usage_model(c, "nenhuma", ["c_mktsegment"], {"schooling": ["basic", "middle", "upper"]}, ["c_acctbal"], ["assets"])
+    return ad.platform_usage_model(c, "nenhuma", ["c_mktsegment"], {"schooling": ["basic", "middle", "upper"]}, ["c_acctbal"], ["assets"], c=0.1)
 
 
 def account_validator(spark, sf):
@@ -161,7 +182,7 @@ def account_validator(spark, sf):
         "c_custkey", "c_acctbal", F.concat_ws(" ", "c_mktsegment", F.concat(F.lit("unit"), F.col("c_nationkey").cast("string"))).alias("description"),
         (uniform("same", "c_custkey") < F.when(F.col("c_mktsegment") < "F", 0.8).otherwise(0.2)).cast("int").alias("same"))
     train = uniform("m19", "c_custkey") < 0.8
-    return mo.account_validator(c.where(train), c.where(~train), "same", ["c_acctbal"], "description", features=64, trees=20)
+    return mo.account_validator(c.where(train), c.where(~train), "same", ["c_acctbal"], "description", trees=20)
 
 
 _W = SQL_WORDS.format("lower(strip_accents(text))")
@@ -170,6 +191,52 @@ _CW = f"""{_TC}, pt AS (SELECT token, sum(n) AS a, coalesce(sum(n) FILTER (WHERE
   st AS (SELECT sum(a)::DOUBLE AS a, sum(p)::DOUBLE AS p, count(*) * 0.15::DOUBLE AS s FROM pt),
   cw AS (SELECT token, -ln((pt.p + 0.15::DOUBLE) / (st.p + s)) AS w0, -ln((pt.a - pt.p + 0.15::DOUBLE) / (st.a - st.p + s)) AS w1 FROM pt, st)"""
 
+# From t (i, doc_id, y), the rows of each training set, and d: p has the prior of each set, g the sums of the words of each document of d.
+_BAYES = """wc AS (SELECT i, token, coalesce(sum(n) FILTER (WHERE y = 0), 0)::DOUBLE AS a, coalesce(sum(n) FILTER (WHERE y = 1), 0)::DOUBLE AS b FROM tc JOIN t USING (doc_id) GROUP BY ALL),
+  ws AS (SELECT i, sum(a) AS sa, sum(b) AS sb, count(*) AS v FROM wc GROUP BY 1),
+  ww AS (SELECT i, token, ln((b + {alpha}) / (sb + {alpha} * v)) - ln((a + {alpha}) / (sa + {alpha} * v)) AS w FROM wc JOIN ws USING (i)),
+  p AS (SELECT i, ln((count(*) FILTER (WHERE y = 1) + {alpha}) / (count(*) FILTER (WHERE y = 0) + {alpha})) AS prior FROM t GROUP BY 1),
+  g AS (SELECT tc.doc_id, i, sum(n * w) AS g FROM tc JOIN d ON tc.doc_id = d.doc_id JOIN ww USING (token) GROUP BY ALL)"""
+
+
+def _regression_sql() -> str:
+    """Moments by fold around the means; coefficients of each training set by Cramer's rule."""
+    x = ["a", "b", "c"]
+    names = [*x, "y", "z"]
+    pairs = [(p, q) for i, p in enumerate(names) for q in names[i:]]
+    key = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT)"
+    moment = ["count(*)::DOUBLE AS n"] + [f"sum({p}) AS {p}" for p in names] + [f"sum({p} * {q}) AS {p}x{q}" for p, q in pairs]
+    fields = ["n", *names, *[f"{p}x{q}" for p, q in pairs]]
+    sql = f"""WITH l AS (SELECT l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_tax::DOUBLE AS c, l_extendedprice::DOUBLE AS y, {key} AS k FROM lineitem),
+      r AS (SELECT *, floor({U('m14', 'k')} * 3)::INT AS f, row_number() OVER (ORDER BY {U('m14-a', 'k')}, k) AS p,
+        row_number() OVER (ORDER BY {U('m14-b', 'k')}, k) AS o FROM l),
+      j AS (SELECT r.f, {", ".join(f"r.{v} - (SELECT avg({v}) FROM l) AS {v}" for v in [*x, "y"])}, s.y - (SELECT avg(y) FROM l) AS z FROM r JOIN r s ON r.p = s.o),
+      m AS (SELECT f, {", ".join(moment)} FROM j GROUP BY f), t AS (SELECT {", ".join(f"sum({v}) AS {v}" for v in fields)} FROM m)"""
+    for to in ("y", "z"):
+        cov = lambda p, q: f"({p}x{q} / n - {p} / n * {q} / n)"
+        system = ", ".join([f"{cov(p, q)} AS s{p}{q}" for i, p in enumerate(x) for q in x[i:]] + [f"{cov(p, to)} AS s{p}t" for p in x])
+        det = "(saa * (sbb * scc - sbc * sbc) - sab * (sab * scc - sbc * sac) + sac * (sab * sbc - sbb * sac))"
+        wa = "(sat * (sbb * scc - sbc * sbc) - sab * (sbt * scc - sbc * sct) + sac * (sbt * sbc - sbb * sct))"
+        wb = "(saa * (sbt * scc - sbc * sct) - sat * (sab * scc - sbc * sac) + sac * (sab * sct - sbt * sac))"
+        wc = "(saa * (sbb * sct - sbt * sbc) - sab * (sab * sct - sbt * sac) + sat * (sab * sbc - sbb * sac))"
+        cross = lambda p, q: f"{p}x{q}" if f"{p}x{q}" in fields else f"{q}x{p}"
+        error = lambda m: (f"({m}.{to}x{to} - 2 * w0 * {m}.{to} + w0 * w0 * {m}.n" + "".join(f" - 2 * w{p} * {m}.{cross(p, to)} + 2 * w0 * w{p} * {m}.{p}" for p in x)
+                           + "".join(f" + w{p} * w{q} * {m}.{cross(p, q)}" for p in x for q in x) + ")")
+        sql += f""",
+      q{to} AS (SELECT m.f, {", ".join(f"t.{v} - m.{v} AS {v}" for v in fields)} FROM m, t UNION ALL SELECT -1, {", ".join(fields)} FROM t),
+      s{to} AS (SELECT *, {system} FROM q{to}), v{to} AS (SELECT *, {wa} / {det} AS wa, {wb} / {det} AS wb, {wc} / {det} AS wc FROM s{to}),
+      u{to} AS (SELECT *, ({to} - wa * a - wb * b - wc * c) / n AS w0 FROM v{to}),
+      e{to} AS (SELECT h.f, sqrt({error("h")} / h.n) AS train, sqrt({error("m")} / m.n) AS test, {error("h")} AS sse, h.n, h.{to}x{to} - h.{to} * h.{to} / h.n AS sst
+        FROM u{to} h LEFT JOIN m ON m.f = h.f)"""
+    return sql + """
+      SELECT 'adjusted_r2' AS score, round(1 - sse / sst * (n - 1) / (n - 4), 5) AS mean, 0.0::DOUBLE AS deviation FROM ey WHERE f = -1
+      UNION ALL SELECT 'train', round(avg(train), 5), round(stddev_pop(train), 5) FROM ey WHERE f >= 0
+      UNION ALL SELECT 'cross_validation', round(avg(test), 5), round(stddev_pop(test), 5) FROM ey WHERE f >= 0
+      UNION ALL SELECT 'shuffled_target', round(avg(test), 5), round(stddev_pop(test), 5) FROM ez WHERE f >= 0"""
+
+
+_REGRESSION = _regression_sql()
+
 QUERIES = {
     "score_texts": (score_texts, None),
     "score_texts_custom": (score_texts_custom, """
@@ -233,8 +300,28 @@ QUERIES = {
         SELECT 'constant' AS guess, round(avg(c), 9) AS mean, round(stddev_pop(c), 9) AS deviation FROM g
         UNION ALL SELECT 'uniform', round(avg(a), 9), round(stddev_pop(a), 9) FROM g UNION ALL SELECT 'frequency', round(avg(p), 9), round(stddev_pop(p), 9) FROM g"""),
     "grid_search": (grid_search, None),
-    "regression_scores": (regression_scores, None),
-    "learning_curve": (learning_curve, None),
+    "regression_scores": (regression_scores, _REGRESSION),
+    "learning_curve": (learning_curve, f"""WITH {_TC}, d AS (SELECT doc_id, quality AS y, {U('m15-part', 'doc_id')} < 0.3::DOUBLE AS late,
+          greatest(ceil({U('m15', 'doc_id')} * 4), 1)::INT AS st FROM labels JOIN documents USING (doc_id)),
+        t AS (SELECT i, doc_id, y FROM d, range(1, 5) r(i) WHERE NOT late AND st <= i), {_BAYES.format(alpha="1.0::DOUBLE")},
+        o AS (SELECT d.*, p.i, (p.prior + coalesce(g, 0) > 0)::INT = y AS hit FROM d CROSS JOIN p LEFT JOIN g ON g.doc_id = d.doc_id AND g.i = p.i)
+        SELECT i::INT AS step, count(*) FILTER (WHERE NOT late AND st <= i) AS n_train, round(avg(hit::INT) FILTER (WHERE NOT late AND st <= i), 9) AS train,
+          round(avg(hit::INT) FILTER (WHERE late), 9) AS validation FROM o GROUP BY i"""),
+    "learning_curve_estimator": (learning_curve_estimator, None),
+    "cv_scores": (cv_scores, f"""WITH {_TC}, d AS (SELECT doc_id, quality AS y, floor({U('m13', 'doc_id')} * 5)::INT AS f FROM labels JOIN documents USING (doc_id)),
+        al AS (SELECT unnest([0.05::DOUBLE, 0.5, 1.0]) AS alpha), ts AS (SELECT i, doc_id, y FROM d, range(5) r(i) WHERE f <> i),
+        t AS (SELECT i * 100 + alpha AS i, doc_id, y FROM ts, al), {_BAYES.format(alpha="(i % 100)")},
+        o AS (SELECT f, p.i % 100 AS alpha, y, (p.prior + coalesce(g, 0) > 0)::INT AS h FROM d JOIN p ON floor(p.i / 100) = f LEFT JOIN g ON g.doc_id = d.doc_id AND g.i = p.i),
+        c AS (SELECT round(alpha, 6) AS alpha, f, count(*) FILTER (WHERE y = 1 AND h = 1)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND h = 1) AS fp,
+          count(*) FILTER (WHERE y = 1 AND h = 0) AS fn, count(*) FILTER (WHERE y = 0 AND h = 0) AS tn FROM o GROUP BY ALL),
+        s AS (SELECT alpha, 'accuracy' AS score, (tp + tn) / (tp + fp + fn + tn) AS v FROM c UNION ALL
+          SELECT alpha, 'precision', CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END FROM c UNION ALL SELECT alpha, 'recall', CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END FROM c UNION ALL
+          SELECT alpha, 'f1', CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END FROM c UNION ALL
+          SELECT alpha, 'hit_rate', CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN sqrt(tp / (tp + fn) * tn / (tn + fp)) END FROM c)
+        SELECT alpha, score, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS deviation, round(stddev_pop(v) / sqrt(count(v)), 9) AS mean_deviation FROM s GROUP BY ALL"""),
+    "bayes_predictions": (bayes_predictions, f"""WITH {_TC}, d AS (SELECT doc_id, toxic AS y, {U('m8-part', 'doc_id')} < 0.7::DOUBLE AS part FROM labels JOIN documents USING (doc_id)),
+        t AS (SELECT 0 AS i, doc_id, y FROM d WHERE part), {_BAYES.format(alpha="0.1::DOUBLE")}
+        SELECT d.doc_id, (p.prior + coalesce(g, 0) > 0)::INT AS prediction, round(p.prior + coalesce(g, 0), 6) AS odds FROM d CROSS JOIN p LEFT JOIN g ON g.doc_id = d.doc_id"""),
     "text_clusters": (text_clusters, None),
     "class_weights": (class_weights, """
         SELECT toxic, count(*) AS n, round((SELECT count(*) FROM labels WHERE toxic = 0) / count(*), 10) AS weight FROM labels GROUP BY 1"""),

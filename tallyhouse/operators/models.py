@@ -9,12 +9,8 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
-from pyspark.ml.feature import (
-    HashingTF, OneHotEncoder, StandardScaler, StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import CountVectorizer, HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -25,7 +21,7 @@ from tallyhouse.functions.hashing import uniform
 from tallyhouse.functions.text import tokens
 from tallyhouse.operators.factors import tf_idf, truncated_svd
 from tallyhouse.operators.metrics import binary_metrics
-from tallyhouse.operators.ranking import exact_quantiles, rank_by_uniform
+from tallyhouse.operators.selection import exact_quantiles
 from tallyhouse.operators.terms import exploded
 
 BatchScorer = Callable[[], Callable[[pd.Series], Sequence[float]]]
@@ -148,50 +144,6 @@ def grid_search(
     return df.sparkSession.createDataFrame(rows, "params STRING, mean DOUBLE, deviation DOUBLE").orderBy(F.col("mean").desc())
 
 
-def _rmse(df: DataFrame, target: str) -> float:
-    return df.agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col("prediction"), F.lit(2.0))))).first()[0]
-
-
-def regression_scores(
-    df: DataFrame, features: Sequence[str], target: str, key: str, folds: int, seed: int | str, reg: float = 0.0
-) -> DataFrame:
-    """RMSE in cross-validation, on the training folds, and with a shuffled target; adjusted R2.
-
-    Each fold is one fit on the cluster; only the figures come back.
-    """
-    spark = df.sparkSession
-    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    rows = vec.transform(df.select(key, target, *features)).withColumn("_f", F.floor(uniform(seed, key) * folds).cast("int"))
-    plain = rows.select(key, "features", F.col(target).cast("double").alias("y"), "_f")
-    ranked = rank_by_uniform(plain, uniform(f"{seed}-a", key), [key], name="_p")
-    other = rank_by_uniform(plain.select(key, F.col("y").alias("_y")), uniform(f"{seed}-b", key), [key], name="_p")
-    shuffled = ranked.join(other.select("_p", "_y"), "_p").select(key, "features", F.col("_y").alias("y"), "_f")
-    model = LinearRegression(featuresCol="features", labelCol="y", regParam=reg)
-    out = []
-    for kind, data in (("real", plain), ("shuffled", shuffled)):
-        data = data.persist()
-        test, train = [], []
-        for f in range(folds):
-            part = data.where(F.col("_f") != f)
-            fitted = model.fit(part)
-            test.append(_rmse(fitted.transform(data.where(F.col("_f") == f)), "y"))
-            train.append(_rmse(fitted.transform(part), "y"))
-        if kind == "real":
-            full = model.fit(data)
-            n = data.count()
-            r2 = 1 - (1 - full.summary.r2) * (n - 1) / (n - len(features) - 1)
-            out.append(("adjusted_r2", float(r2), 0.0))
-            out.append(("train", *_mean_dev(train)))
-        out.append(("cross_validation" if kind == "real" else "shuffled_target", *_mean_dev(test)))
-        data.unpersist()
-    return spark.createDataFrame(out, "score STRING, mean DOUBLE, deviation DOUBLE")
-
-
-def _mean_dev(values: Sequence[float]) -> tuple[float, float]:
-    s = pd.Series(values, dtype="float64")
-    return float(s.mean()), float(s.std(ddof=0))
-
-
 def learning_curve(
     train: DataFrame, validation: DataFrame, pipeline: Estimator, label: str, key: str, steps: int, seed: int | str
 ) -> DataFrame:
@@ -230,47 +182,14 @@ def text_clusters(
     return out.join(sizes, "cluster_id").select(*df.columns, "cluster_id", "cluster_weight")
 
 
-def platform_usage_model(
-    df: DataFrame, target: str, categories: Sequence[str], ordered: Mapping[str, Sequence[str]], numbers: Sequence[str],
-    logs: Sequence[str], reg: float = 0.1,
+def account_validator(
+    train: DataFrame, accounts: DataFrame, label: str, numbers: Sequence[str], text: str, words: int = 1 << 16, trees: int = 100, seed: int = 7
 ) -> DataFrame:
-    """Standardised logistic model of platform use; coefficients from most negative to most positive.
+    """Accounts a random forest on account figures and description words takes for genuine.
 
-    Categories are sorted and the first one is the reference level.
+    Every word of the training descriptions is a feature, up to the ``words`` most frequent ones.
     """
-    spark = df.sparkSession
-    rows = df
-    for c, levels in ordered.items():
-        place = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(c)) - 1
-        rows = rows.withColumn(f"ord_{c}", F.when(place >= 0, place).cast("double"))
-    rows = numeric_preprocess(rows, logs, log=1)
-    rows = rows.select("*", *[F.col(c).cast("double").alias(f"num_{c}") for c in [*numbers, *logs]])
-    scaled = [f"num_{c}" for c in [*numbers, *logs]]
-    indexers = [StringIndexer(inputCol=c, outputCol=f"ix_{c}", stringOrderType="alphabetDesc", handleInvalid="error") for c in categories]
-    encoder = OneHotEncoder(inputCols=[f"ix_{c}" for c in categories], outputCols=[f"hot_{c}" for c in categories])
-    assemble_num = VectorAssembler(inputCols=scaled, outputCol="_num", handleInvalid="error")
-    scaler = StandardScaler(inputCol="_num", outputCol="_std", withMean=True, withStd=True)
-    assemble = VectorAssembler(
-        inputCols=[f"hot_{c}" for c in categories] + [f"ord_{c}" for c in ordered] + ["_std"], outputCol="features", handleInvalid="error"
-    )
-    logit = LogisticRegression(labelCol=target, featuresCol="features", regParam=reg, standardization=False)
-    fitted = Pipeline(stages=[*indexers, encoder, assemble_num, scaler, assemble, logit]).fit(rows)
-    coefs = fitted.stages[-1].coefficients.toArray().tolist()
-    attrs = fitted.transform(rows).schema["features"].metadata["ml_attr"]["attrs"]
-    found = {a["idx"]: a.get("name", "") for kind in attrs.values() for a in kind}
-    # The scaler drops the names of its inputs, which come last and in order.
-    plain = [*numbers, *logs]
-    names = {i: n.removeprefix("hot_").removeprefix("ord_") for i, n in found.items()}
-    names.update({len(coefs) - len(plain) + i: n for i, n in enumerate(plain)})
-    table = [(names[i], float(c)) for i, c in enumerate(coefs)]
-    return spark.createDataFrame(table, "feature STRING, coefficient DOUBLE").orderBy("coefficient")
-
-
-def account_validator(
-    train: DataFrame, accounts: DataFrame, label: str, numbers: Sequence[str], text: str, features: int = 1 << 12, trees: int = 100, seed: int = 7
-) -> DataFrame:
-    """Accounts a random forest on account figures and description words takes for genuine."""
-    tf = HashingTF(inputCol="tokens", outputCol="_tf", numFeatures=features)
+    tf = CountVectorizer(inputCol="tokens", outputCol="_tf", vocabSize=words)
     join = VectorAssembler(inputCols=[*numbers, "_tf"], outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed)
     model = Pipeline(stages=[tf, join, forest]).fit(with_tokens(train, text))

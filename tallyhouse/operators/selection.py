@@ -83,5 +83,6 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict
     out = []
     for i, (name, s) in enumerate(zip(probs, spot)):
         a, z = F.col("_at")[2 * i], F.col("_at")[2 * i + 1]
-        out.append(F.when(a == z, a).otherwise(a + (z - a) * (s - F.floor(s))).alias(name))
+        part = s - F.floor(s)
+        out.append(F.when((a == z) | (part == 0), a).otherwise(a + (z - a) * part).alias(name))
     return found.select(*group, F.col("_n").alias("n"), *out)

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import dates, hashing, registers, text, urls
-from tallyhouse.operators import agreement, bins, dependencies, filters, joins, metrics, posterior, ranking, resampling
-from tallyhouse.operators import sampling, sets, terms, totals, windows
+from tallyhouse.operators import additive, agreement, bins, dependencies, filters, joins, metrics, posterior, ranking, resampling
+from tallyhouse.operators import sampling, selection, sets, terms, totals, windows
 from tallyhouse.plans import violence_series as vs
 from tallyhouse.sources import pages, sinks, tables
 
@@ -524,3 +524,87 @@ def test_tf_idf_weights(spark):
     a, b = 2 * (np.log(4 / 4) + 1), np.log(4 / 2) + 1
     assert got[(1, "a")] == pytest.approx(a / np.hypot(a, b)) and got[(3, "a")] == pytest.approx(1.0)
     assert {r["token"] for r in factors.tf_idf(counts, "doc", max_df=0.9).collect()} == {"b", "c"}
+
+
+# ---- order statistics and additive models -------------------------------------------------
+@pytest.mark.parametrize("most", [4096, 7])
+def test_order_statistics_of_any_spread(spark, most):
+    rng = np.random.default_rng(0)
+    parts = {
+        "norm": rng.standard_normal(3001), "one": np.array([3.5]), "ties": rng.integers(0, 3, 1000), "near": 1 + rng.random(2000) * 1e-12,
+        "scales": np.r_[1 + 1e-15 * rng.integers(0, 50, 500), 1 + 1e-7 * rng.random(500), rng.random(500)],
+        "negative": -np.exp(rng.standard_normal(1000) * 50), "small": rng.integers(0, 100, 100) * 5e-324,
+    }
+    pdf = pd.DataFrame({"g": np.repeat(list(parts), list(map(len, parts.values()))), "v": np.concatenate(list(parts.values())).astype(float)})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(None, 1.0), ("norm", None), ("empty", None)], "g STRING, v DOUBLE"))
+    got = selection.exact_quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.9, "y": 0.0, "z": 1.0}, most).toPandas().set_index("g")
+    assert set(got.index) == set(parts)
+    for g, x in parts.items():
+        assert got.loc[g, "n"] == len(x)
+        assert np.allclose(got.loc[g, list("abcyz")].astype(float), pd.Series(x, dtype=float).quantile([0.25, 0.5, 0.9, 0, 1]), rtol=1e-15, atol=1e-322)
+
+
+def test_selection_sorts_only_few_rows(spark):
+    df = spark.range(1_000_000).select(F.lit("x").alias("g"), (F.xxhash64("id") / F.lit(2.0**63)).alias("v"))
+    found = selection.exact_quantiles(df, ["g"], "v", {"q": 0.5}, 500)
+    assert found.first()["q"] == pytest.approx(np.median(df.toPandas()["v"]), abs=0)
+    found = selection.exact_quantiles(spark.createDataFrame([("x", float("inf")), ("x", float("nan")), ("x", 1.0)], "g STRING, v DOUBLE"), ["g"], "v", {"q": 0.5})
+    assert found.first()["q"] == float("inf")
+
+
+def test_regression_scores_against_fits(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 2)) * (3, 0.1) + 1000
+    pdf = pd.DataFrame({"k": range(600), "a": x[:, 0], "b": x[:, 1], "y": x @ [2.0, -30.0] + rng.standard_normal(600)})
+    df = spark.createDataFrame(pdf)
+    for reg in (0.0, 0.3):
+        got = additive.regression_scores(df, ["a", "b"], "y", "k", 4, "s", reg).toPandas().set_index("score")
+        rows = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df).withColumn("fold", F.floor(hashing.uniform("s", "k") * 4)).cache()
+        test, train = [], []
+        for f in range(4):
+            model = LinearRegression(featuresCol="f", labelCol="y", regParam=reg, solver="normal").fit(rows.where(F.col("fold") != f))
+            test.append(model.evaluate(rows.where(F.col("fold") == f)).rootMeanSquaredError)
+            train.append(model.summary.rootMeanSquaredError)
+        assert np.allclose(got.loc["cross_validation"], [np.mean(test), np.std(test)], rtol=1e-6)
+        assert np.allclose(got.loc["train"], [np.mean(train), np.std(train)], rtol=1e-6)
+        assert got.loc["shuffled_target", "mean"] > 3 * got.loc["cross_validation", "mean"] or reg
+    empty = additive.regression_scores(df.where("false"), ["a"], "y", "k", 4, "s")
+    assert empty.count() == 0
+
+
+def test_ridge_logistic_is_a_minimum(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((800, 3)) * (1, 4, 0.2)
+    y = (rng.random(800) < 1 / (1 + np.exp(-(x @ [1.0, -0.5, 3.0] + 0.3)))).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2], "y": y}))
+    for c in (0.1, 100.0):
+        got = additive.ridge_logistic(df, F.array("x0", "x1", "x2"), F.col("y"), c)
+        z, w = np.c_[np.ones(800), x], np.zeros(4)
+        for _ in range(100):  # plain Newton steps in memory
+            p = 1 / (1 + np.exp(-z @ w))
+            w = w - np.linalg.solve(c * (z.T * (p * (1 - p))) @ z + np.diag([0, 1, 1, 1]), c * z.T @ (p - y) + [0, *w[1:]])
+        assert np.allclose(got, w, rtol=1e-8, atol=1e-8)
+
+
+def test_platform_usage_model_columns(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    pdf = pd.DataFrame({"cat": rng.choice(list("xyz"), n), "level": rng.choice(["low", "mid", "high"], n), "age": rng.normal(50, 9, n),
+                        "assets": np.where(rng.random(n) < 0.2, np.nan, rng.exponential(1e5, n))})
+    pdf["none"] = (rng.random(n) < np.where(pdf["cat"] == "y", 0.8, 0.3)).astype(int)
+    df = spark.createDataFrame(pdf).withColumn("assets", F.when(~F.isnan("assets"), F.col("assets")))
+    got = {r.feature: r.coefficient for r in additive.platform_usage_model(df, "none", ["cat"], {"level": ["low", "mid", "high"]}, ["age"], ["assets"], 0.5).collect()}
+    log = np.log10(pdf["assets"] + 1)
+    log = log.fillna(log.mean())
+    scale = lambda v: (v - v.mean()) / v.std(ddof=0)
+    z = np.c_[np.ones(n), pdf["cat"] == "y", pdf["cat"] == "z", pdf["level"].map({"low": 0, "mid": 1, "high": 2}), scale(pdf["age"]), scale(log)].astype(float)
+    w, y = np.zeros(6), pdf["none"].to_numpy()
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve(0.5 * (z.T * (p * (1 - p))) @ z + np.diag([0] + [1] * 5), 0.5 * z.T @ (p - y) + [0, *w[1:]])
+    assert np.allclose([got[k] for k in ("cat_y", "cat_z", "level", "age", "assets")], w[1:], atol=1e-8)
+    with pytest.raises(Exception, match="missing or unknown"):
+        additive.platform_usage_model(df.withColumn("level", F.lit("other")), "none", ["cat"], {"level": ["low"]}, ["age"], [], 0.5)
