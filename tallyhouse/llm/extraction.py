@@ -1,14 +1,15 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
 Method. A page is cut at the borders of block elements into flat text blocks. The features of a block are its number of
-words and the link density (share of words inside links), the same two of the blocks before and after it, and three
-facts about the elements around it: whether one of them is of a kind that holds no main text (menu, header, footer, sidebar,
-notice, advert, form, comments; by element, role, class or id), whether one of them is an article, and
-whether the page has articles at all. A class or id names such a kind by one of its
-words, but not by words for what the element has or lacks (``with-sidebar``, ``no-comments``). On an element that is itself an article
-(by element, role, or a whole class or id) only a whole class or id counts, or one that joins both (``story-footer``); what
+words and the link density (share of words inside links), the same two of the blocks before and after it, and its place: 2 inside
+an article, 0 outside the articles of a page or in an element of a kind that holds no main text (menu, header, footer, sidebar,
+notice, advert, form, comments), 1 elsewhere on a page without articles. A kind is told by the element, the role, or a
+whole class or id: one word of the kind, alone or with words that only name a place (``site-nav``, ``comment-list``), not a word that is part of
+another name (``share-price``) or tells what the element has or lacks (``with-sidebar``, ``no-comments``). On an element that is itself an article
+(by element, role, or a whole class or id) only a single word counts, or one joined to the article's (``story-footer``); what
 it is filed under (``category-privacy``) does not. A decision tree is trained on the small labelled
-table of ``labelled_pages`` and decides block by block.
+table of ``labelled_pages`` and decides block by block. Where markup tells nothing, as on pages without articles, it decides by words and link density of
+a block and of its neighbours: a link between paragraphs stays, a line of words between lists of links goes.
 
 Scripts, styles, the head, hidden elements and markup are no text. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by a newline in page order, nothing is cut off.
@@ -55,14 +56,21 @@ ASIDE_WORDS = frozenset(
     "newsletter notice notices notification overlay pager pagination paywall popular popup privacy promo promoted promotion promotions rail recommended "
     "recommendations related replies reply respond responses share sharing side sidebar sidebars sidenav signup skip social sponsor sponsored sponsors "
     "subscribe subscription tags teaser teasers toolbar topbar topnav trending widget widgets".split())
+# Words that only say where an element stands; with them and words of one kind alone a name is of that kind (``site-nav``, ``comment-list``).
+PLACE_WORDS = frozenset(
+    "area bar bars block blocks blog bottom box boxes button buttons category categories col column container content desktop first fixed global group icon icons inline "
+    "inner item items last left link links list lists lower main mobile more outer page panel post posts primary right row secondary section sections site slot sticky "
+    "sub text title top upper user users web wrap wrapper".split())
 MAIN_WORDS = frozenset(("article", "articlebody", "entry", "story"))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "inside", "has_article")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place")
+# Names, quotes and rests are matched without giving back, so that broken markup costs one pass.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _HAS = re.compile(r"(?:^|(?<=[-_]))(?:has|no|with|without)[-_].*")
 _FILED = ("category-", "tag-")
+_KNOWN = ASIDE_WORDS | PLACE_WORDS | MAIN_WORDS
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -76,7 +84,7 @@ def _facts(name: str, rest: str) -> tuple[bool, bool, bool]:
             if key in ("class", "id"):
                 for token in value.split():
                     named = set(_WORD.findall(_HAS.sub("", _CAMEL.sub("-", token).lower())))
-                    if not ASIDE_WORDS.isdisjoint(named):
+                    if not ASIDE_WORDS.isdisjoint(named) and named <= _KNOWN:
                         part = True
                         whole |= token.lower() in ASIDE_WORDS
                         joint |= not MAIN_WORDS.isdisjoint(named) and not token.lower().startswith(_FILED)
@@ -100,6 +108,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """Text blocks in page order: text, words, words in links, aside, inside."""
     found: list[tuple[str, int, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # element, hidden, aside, inside; the last three with all above
+    places: dict[str, list[int]] = {}  # depths of the open elements of each name, so that no search walks the stack
     parts: list[tuple[str, bool]] = []
     links = 0
 
@@ -114,18 +123,21 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
     def pop_to(depth: int) -> None:
         nonlocal links
-        if any(n in BLOCK or n in NO_TEXT for n, *_ in stack[depth:]):
+        gone = [n for n, *_ in stack[depth:]]
+        if any(n in BLOCK or n in NO_TEXT for n in gone):
             flush()
-        links -= sum(n == "a" for n, *_ in stack[depth:])
+        for n in gone:
+            links -= n == "a"
+            places[n].pop()
         del stack[depth:]
 
+    def last(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     def close(names: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
-        for d in range(len(stack) - 1, -1, -1):
-            if stack[d][0] in names:
-                pop_to(d)
-                return
-            if stack[d][0] in scope:
-                return
+        d = last(names)
+        if d >= 0 and d > last(tuple(n for n in scope if n not in names)):
+            pop_to(d)
 
     at, end = 0, len(page)
     while at < end:
@@ -140,7 +152,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if not name:
             continue
         if m[1] or m[4]:
-            if name == "p" and not any(n == "p" for n, *_ in stack):
+            if name == "p" and not places.get("p"):
                 flush()
             close((name,), ("body",) if name not in ("body", "html") else ())
             continue
@@ -161,7 +173,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         if name in RAW and not rest.rstrip().endswith("/"):
             # Raw text: nothing inside is markup or text.
-            done = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
+            done = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+(?:>|\Z)|\Z", re.I).search(page, at)
             at = done.end()
             continue
         hidden, aside, inside = _facts(name, rest)
@@ -172,6 +184,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if name in NO_TEXT:
             flush()
             hidden = True
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, h or hidden, a or aside, i or inside))
         if name == "a":
             links += 1
@@ -187,8 +200,9 @@ def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
     density = np.minimum(np.array([b[2] for b in found]) / words, 1.0)
     aside, inside = (np.array([b[i] for b in found], dtype=np.float64) for i in (3, 4))
     before, after = (lambda x: np.r_[0.0, x[:-1]]), (lambda x: np.r_[x[1:], 0.0])
-    return np.stack([words, density, before(words), before(density), after(words), after(density), aside, inside,
-                     np.full(len(found), float((inside * (1 - aside)).any()))], axis=1)
+    main = inside * (1 - aside)
+    place = 2 * main if main.any() else 1 - aside
+    return np.stack([words, density, before(words), before(density), after(words), after(density), place], axis=1)
 
 
 def training_table(spark: SparkSession, pages: tuple[str, ...] = PAGES) -> DataFrame:

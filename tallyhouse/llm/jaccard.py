@@ -41,7 +41,8 @@ RECALL = 0.999
 MOST_HASHES = 144
 TILE = 256
 TILE_BYTES = 4_000_000
-UNIT_BYTES = 12_000_000
+UNIT_BYTES = 4_000_000  # of texts on average; one pair of tiles may have twice TILE_BYTES
+SLICE_BYTES = 500_000  # of text hashed at once, at some hundred bytes of working space each
 _U = np.uint64
 
 
@@ -85,7 +86,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Ite
     add = rng.integers(0, 2**63, size=rows * bands, dtype=np.uint64)
     for batch in batches:
         keys = batch.column(0)
-        for first, last, w in W.slices(batch, "text", 500_000):
+        for first, last, w in W.slices(batch, "text", SLICE_BYTES):
             g, bounds = shingle_sets(w)
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
@@ -114,7 +115,7 @@ def _verify(table: pa.Table, similarity: float) -> pa.Table:
     side = table.column("side").to_numpy()
     pair = table.column("pair").to_numpy()
     batch = table.select(["text"]).combine_chunks().to_batches()
-    found = [shingle_sets(w) for b in batch for _, _, w in W.slices(b, "text")]
+    found = [shingle_sets(w) for b in batch for _, _, w in W.slices(b, "text", SLICE_BYTES)]
     values = np.concatenate([g for g, _ in found]) if found else np.zeros(0, dtype=_U)
     sizes = np.concatenate([np.diff(b) for _, b in found]) if found else np.zeros(0, dtype=np.int64)
     bounds = np.r_[0, np.cumsum(sizes)]

@@ -50,3 +50,42 @@ PAGES = (
     f"<body><div id='story' class='no-comments'><h1>+{TITLE[2]}</h1>{_text(1, 2)}<div class='story-footer'><p>{OFFER}</p></div></div>"
     f"<section class='article-comments'><p>{REPLY}</p></section></body>",
 )
+
+LETTER = "Subscribe to our weekly letter and never miss a story from the harbour."
+THANKS = "Thank you for reading the Gazette."
+
+
+def _links(n: int, words: str = "More about topic") -> str:
+    return "".join(f'<div><a href="/{i}">{words} {i}</a></div>' for i in range(n))
+
+
+def _see(i: int) -> str:
+    return f"<p>+See <a href='/s{i}'>this other page about it</a></p>"
+
+
+# Pages without an article element and without names that tell: only words, links and neighbours tell their blocks apart.
+BARE = (
+    f"<body>{_links(4)}<div><h1>+{TITLE[0]}</h1><p>+{LONG[0]}</p>{_see(1)}<p>+{LONG[1]}</p><p>+{SHORT[1]}</p><p>+{LONG[2]}</p></div><p>{LETTER}</p>{_links(3)}</body>",
+    f"<body>{_links(6, 'Go to')}<h2>+{TITLE[1]}</h2><p>+{LONG[3]}</p><p>+{LONG[4]}</p>{_see(2)}<p>+{LONG[5]}</p><p>{THANKS}</p>{_links(2)}<p>{LETTER}</p>{_links(2, 'On')}</body>",
+    f"<body><p>{LETTER}</p>{_links(3)}<div><p>+{LONG[5]}</p><p>+{SHORT[3]}</p><p>+{LONG[0]}</p>{_see(3)}<p>+{LONG[3]}</p></div>{_links(5)}<p>{THANKS}</p></body>",
+    f"<body>{_links(2)}<p>{THANKS}</p>{_links(2)}<div><h1>+{TITLE[2]}</h1><p>+{LONG[1]}</p><p>+{LONG[2]}</p></div>{_links(4, 'Next:')}</body>",
+    f"<body><div><h1>+{TITLE[3]}</h1><p>+{LONG[2]}</p>{_see(4)}<p>+{LONG[4]}</p><p>+{SHORT[0]}</p><p>+{LONG[1]}</p></div><p>{LETTER}</p>{_links(3, 'To')}<p>{THANKS}</p>{_links(1)}</body>",
+    f"<body>{_links(3, 'All of')}<p>+{LONG[4]}</p><p>+{LONG[0]}</p>{_links(2)}<p>{LETTER}</p></body>",
+)
+# Articles whose blocks look like those of menus and notices elsewhere, and plain pages that just end.
+ENDS = (
+    f"<body><nav>{_menu(3)}</nav><article><h1>+{TITLE[0]}</h1><p>+{LONG[0]}</p><p>+{SHORT[1]}</p></article></body>",
+    f"<body>{_links(3)}<article><p>+{LONG[1]}</p><p>+{SHORT[4]}</p></article>{_links(4)}</body>",
+    f"<body><article><p>+<a href='/1'>{TITLE[1]}</a></p><p>+Our weekly letter comes out every Friday now.</p><p>+<a href='/2'>{TITLE[2]}</a></p></article>{_links(2)}</body>",
+    f"<body><p>{LETTER}</p>{_links(2)}<main><p>+{SHORT[2]}</p></main></body>",
+    f"<body>{_links(3)}<article><h2>+{TITLE[3]}</h2><p>+He went back to the harbour once more before winter came.</p></article></body>",
+    f"<body><article><p>+{SHORT[0]}</p><p>+He went back to the harbour.</p></article><p>{LETTER}</p>{_links(2)}</body>",
+    f"<body><article><p>+{LONG[0]}</p>{_see(5)}<p>+He went back to the harbour.</p></article></body>",
+    f"<body><main><p>+{LONG[2]}</p><p>+<a href='/3'>{TITLE[2]}</a></p><p>+{LONG[4]}</p></main></body>",
+    f"<body><p>+{LONG[0]}</p><p>+{SHORT[1]}</p></body>",
+    f"<body><p>+{SHORT[2]}</p></body>",
+    f"<body>+{LONG[2]}</body>",
+    f"<body><h1>+{TITLE[0]}</h1><p>+{LONG[3]}</p><p>+He went back to the harbour once more before winter came.</p></body>",
+    f"<body>{_links(2)}<h1>+{TITLE[1]}</h1><p>+{LONG[5]}</p><p>+{LONG[1]}</p></body>",
+)
+PAGES = PAGES + BARE + ENDS

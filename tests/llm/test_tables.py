@@ -161,6 +161,60 @@ def test_other_kinds_stay_out(tree, opening, closing):
     assert extraction.main_text(page, tree) == "The council met on Tuesday to discuss the bridge."
 
 
+@pytest.mark.parametrize("element,name", [("p", "share-price"), ("p", "social-history"), ("div", "popular-science"), ("section", "form-and-function")])
+def test_words_inside_other_names_do_not_decide(tree, element, name):
+    page = f"<article><h1>T</h1><{element} class='{name}'>The council met on Tuesday.</{element}><p>More.</p></article>"
+    assert extraction.main_text(page, tree) == "T\nThe council met on Tuesday.\nMore."
+
+
+def test_tree_splits_on_neighbours(tree):
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, bool):
+            used.add(extraction.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(tree.root)
+    assert {"words", "links"} & used and {"words_before", "links_before", "words_after", "links_after"} & used
+
+
+def test_blocks_of_marked_places_follow_the_markup(tree):
+    import itertools
+
+    sizes, shares = (0.0, 1.0, 3.0, 8.0, 18.0, 30.0, 400.0), (0.0, 0.3, 0.6, 0.95, 1.0)
+    around = np.array([(w, k, a, b, c, d) for w, k, a, b, c, d in itertools.product(sizes[1:], shares, sizes, shares[::2], sizes, shares[::2])])
+    for place in (0.0, 2.0):
+        assert (tree.decide(np.c_[around, np.full(len(around), place)]) == (place == 2.0)).all()
+
+
+@pytest.mark.parametrize("shift", range(4))
+def test_pages_without_articles_or_telling_names(tree, shift):
+    """Held out: other words, lengths and numbers of links than in the table."""
+    texts = ["Old maps of the valley show a second road along the stream, and walkers still find its stones under the grass every spring.",
+             "The museum keeps three of these maps, drawn by two surveyors who never met and who disagreed about the height of every hill in the district.",
+             "Both of them were wrong, as the new survey found, though the younger one came closer and was paid less for the work he had done by himself.",
+             "A copy of the third map hangs in the town hall now, where anyone can compare its lines with those of the plan of last year."]
+    texts = texts[shift:] + texts[:shift]
+    nav = "".join(f"<div><a href='/{i}'>{w}</a></div>" for i, w in enumerate(["Start", "Sports pages", "Weather today", "Culture", "Opinion and debate"][shift % 2:]))
+    page = (f"<body>{nav}<div><h1>Maps of the valley</h1><p>{texts[0]}</p><p>See <a href='/m'>this other page about maps</a></p><p>{texts[1]}</p><p>So it goes.</p>"
+            f"<p>{texts[2]}</p><p>{texts[3]}</p></div><p>Get our letter every week and read it first.</p>{nav}</body>")
+    want = ["Maps of the valley", texts[0], "See this other page about maps", texts[1], "So it goes.", texts[2], texts[3]]
+    assert extraction.main_text(page, tree) == "\n".join(want)
+
+
+@pytest.mark.parametrize("page", [
+    "<" + "a" * 1_000_000, "<div>" * 200_000 + "x", "<a " * 300_000, "<!" * 500_000, "<p>" + "<button><div>" * 60_000, "<script></script " * 60_000, "</p " * 200_000,
+    "<p " + 'a="' * 200_000, "<td><tr>" * 50_000 + "<p>" * 50_000, "<li>" * 200_000])
+def test_broken_markup_takes_linear_time(tree, page):
+    import time
+
+    start = time.process_time()
+    extraction.main_text(page, tree)
+    assert time.process_time() - start < 5
+
+
 def test_extract_odd_rows(spark, tree):
     rows = [(1, None, None, "a"), (1, None, None, "a"), (None, "u", "<article>x</article>", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
