@@ -94,6 +94,8 @@ def _ranges(characters: str) -> str:
 
 
 _MANY_CLASS = _ranges("".join(_MANY))
+# A short class that holds all of these and more; most texts have none of it, and the long class is slow to test.
+_PERHAPS_MANY = _ranges("".join(c for c in _MANY if c < "\u0250"))[:-1] + r"\x{250}-\x{10ffff}]"
 _GAP = "\u0001"  # stands between entries of the constant lists; no decomposition holds it
 
 
@@ -111,7 +113,7 @@ def strip_accents(col: Column) -> Column:
     plain = F.translate(col, _ONE_FROM + _MARKS, _ONE_TO)
     table = F.map_from_arrays(F.split(F.lit(_GAP.join(_MANY)), _GAP), F.split(F.lit(_GAP.join(_MANY.values())), _GAP))
     longer = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    other = F.when(plain.rlike(_MANY_CLASS), longer).otherwise(plain)
+    other = F.when(~plain.rlike(_PERHAPS_MANY), plain).when(plain.rlike(_MANY_CLASS), longer).otherwise(plain)
     return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(other)  # a text of ASCII is its own result
 
 
