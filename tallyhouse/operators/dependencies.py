@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.operators.sketches import distinct_estimates, surely_more
+
 
 def is_one_to_one(df: DataFrame, a: str, b: str) -> DataFrame:
     """Whether every ``a`` has exactly one ``b`` and the other way round.
@@ -42,39 +45,67 @@ def shared_children(df: DataFrame, child: Sequence[str], parent: str, keep_all:
     return pairs.join(counts, list(child)).select(*child, "n_partners", parent)
 
 
+def _open_pairs(df: DataFrame, cols: Sequence[str]) -> list[tuple[str, str]]:
+    """Ordered pairs (child, parent) that sketches cannot rule out.
+
+    A pair that holds adds no combinations to those of the child alone, so a pair sketch that is larger than the
+    child's by more than the error of both rules it out.
+    """
+    couples = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    sets = {f"s{i}": [a] for i, a in enumerate(cols)} | {f"p{i}": pair for i, pair in enumerate(couples)}
+    size = distinct_estimates(df, sets)
+    single = {a: size[f"s{i}"] for i, a in enumerate(cols)}
+    both = {pair: size[f"p{i}"] for i, pair in enumerate(couples)}
+    return [
+        (a, b) for a in cols for b in cols
+        if a != b and not surely_more(both[(a, b) if (a, b) in both else (b, a)], single[a])
+    ]
+
+
+def _holding(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Those of the pairs (child, parent) that hold, decided on all rows.
+
+    The table is grouped once for each child, over its own columns only: where the least and the greatest hash of a parent
+    are equal in every group, the child has a single value of it. Rows meet per task before the shuffle, so a frequent
+    child value is no burden, and no pair of values is ever listed.
+    """
+    spark = df.sparkSession
+    parents: dict[str, list[str]] = {}
+    for a, b in pairs:
+        parents.setdefault(a, []).append(b)
+    found = []
+    for a, others in parents.items():
+        hashes = [F.xxhash64(F.col(f"`{b}`")).alias(f"h{i}") for i, b in enumerate(others)]
+        ends = [f(f"h{i}").alias(f"{n}{i}") for i in range(len(others)) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        groups = df.select(F.col(f"`{a}`").alias("k"), *hashes).groupBy("k").agg(*ends)
+        row = groups.agg(*[F.coalesce(F.bool_and(F.col(f"lo{i}") == F.col(f"hi{i}")), F.lit(True)).alias(f"b{i}") for i in range(len(others))])
+        cells = [F.struct(F.lit(a).alias("child"), F.lit(b).alias("parent"), F.col(f"b{i}").alias("holds")) for i, b in enumerate(others)]
+        found.append(row.select(F.explode(F.array(*cells)).alias("c")).where("c.holds").select("c.child", "c.parent"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "child STRING, parent STRING")
+
+
 def subcategory_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Ordered pairs (child, parent): each value of the child has a single value of the parent.
 
-    A pair holds when adding the parent to the child gives no new combinations, so the
-    distinct counts of single columns and of pairs, from one aggregate, decide. The
-    table is reduced to its distinct rows first.
+    Null counts as a value, and in an empty table every pair holds. Sketches of all columns and pairs, from one pass,
+    rule out most pairs; the others are decided on all rows. The table is read once more for each child with an open
+    pair, so it should be a stored one.
     """
     cols = list(columns or df.columns)
-    rows = df.select(*cols).distinct()
-    singles = [F.count_distinct(F.struct(F.col(c))).alias(f"s{i}") for i, c in enumerate(cols)]
-    both = [
-        F.count_distinct(F.struct(F.col(cols[i]), F.col(cols[j]))).alias(f"p{i}_{j}")
-        for i in range(len(cols)) for j in range(i + 1, len(cols))
-    ]
-    row = rows.agg(*singles, *both)
-    cells = [
-        F.struct(
-            F.lit(a).alias("child"), F.lit(b).alias("parent"),
-            (F.col(f"s{i}") == F.col(f"p{min(i, j)}_{max(i, j)}")).alias("holds"),
-        )
-        for i, a in enumerate(cols) for j, b in enumerate(cols) if i != j
-    ]
-    return row.select(F.explode(F.array(*cells)).alias("c")).where("c.holds").select("c.child", "c.parent")
+    return _holding(df, _open_pairs(df, cols))
 
 
 def redundant_columns(df: DataFrame, prefix: str | None = None, columns: Sequence[str] | None = None) -> list[str]:
     """Columns that can go because another column maps one to one onto them.
 
     Of each such set one column stays: one without the prefix if there is one. The
-    choice is made on the pairs of column names, never on rows.
+    choice is made on the pairs of column names, never on rows. Only pairs that sketches
+    leave open in both directions are decided on all rows.
     """
     cols = list(columns or df.columns)
-    pairs = {(r["child"], r["parent"]) for r in subcategory_pairs(df, cols).collect()}
+    left = set(_open_pairs(df, cols))
+    mutual = [(a, b) for a in cols for b in cols if (a, b) in left and (b, a) in left]
+    pairs = {(r["child"], r["parent"]) for r in _holding(df, mutual).collect()}
     drop: list[str] = []
     for i, a in enumerate(cols):
         for b in cols[i + 1 :]:

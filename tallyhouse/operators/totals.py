@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.joins import keep_ids
 from tallyhouse.operators.ranking import exact_quantiles, top_per_group
+from tallyhouse.operators.sketches import distinct_estimates, surely_more
 
 
 def count_rows(name: str = "n") -> Column:
@@ -145,10 +147,28 @@ def missing_profile(df: DataFrame, only_missing: bool = False) -> DataFrame:
 
 
 def distinct_profile(df: DataFrame, most: int | None = None, approx: bool = False) -> DataFrame:
-    """Distinct values of each column; ``approx`` avoids the exact distinct shuffle."""
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    row = df.agg(*[fn(c).alias(f"n_{c}") for c in df.columns])
-    out = _unpivot_row(row, df.columns, {"n": "n_distinct"})
+    """Distinct values of each column, nulls left out; ``approx`` takes them from sketches.
+
+    With ``most`` only columns of at most so many values are reported. Sketches rule out the
+    others without a shuffle. Each column left is grouped by itself, so that a row is never
+    copied once per column; a stored table is read one column at a time.
+    """
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(c).alias(f"n_{c}") for c in df.columns])
+        out = _unpivot_row(row, df.columns, {"n": "n_distinct"})
+        return out.where(F.col("n_distinct") <= most) if most is not None else out
+    columns = list(df.columns)
+    if most is not None:
+        sizes = distinct_estimates(df, {c: [c] for c in columns})
+        columns = [c for c in columns if not surely_more(sizes[c], most + 1)]  # one more for null
+    exact = [
+        df.select(F.col(f"`{c}`").alias("v")).where("v IS NOT NULL").distinct().agg(count_rows("n_distinct")).select(
+            F.lit(c).alias("column"), "n_distinct")
+        for c in columns
+    ]
+    if not exact:
+        return df.sparkSession.createDataFrame([], "column STRING, n_distinct LONG")
+    out = reduce(DataFrame.unionByName, exact)
     return out.where(F.col("n_distinct") <= most) if most is not None else out
 
 

@@ -190,6 +190,54 @@ def test_redundant_columns_prefer_dropping_the_prefix(spark):
     assert dependencies.redundant_columns(df, "CD_") == ["CD_k"]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_against_brute_force_with_nulls_a_hot_child_and_one_bad_row(spark):
+    n = 6_000
+    rows = [
+        (i, i % 3000 if i % 3 else 7, None if i % 4 == 1 else i % 4, (i % 4 if i % 4 != 1 else None) is None, "same", 1 if i == n - 1 else 0,
+         f"u{i}", i // 2, i % 3000)
+        for i in range(n)
+    ]
+    names = ["key", "hot", "gap", "is_gap", "const", "nearly", "name", "half", "mod"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {t}" for c, t in zip(names, "LONG LONG INT BOOLEAN STRING INT STRING LONG LONG".split())))
+    want = set()
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            partners = {}
+            for row in rows:
+                partners.setdefault(row[i], set()).add(row[j])
+            if i != j and all(len(p) == 1 for p in partners.values()):
+                want.add((a, b))
+    out = dependencies.subcategory_pairs(df)
+    assert {tuple(r) for r in out.collect()} == want
+    assert ("gap", "is_gap") in want and ("const", "nearly") not in want and ("key", "nearly") in want
+    assert "Expand" not in plan_of(out)
+    assert dependencies.redundant_columns(df) == ["name"]
+
+
+def test_sketches_rule_out_pairs_before_they_are_counted(spark):
+    df = spark.range(20_000).select(*[(F.xxhash64("id", F.lit(i)) % 300).alias(f"c{i}") for i in range(30)], F.col("id").alias("key"))
+    left = dependencies._open_pairs(df, df.columns)
+    assert set(left) == {("key", f"c{i}") for i in range(30)}
+    assert dependencies.subcategory_pairs(df).count() == 30
+
+
+def test_pairs_and_profiles_of_odd_tables(spark):
+    none = spark.createDataFrame([], "a INT, `b.c` STRING")
+    assert {tuple(r) for r in dependencies.subcategory_pairs(none).collect()} == {("a", "b.c"), ("b.c", "a")}
+    assert {tuple(r) for r in totals.distinct_profile(none).collect()} == {("a", 0), ("b.c", 0)}
+    assert dependencies.subcategory_pairs(spark.range(3)).count() == 0
+    df = spark.range(5_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("few"), (F.col("id") % 1_001).alias("over"),
+                                   (F.col("id") % 1_000).alias("just"))
+    got = totals.distinct_profile(df, most=1_000)
+    assert {tuple(r) for r in got.collect()} == {("few", 2), ("just", 1_000)}
+    assert "Expand" not in plan_of(totals.distinct_profile(df))
+    assert totals.distinct_profile(df.select("id"), most=10).collect() == []
+
+
 def test_guess_data_types(spark):
     rows = [(float(i) + 0.5, str(i), f"0{i}", 10**i, None if i == 1 else i, f"{i}-{i}") for i in range(1, 5)]
     df = spark.createDataFrame(rows, "f DOUBLE, few STRING, lead STRING, big LONG, gap LONG, dash STRING")
