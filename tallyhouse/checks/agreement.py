@@ -12,6 +12,7 @@ from tallyhouse.operators import posterior as po
 from tallyhouse.operators import resampling as rs
 from tallyhouse.checks.totals import _USE, _urls
 from tallyhouse.plans.register import platform_report as report
+from tallyhouse.views import sql_permutation
 from tallyhouse.views import sql_uniform as U
 
 
@@ -202,13 +203,13 @@ def _kappa(source, by=""):
       SELECT {b}n_items, n_votes, round((p - e) / (1 - e), 10) AS kappa FROM pa JOIN pe {on}"""
 
 
-_SHUFFLED = f"""a AS (SELECT c_mktsegment, row_number() OVER (ORDER BY {U('p2-c_mktsegment', 'c_custkey')}, c_custkey) AS pos FROM customer),
-  b AS (SELECT rep, (c_acctbal > 0)::INT AS positive, row_number() OVER (PARTITION BY rep ORDER BY {U('p2-positive', 'rep', 'c_custkey')}, c_custkey) AS pos
-    FROM customer, range(20) t(rep))"""
-_CORR = f"""a AS (SELECT o_totalprice, row_number() OVER (ORDER BY {U('p3-o_totalprice', 'o_orderkey')}, o_orderkey) AS pos FROM orders),
-  b AS (SELECT rep, o_custkey::DOUBLE AS owner, row_number() OVER (PARTITION BY rep ORDER BY {U('p3-owner', 'rep', 'o_orderkey')}, o_orderkey) AS pos
-    FROM orders, range(20) t(rep)),
-  k AS (SELECT rep, corr(o_totalprice, owner) AS corr FROM a JOIN b USING (pos) GROUP BY 1)"""
+_SHUFFLED = f"""RECURSIVE s AS (SELECT c_mktsegment, (c_acctbal > 0)::INT AS positive,
+    row_number() OVER (ORDER BY {U('p2', 'c_custkey')}, c_custkey) - 1 AS number FROM customer),
+  {sql_permutation('s', 'c_mktsegment', 'p2-positive', 20, 'a')}"""
+_CORR = f"""RECURSIVE s AS (SELECT o_totalprice, o_custkey::DOUBLE AS owner,
+    row_number() OVER (ORDER BY {U('p3', 'o_orderkey')}, o_orderkey) - 1 AS number FROM orders),
+  {sql_permutation('s', 'o_totalprice', 'p3-owner', 20, 'a')},
+  k AS (SELECT replica, corr(a.o_totalprice, s.owner) AS corr FROM a JOIN s ON place = number GROUP BY 1)"""
 _LANG = "l AS (SELECT lang, quality, toxic FROM labels JOIN documents USING (doc_id))"
 
 
@@ -243,8 +244,9 @@ QUERIES = {
     "frac_by_categories": (frac_by_categories, """
         SELECT o_orderstatus, o_orderpriority, round(count(*) / (SELECT count(*) FROM orders), 10) AS share FROM orders GROUP BY ALL"""),
     "permutation_distribution": (permutation_distribution, f"""WITH {_SHUFFLED}
-        SELECT rep::INT AS replica, c_mktsegment, positive, round(count(*) / (SELECT count(*) FROM customer), 10) AS share FROM a JOIN b USING (pos) GROUP BY ALL"""),
-    "permutation_correlation": (permutation_correlation, f"WITH {_CORR} SELECT rep::INT AS replica, round(corr, 9) AS corr FROM k"),
+        SELECT replica, a.c_mktsegment, positive, round(count(*) / (SELECT count(*) FROM customer), 10) AS share
+        FROM a JOIN s ON place = number GROUP BY ALL"""),
+    "permutation_correlation": (permutation_correlation, f"WITH {_CORR} SELECT replica, round(corr, 9) AS corr FROM k"),
     "p_value": (p_value, f"""WITH {_CORR} SELECT avg((corr > (SELECT corr(o_totalprice, o_custkey) FROM orders))::INT) AS p_value, count(*) AS n_trials FROM k"""),
     "count_class_votes": (count_class_votes, f"WITH {RATINGS} SELECT id, value, count(*) AS n FROM ratings WHERE value IS NOT NULL GROUP BY ALL"),
     "fleiss_kappa": (fleiss_kappa, f"WITH {RATINGS}, v AS (SELECT id, coalesce(value, 2) AS value FROM ratings), " + _kappa("v")),

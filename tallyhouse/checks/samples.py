@@ -8,6 +8,7 @@ from tallyhouse import views
 from tallyhouse.checks.base import M, T, r, stamp
 from tallyhouse.functions.hashing import uniform
 from tallyhouse.operators import sampling as sm
+from tallyhouse.views import sql_permutation
 from tallyhouse.views import sql_uniform as U
 
 
@@ -142,7 +143,8 @@ QUERIES = {
         SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {U('s11', 'doc_id')}, doc_id)
           <= round_even(count(*) OVER (PARTITION BY quality) * 0.3::DOUBLE, 0) THEN 'test' ELSE 'train' END AS part FROM labels"""),
     "shuffle_columns": (shuffle_columns, f"""
-        WITH a AS (SELECT o_orderstatus, row_number() OVER (ORDER BY {U('s12-o_orderstatus', 'o_orderkey')}, o_orderkey) AS position FROM orders),
-        b AS (SELECT o_orderpriority, row_number() OVER (ORDER BY {U('s12-o_orderpriority', 'o_orderkey')}, o_orderkey) AS position FROM orders)
-        SELECT * FROM a JOIN b USING (position)"""),
+        WITH RECURSIVE s AS (SELECT o_orderstatus, o_orderpriority,
+          row_number() OVER (ORDER BY {U('s12', 'o_orderkey')}, o_orderkey) - 1 AS number, number AS own FROM orders),
+        {sql_permutation('s', 'o_orderstatus, own', 's12-o_orderpriority', 1, 'a')}
+        SELECT a.own + 1 AS position, a.o_orderstatus, s.o_orderpriority FROM a JOIN s ON place = number"""),
 }

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.hashing import exponential_key, uniform
+from tallyhouse.functions.permutation import permuted, replica_keys
 from tallyhouse.operators.bins import bin_prob
 from tallyhouse.operators.joins import drop_ids, keep_ids
 from tallyhouse.operators.ranking import first_rows, rank_by_uniform, top_per_group
+from tallyhouse.session import kept_table
+
+MOST_KEYS = 100_000  # permutations whose keys (200 bytes each, 500 for small tables) are sent to all executors
 
 
 def weighted_sample(df: DataFrame, key: str, n: int, seed: int | str, weight: Column | None = None) -> DataFrame:
@@ -179,21 +183,19 @@ def shuffle_columns(
 ) -> DataFrame:
     """Each column permuted on its own: margins stay, dependence goes.
 
-    Column c takes, at position r, the value of the row whose draw for c ranks r-th. With
-    ``replicas`` the table is permuted that many times, each replica ranked by itself;
-    the first column then keeps one order, as only the order relative to it matters.
+    Rows are numbered once, in the order of a draw from the key, and stored. The first column keeps that order, as only
+    the order relative to it matters; every other column takes, at position i, the value of the row that a keyed
+    permutation names for i. With ``replicas`` the table is permuted that many times. A replica costs one
+    equi-join on row numbers, which are spread evenly, and no sort.
     """
-    copies = F.sequence(F.lit(0), F.lit((replicas or 1) - 1))
-    out = None
-    for c in columns:
-        one = df.select(key, c)
-        if replicas and out is not None:
-            many = one.withColumn("replica", F.explode(copies))
-            ranked = rank_by_uniform(many, uniform(f"{seed}-{c}", "replica", key), [key], ["replica"], "position")
-            out = out.join(ranked.select("replica", "position", c), ["replica", "position"])
-            continue
-        ranked = rank_by_uniform(one, uniform(f"{seed}-{c}", key), [key], (), "position").select("position", c)
-        if replicas:
-            ranked = ranked.withColumn("replica", F.explode(copies))
-        out = ranked if out is None else out.join(ranked, "position")
-    return out
+    first, *others = columns
+    ranked = rank_by_uniform(df.select(key, *columns), uniform(seed, key), [key], (), "_rank")
+    numbered = kept_table(ranked.select((F.col("_rank") - 1).alias("_number"), *columns), "numbered")
+    n = numbered.count()
+    keys = replica_keys(df.sparkSession, {f"_k{i}": f"{seed}-{c}" for i, c in enumerate(others)}, replicas or 1, n)
+    out = numbered.select("_number", first).crossJoin(F.broadcast(keys) if (replicas or 1) * len(others) <= MOST_KEYS else keys)
+    for i in range(len(others)):
+        out = permuted(out, "_number", f"_k{i}", n, f"_p{i}").drop(f"_k{i}")
+    for i, c in enumerate(others):
+        out = out.join(numbered.select(F.col("_number").alias(f"_p{i}"), c), f"_p{i}")
+    return out.select(*["replica"][: 1 if replicas else 0], (F.col("_number") + 1).alias("position"), *columns)

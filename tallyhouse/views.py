@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.hashing import uniform
+from tallyhouse.functions.permutation import PRIME, ROUNDS, SMALL, SMALL_ROUNDS
 
 SLOT = "3 hours"
 OFFSET = "30 minutes"
@@ -95,6 +96,32 @@ def sql_uniform(seed, *keys: str) -> str:
     return f"(('0x' || substr(md5({joined}), 1, 13))::BIGINT / 16.0::DOUBLE ** 13)"
 
 
+def sql_permutation(source: str, columns: str, seed: int | str, replicas: int, name: str) -> str:
+    """The same permutation for another engine: CTEs that end in ``name`` (columns, replica, place) from ``source`` (columns, number).
+
+    Walks are a recursion there, and every round is a subquery.
+    """
+    key = lambda i: f"('0x' || substr(md5('{seed}:' || rep || ':{i // 4}'), {1 + i % 4 * 8}, 8))::BIGINT % {PRIME}"
+    rounds = f"SELECT {columns}, replica, ks, n, a, b, x // b AS u, x % b AS v FROM w"
+    for i in range(SMALL_ROUNDS):
+        s, t, side = ("v", "u", "a") if i % 2 == 0 else ("u", "v", "b")
+        k = [f"ks[{4 * i + j + 1}]" for j in range(4)]
+        poly = f"((({k[0]} * {s} + {k[1]}) % {PRIME} * {s} + {k[2]}) % {PRIME} * {s} + {k[3]}) % {PRIME}"
+        if i >= ROUNDS:
+            poly = f"CASE WHEN n < {SMALL} THEN {poly} ELSE 0 END"
+        rounds = f"SELECT {columns}, replica, ks, n, a, b, {s}, ({t} + {poly}) % {side} AS {t} FROM ({rounds})"
+    first = rounds.replace("FROM w", "FROM start")
+    again = rounds.replace("FROM w", f"FROM {name}_walk WHERE x >= n")
+    return f"""size AS (SELECT count(*) AS n FROM {source}),
+  grid AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, unnest(range(greatest(root // 4, least(n, 2), 1), root + 1)) AS a
+    FROM (SELECT n, greatest(floor(sqrt(n))::BIGINT, least(n, 2), 1) AS root FROM size)) ORDER BY (a - n % a) % a, a DESC LIMIT 1),
+  keys AS (SELECT rep::INT AS replica, [{', '.join(key(i) for i in range(4 * SMALL_ROUNDS))}] AS ks FROM range({replicas}) t(rep)),
+  start AS (SELECT {columns}, replica, ks, n, a, b, number AS x FROM {source}, keys, grid),
+  {name}_walk AS (SELECT {columns}, replica, ks, n, a, b, u * b + v AS x FROM ({first})
+    UNION ALL SELECT {columns}, replica, ks, n, a, b, u * b + v FROM ({again})),
+  {name} AS (SELECT {columns}, replica, x AS place FROM {name}_walk WHERE x < n)"""
+
+
 SQL_M = """m AS (
   SELECT event_id AS id, ts AS created_at, user_id AS batch_user, event_type,
     time_bucket(INTERVAL '3 hours', ts - INTERVAL 1 MICROSECOND, TIMESTAMP '2024-01-01 00:30:00') + INTERVAL 3 HOUR AS batch_time,

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import dates, hashing, registers, text, urls
+from tallyhouse.functions import dates, hashing, permutation, registers, text, urls
 from tallyhouse.operators import additive, agreement, bins, dependencies, filters, joins, metrics, posterior, ranking, resampling
 from tallyhouse.operators import sampling, selection, sets, terms, totals, windows
 from tallyhouse.plans import violence_series as vs
@@ -372,6 +372,57 @@ def test_shuffle_keeps_margins(spark):
         assert {r[c]: r["count"] for r in out.groupBy(c).count().collect()} == want
 
 
+def test_permutations_are_one_to_one_for_any_number_of_rows(spark):
+    def plain(x, n, ks):
+        a, b = permutation.grid(n)
+        while True:
+            u, v = divmod(x, b)
+            for i in range(permutation.rounds_for(n)):
+                value = 0
+                for c in ks[4 * i : 4 * i + 4]:
+                    value = (value * (v if i % 2 == 0 else u) + c) % permutation.PRIME
+                u, v = ((u + value) % a, v) if i % 2 == 0 else (u, (v + value) % b)
+            x = u * b + v
+            if x < n:
+                return x
+
+    for n in (1, 2, 3, 5, 997, 1009, 1024):
+        keys = permutation.replica_keys(spark, {"k": "s"}, 2, n)
+        ks = {r["replica"]: r["k"] for r in keys.collect()}
+        assert ks[0] != ks[1] and all(0 <= c < permutation.PRIME for c in ks[0] + ks[1])
+        got = permutation.permuted(spark.range(n).crossJoin(keys), "id", "k", n, "place").collect()
+        for replica in (0, 1):
+            assert sorted(r["place"] for r in got if r["replica"] == replica) == list(range(n))
+        assert all(r["place"] == plain(r["id"], n, ks[r["replica"]]) for r in got)
+    for n in (10**6 + 3, 10**9 + 7, 10**12 + 39):
+        a, b = permutation.grid(n)
+        assert 0 <= a * b - n <= 8 and a <= b <= 17 * a
+
+
+def test_permutations_put_every_row_everywhere_equally_often(spark):
+    n, replicas = 7, 4_000
+    keys = permutation.replica_keys(spark, {"k": 3}, replicas, n)
+    got = permutation.permuted(spark.range(n).crossJoin(keys), "id", "k", n, "p")
+    cells = got.groupBy("id", "p").count().toPandas()
+    want = replicas / n
+    assert len(cells) == n * n and ((cells["count"] - want) ** 2 / want).sum() < 80  # 36 degrees of freedom
+    pairs = got.alias("x").join(got.alias("y"), "replica").where("x.id = 0 and y.id = 1").groupBy("x.p", "y.p").count().toPandas()
+    want = replicas / (n * (n - 1))
+    assert len(pairs) == n * (n - 1) and ((pairs["count"] - want) ** 2 / want).sum() < 90  # 41 degrees of freedom
+
+
+def test_replicas_are_joined_and_not_sorted(spark):
+    df = spark.range(3_000).withColumn("a", F.col("id") % 3).withColumn("b", F.col("id") % 5)
+    out = sampling.shuffle_columns(df, ["a", "b"], "id", 1, replicas=40)
+    assert "Window" not in plan_of(out) and plan_of(out).count("aggregate(sequence(") == 1  # computed once, in no filter
+    again = sampling.shuffle_columns(df.repartition(5), ["a", "b"], "id", 1, replicas=40)
+    assert out.exceptAll(again).count() == 0
+    corr = [r[0] for r in resampling.permutation_correlation(df, "a", "b", "id", 200, 4).select("corr").collect()]
+    assert abs(np.mean(corr)) < 4 / np.sqrt(200 * 3_000) and 0.8 < np.std(corr) * np.sqrt(3_000) < 1.2
+    for odd in (df.where("id < 0"), df.where("id < 1")):
+        assert sampling.shuffle_columns(odd, ["a", "b"], "id", 1, replicas=2).count() == 2 * odd.count()
+
+
 def test_fixed_proportion(spark):
     df = spark.range(1000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     got = sampling.sample_fixed_proportion(df, "y", "id", 0.4, 3, replicas=2).groupBy("replica", "y").count().collect()
