@@ -76,16 +76,25 @@ def _place(x: Column, keys: str, a: int, b: int, rounds: int) -> Column:
 def permuted(df: DataFrame, number: str, keys: str, n: int, name: str) -> DataFrame:
     """``df`` with ``name``: the place of ``number`` (0 to n - 1) in the permutation of ``n`` given by the array ``keys``.
 
-    Folds keep the plan small: written as one projection per round, the optimizer unfolds rounds into each other
-    when it looks for filters to push, and runs out of memory.
+    The first application is a projection per round, which stays in generated code. Walks, which few rows need, and the
+    many rounds of small tables are folds: longer chains of projections are unfolded into each other by the optimizer
+    when it looks for filters, until it runs out of memory.
     """
     a, b = grid(n)
+    rounds, own, excess = rounds_for(n), df.columns, a * b - n
     x = F.col(number).cast("bigint")
-    step = lambda v: _place(v, keys, a, b, rounds_for(n))
-    excess = a * b - n
-    if excess > 0:
-        walks = F.sequence(F.lit(0), F.lit(excess))
-        place = F.aggregate(walks, x, lambda v, i: F.when((i > 0) & (v < n), v).otherwise(step(v)))
+    if n < SMALL:
+        out, landed = df, _place(x, keys, a, b, rounds)
     else:
-        place = step(x)
-    return df.withColumn(name, F.coalesce(place, F.lit(-1)))  # known not to be null, so that a join on it adds no filter
+        out = df.withColumns({"_u": ((x - x % b) / b).cast("bigint"), "_v": x % b})
+        for i in range(rounds):
+            source, target, side = ("_v", "_u", a) if i % 2 == 0 else ("_u", "_v", b)
+            value = F.col(keys)[4 * i]
+            for j in range(1, 4):
+                value = (value * F.col(source) + F.col(keys)[4 * i + j]) % PRIME
+            out = out.withColumn(target, (F.col(target) + value) % side)
+        landed = F.col("_u") * b + F.col("_v")
+    if excess > 0:
+        walks = F.sequence(F.lit(1), F.lit(excess))
+        landed = F.aggregate(walks, landed, lambda v, i: F.when(v < n, v).otherwise(_place(v, keys, a, b, rounds)))
+    return out.select(*own, F.coalesce(landed, F.lit(-1)).alias(name))  # known not to be null, so that a join on it adds no filter

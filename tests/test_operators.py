@@ -386,7 +386,7 @@ def test_permutations_are_one_to_one_for_any_number_of_rows(spark):
             if x < n:
                 return x
 
-    for n in (1, 2, 3, 5, 997, 1009, 1024):
+    for n in (1, 2, 3, 5, 997, 1024, 2003):
         keys = permutation.replica_keys(spark, {"k": "s"}, 2, n)
         ks = {r["replica"]: r["k"] for r in keys.collect()}
         assert ks[0] != ks[1] and all(0 <= c < permutation.PRIME for c in ks[0] + ks[1])
@@ -414,12 +414,13 @@ def test_permutations_put_every_row_everywhere_equally_often(spark):
 def test_replicas_are_joined_and_not_sorted(spark):
     df = spark.range(3_000).withColumn("a", F.col("id") % 3).withColumn("b", F.col("id") % 5)
     out = sampling.shuffle_columns(df, ["a", "b"], "id", 1, replicas=40)
-    assert "Window" not in plan_of(out) and plan_of(out).count("aggregate(sequence(") == 1  # computed once, in no filter
+    assert "Window" not in plan_of(out)
     again = sampling.shuffle_columns(df.repartition(5), ["a", "b"], "id", 1, replicas=40)
     assert out.exceptAll(again).count() == 0
     corr = [r[0] for r in resampling.permutation_correlation(df, "a", "b", "id", 200, 4).select("corr").collect()]
     assert abs(np.mean(corr)) < 4 / np.sqrt(200 * 3_000) and 0.8 < np.std(corr) * np.sqrt(3_000) < 1.2
-    for odd in (df.where("id < 0"), df.where("id < 1")):
+    assert np.prod(permutation.grid(2_003)) > 2_003  # some rows walk
+    for odd in (df.where("id < 0"), df.where("id < 1"), df.where("id < 2003")):
         assert sampling.shuffle_columns(odd, ["a", "b"], "id", 1, replicas=2).count() == 2 * odd.count()
 
 
