@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.hashing import uniform
-from tallyhouse.session import scratch_path
+from tallyhouse.session import kept_table
 
 SPARE = 8  # directions iterated beyond those wanted
 ROUNDS = 4
+BLOCK_ENTRIES = 8_000_000
+SLICE_ROWS = 500
+MOST_SENT = 200_000  # rows of a checked table that are broadcast
 
 
 def tf_idf(counts: DataFrame, row: str, column: str = "token", n: str = "n", min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """Weights (row, column, w) of unit length per row: n * (ln((1 + rows) / (1 + df)) + 1).
 
-    Columns found in fewer than ``min_df`` rows or in more than the share ``max_df`` of them are left out.
+    Columns found in fewer than ``min_df`` rows or in more than the share ``max_df`` of them are left out. The counts are computed once
+    and stored; their weights meet in one shuffle by row.
     """
+    counts = kept_table(counts.select(row, column, n), "counts")
     rows = counts.select(row).distinct().agg(F.count(F.lit(1)).cast("double")).scalar()
     uses = counts.groupBy(column).agg(F.count(F.lit(1)).alias("_df"))
     uses = uses.where((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(float(max_df)) * rows))
-    idf = uses.select(column, (F.ln((1 + rows) / (1 + F.col("_df"))) + 1).alias("_idf"))
-    weighted = counts.join(idf, column).select(row, column, (F.col(n) * F.col("_idf")).alias("w"))
-    norms = weighted.groupBy(row).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return weighted.join(norms, row).select(row, column, (F.col("w") / F.col("_norm")).alias("w"))
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "factor")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    idf = kept_table(uses.select(column, (F.ln((1 + rows) / (1 + F.col("_df"))) + 1).alias("_idf")), "idf")
+    few = idf.count() <= MOST_SENT
+    weighted = counts.join(F.broadcast(idf) if few else idf, column).select(row, column, (F.col(n) * F.col("_idf")).alias("w")).where(F.col(row).isNotNull())
+    whole = weighted.groupBy(row).agg(F.collect_list(F.struct(column, "w")).alias("_e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return whole.select(row, "_norm", F.explode("_e").alias("_e")).select(row, F.col(f"_e.{column}").alias(column), (F.col("_e.w") / F.col("_norm")).alias("w"))
 
 
 def _names(k: int) -> list[str]:
@@ -70,31 +72,106 @@ def _times(df: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
     return df.select(key, *names).mapInPandas(part, ", ".join([f"`{key}` {kind}", *[f"{n} double" for n in out]]))
 
 
-def _product(entries: DataFrame, other: DataFrame, on: str, to: str, k: int) -> DataFrame:
-    """Sparse matrix times a table of row vectors, grouped by the other index."""
-    return entries.join(other, on).groupBy(to).agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in _names(k)])
+def _blocks(entries: DataFrame, row: str, column: str, most: int = BLOCK_ENTRIES) -> DataFrame:
+    """The matrix by blocks of whole rows: per row its block, the places ``at`` of its columns in the block and their ``w``; per block one more row with its ``columns``.
+
+    A block ends after ``most`` entries or different columns of it, so that a task holds one block and the vectors of its columns.
+    """
+    whole = entries.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row).agg(F.collect_list(F.struct(column, "w")).alias("e"))
+    plain = kept_table(whole.select(F.col(row).alias("id"), F.col(f"e.{column}").alias("c"), F.col("e.w").alias("w")), "rows")
+    kinds = dict(plain.dtypes)
+    # As few blocks as fit a task: a column is sent once per block that holds it.
+    plain = plain.coalesce(int((plain.agg(F.sum(F.size("c"))).first()[0] or 0) // most + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, block, entries, places = TaskContext.get().partitionId() << 32, 0, 0, {}
+        names = ["block", "id", "at", "w", "columns"]
+
+        def ended(ids: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+            empty = pa.array([[]], type=pa.list_(pa.int32())), pa.array([[]], type=pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array([task + block]), pa.nulls(1, ids.type), *empty, pa.array([list(places)], type=lists.type)], names=names)
+
+        ids = lists = None
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                ids, lists, weights = batch.slice(first, SLICE_ROWS).columns
+                coded = lists.flatten().dictionary_encode()
+                own = np.array([places.setdefault(c, len(places)) for c in coded.dictionary.to_pylist()], dtype=np.int32)
+                bounds = pa.array(np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32))
+                at = own[coded.indices.to_numpy()]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(ids), task + block)), ids, pa.ListArray.from_arrays(bounds, pa.array(at)),
+                    pa.ListArray.from_arrays(bounds, weights.flatten()), pa.nulls(len(ids), lists.type)], names=names)
+                entries += len(at)
+                if entries >= most or len(places) >= most // 16:
+                    yield ended(ids, lists)
+                    block, entries, places = block + 1, 0, {}
+        if places:
+            yield ended(ids, lists)
+
+    return plain.mapInArrow(run, f"block long, id {kinds['id']}, at array<int>, w array<double>, columns {kinds['c']}")
+
+
+def _rows_times(members: pa.Table, vectors: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: its rows times the vectors of its columns, the row and the column of each entry, and the entries."""
+    members = members.combine_chunks()
+    lists, weights = (members.column(c).combine_chunks() for c in ("at", "w"))
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    owner, at, w = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy(), weights.flatten().to_numpy()
+    place, out = vectors.column("place").to_numpy(), np.zeros((len(n), k))
+    for i, name in enumerate(_names(k)):
+        column = np.zeros(len(place))
+        column[place] = vectors.column(name).to_numpy()
+        out[:, i] = np.bincount(owner, weights=w * column[at], minlength=len(n))
+    return out, owner, at, w
 
 
 def truncated_svd(entries: DataFrame, row: str, column: str, k: int, rounds: int = ROUNDS, seed: int | str = "svd") -> tuple[DataFrame, list[float]]:
     """Projection of each row on the first ``k`` right singular vectors (columns z0, z1, ...), and the singular values.
 
     Subspace iteration: the matrix, (row, column, w), and the vectors, one row per column of it, stay distributed;
-    the driver sees only tables of k x k numbers. Nothing is centred, and no column is left out.
+    the driver sees only tables of k x k numbers. Nothing is centred, and no column is left out. The matrix is kept in blocks of whole rows
+    (entries without row or column do not count). A round sends the vectors of its columns to each block and sums what the blocks send
+    back, so what is shuffled has a vector per column of a block and not one per entry.
     """
-    entries = _saved(entries.select(row, column, "w"))
-    columns = entries.select(column).distinct()
+    blocks = kept_table(_blocks(entries, row, column), "factor")
+    members = blocks.where("columns IS NULL").select("block", "id", "at", "w")
+    places = blocks.where("columns IS NOT NULL").select(F.col("block").alias("_block"), F.posexplode("columns").alias("place", column))
+    kind = {row: dict(blocks.dtypes)["id"], column: dict(places.dtypes)[column]}
+    columns = places.select(column).distinct()
     width = columns.count()
     size = min(k + SPARE, width)
-    vectors = columns.select(column, *[(uniform(f"{seed}-{i}", column) - 0.5).alias(f"z{i}") for i in range(size)])
+    vectors = kept_table(columns.select(column, *[(uniform(f"{seed}-{i}", column) - 0.5).alias(f"z{i}") for i in range(size)]), "vectors")
+
+    def met(run: Callable[[pa.Table, pa.Table], pa.Table], key: str) -> DataFrame:
+        needed = places.join(vectors, column).select("_block", "place", column, *_names(size))
+        schema = ", ".join([f"`{key}` {kind[key]}", *[f"{n} double" for n in _names(size)]])
+        return members.groupBy("block").cogroup(needed.groupBy("_block")).applyInArrow(run, schema)
+
+    def back(size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def run(members: pa.Table, vectors: pa.Table) -> pa.Table:
+            left, owner, at, w = _rows_times(members, vectors, size)
+            sums, place = [], vectors.column("place").to_numpy()
+            for i in range(size):
+                sums.append(pa.array(np.bincount(at, weights=w * left[owner, i], minlength=len(place))[place]))
+            return pa.table([vectors.column(column), *sums], names=[column, *_names(size)])
+
+        return run
+
+    def placed(size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def run(members: pa.Table, vectors: pa.Table) -> pa.Table:
+            left = _rows_times(members, vectors, size)[0]
+            return pa.table([members.column("id"), *[pa.array(left[:, i]) for i in range(size)]], names=[row, *_names(size)])
+
+        return run
+
     for _ in range(rounds):
-        left = _product(entries, vectors, column, row, size)
-        right = _saved(_product(entries, left, row, column, size))
+        right = kept_table(met(back(size), column).groupBy(column).agg(*[F.sum(n).alias(n) for n in _names(size)]), "vectors")
         values, rotation = np.linalg.eigh(_gram(right, size))
         sound = values > max(values.max(), 0) * 1e-20
-        vectors = _saved(_times(right, column, rotation[:, sound] / np.sqrt(values[sound])))
+        vectors = kept_table(_times(right, column, rotation[:, sound] / np.sqrt(values[sound])), "vectors")
         size = int(sound.sum())
-    left = _saved(_product(entries, vectors, column, row, size))
+    left = kept_table(met(placed(size), row), "placed")
     values, rotation = np.linalg.eigh(_gram(left, size))
     best = np.argsort(-values)[:k]
     return _times(left, row, rotation[:, best]), np.sqrt(np.maximum(values[best], 0)).tolist()
-

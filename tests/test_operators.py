@@ -616,6 +616,18 @@ def test_truncated_svd_against_numpy(spark):
     assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3])[sorted({r[0] for r in rows})], abs=1e-4)
 
 
+def test_matrix_blocks_hold_whole_rows(spark):
+    from tallyhouse.operators import factors
+
+    rows = [(i, f"t{j}", float(1 + i + j)) for i in range(1200) for j in range(i % 4, i % 4 + 3)]
+    entries = spark.createDataFrame([*rows, (None, "t0", 1.0), (1, None, 1.0)], "doc INT, token STRING, w DOUBLE")
+    blocks = factors._blocks(entries, "doc", "token", 1000).collect()
+    names = {r["block"]: r["columns"] for r in blocks if r["columns"] is not None}
+    members = [r for r in blocks if r["columns"] is None]
+    assert len(names) > 2 and len(members) == 1200 and {r["block"] for r in members} == set(names)
+    assert sorted((r["id"], names[r["block"]][at], w) for r in members for at, w in zip(r["at"], r["w"])) == sorted(rows)
+
+
 def test_tf_idf_weights(spark):
     from tallyhouse.operators import factors
 
