@@ -89,7 +89,7 @@ def votes_by_rater(spark, sf):
 
 
 def join_rater_tables(spark, sf):
-    v = views.ratings(spark, sf).join(T(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    v = views.ratings(spark, sf, ["text"]).where("id IS NOT NULL")
     tables = {a: v.where(F.col("annotator") == a).select("id", "text", F.col("value").alias("violent")) for a in views.RATERS}
     df = ag.join_rater_tables(tables, ["text"], ["violent"])
     return df.select("id", *[F.col(c).cast("string").alias(c) for c in df.columns[1:]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.hashing import uniform
@@ -131,20 +131,29 @@ def join_rater_tables(tables: Mapping[str, DataFrame], check: Sequence[str], lab
     """One row per item with the labels of every rater as ``label_rater``.
 
     All raters must have the same items with identical ``check`` texts, else the job
-    fails. The tables are stacked and grouped once instead of joined one by one.
+    fails. The tables are stacked and grouped once instead of joined one by one. Texts are compared
+    by 240 bits of their SHA-256, as four numbers each, so none is shuffled, sorted or kept in a group.
     """
     k = len(tables)
-    stacked = reduce(
-        DataFrame.unionByName, [df.select("id", *check, *labels).withColumn("_who", F.lit(who)) for who, df in tables.items()]
-    )
-    aggs = [F.count(F.lit(1)).alias("_n"), F.count_distinct("_who").alias("_w")]
-    for i, c in enumerate(check):
-        aggs += [F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"), F.count(c).alias(f"_k{i}")]
+
+    def digest(c: str) -> list[Column]:
+        hashed = F.sha2(F.col(c).cast("string"), 256)
+        return [F.conv(F.substring(hashed, 15 * j + 1, 15), 16, 10).cast("bigint") for j in range(4)]
+
+    stacked = reduce(DataFrame.unionByName, [
+        df.select("id", *[part.alias(f"_c{i}_{j}") for i, c in enumerate(check) for j, part in enumerate(digest(c))], *labels, F.lit(who).alias("_who"))
+        for who, df in tables.items()])
+    aggs = [F.count(F.when(F.col("_who") == who, 1)).alias(f"_n{w}") for w, who in enumerate(tables)]
+    for i in range(len(check)):
+        aggs += [F.count(f"_c{i}_0").alias(f"_k{i}")]
+        for j in range(4):
+            aggs += [F.min(f"_c{i}_{j}").alias(f"_lo{i}_{j}"), F.max(f"_c{i}_{j}").alias(f"_hi{i}_{j}")]
     aggs += [F.max(F.when(F.col("_who") == who, F.col(x))).alias(f"{x}_{who}") for who in tables for x in labels]
     g = stacked.groupBy("id").agg(*aggs)
-    g = g.where(F.assert_true((F.col("_n") == k) & (F.col("_w") == k), F.lit("raters differ in their items")).isNull())
+    once = reduce(Column.__and__, [F.col(f"_n{w}") == 1 for w in range(k)])
+    g = g.where(F.assert_true(once, F.lit("raters differ in their items")).isNull())
     for i, c in enumerate(check):
-        same = (F.col(f"_lo{i}") == F.col(f"_hi{i}")) & (F.col(f"_k{i}") == k)
+        same = reduce(Column.__and__, [F.col(f"_lo{i}_{j}") == F.col(f"_hi{i}_{j}") for j in range(4)]) & (F.col(f"_k{i}") == k)
         g = g.where(F.assert_true(F.coalesce(same, F.lit(False)), F.lit(f"{c} differs between raters")).isNull())
     return g.select("id", *[f"{x}_{who}" for who in tables for x in labels])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,15 +78,16 @@ def pool_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATERS = ("A00", "A01", "A02", "A03", "A04")
 
 
-def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long annotation table over ``documents``; one vote in ten is missing."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    long = docs.select("id", F.explode(F.array(*[F.lit(r) for r in RATERS])).alias("annotator"))
+def ratings(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Long annotation table over ``documents``, with the columns ``keep`` of them; one vote in ten is missing."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *keep)
+    long = docs.select("id", *keep, F.explode(F.array(*[F.lit(r) for r in RATERS])).alias("annotator"))
     base = uniform("base", "id")
     own = uniform("rate", "id", "annotator")
     gap = uniform("gap", "id", "annotator")
     return long.select(
         "id",
+        *keep,
         "annotator",
         F.when(gap >= 0.1, ((base + own) / 2 < 0.4).cast("int")).alias("value"),
     )

@@ -57,6 +57,17 @@ def test_join_rater_tables_checks_texts(spark):
         agreement.join_rater_tables({"A": a, "B": a.limit(1)}, ["text"], ["v"]).collect()
 
 
+def test_join_rater_tables_shuffles_no_text(spark):
+    a = spark.createDataFrame([(1, "x" * 50, 1), (2, None, 0)], "id INT, text STRING, v INT").where("id = 1")
+    joined = agreement.join_rater_tables({"A": a, "B": a}, ["text"], ["v"])
+    assert [tuple(r) for r in joined.collect()] == [(1, 1, 1)]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    with pytest.raises(Exception, match="text differs"):
+        missing = spark.createDataFrame([(2, None, 0)], "id INT, text STRING, v INT")
+        agreement.join_rater_tables({"A": missing, "B": missing}, ["text"], ["v"]).collect()
+
+
 # ---- time series -----------------------------------------------------------------------
 def _series(spark, values, name="v"):
     rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=3 * i), v) for i, v in enumerate(values)]
