@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +56,7 @@ def _styled_alphabet() -> tuple[str, str]:
 STYLED, UNSTYLED = _styled_alphabet()
 
 
+RUN_CHARS = 1_000_000  # of texts that are Python strings at a time
 HANGUL = range(0xAC00, 0xD7A4)
 
 
@@ -152,18 +153,29 @@ def replace_bold_unicode(col: Column) -> Column:
     return F.translate(col, STYLED, UNSTYLED)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.str.normalize("NFKC")
+@F.arrow_udf(T.StringType())
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """One text at a time becomes a Python string; the parts of a batch are joined as Arrow data."""
+    for texts in batches:
+        parts, run, size = [], [], 0
+        for text in texts:
+            value = text.as_py()
+            run.append(value if value is None else unicodedata.normalize("NFKC", value))
+            size += len(value or "")
+            if size >= RUN_CHARS:
+                parts.append(pa.array(run, type=pa.string()))
+                run, size = [], 0
+        parts.append(pa.array(run, type=pa.string()))
+        yield pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
 
 
 def std_string(col: Column, case: str | None = None) -> Column:
     """Trimmed, NFKC-normalised, squeezed text in the wanted case.
 
-    Normalisation has no built-in function, so this column passes through Arrow batches.
+    Normalisation has no built-in function, so texts that it can change pass through Arrow batches; a text of ASCII is its own result.
     """
-    plain = squeeze(_nfkc(F.trim(col)))
+    own = F.octet_length(col) == F.char_length(col)
+    plain = squeeze(F.trim(F.when(own, col).otherwise(_nfkc(F.when(~own, F.trim(col))))))
     return {None: lambda c: c, "lower": F.lower, "upper": F.upper}[case](plain)
 
 

@@ -315,6 +315,14 @@ def test_platform_flags(spark, url, want):
     assert {k for k, v in row.items() if v} == want
 
 
+def test_std_string_takes_texts_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(text, "RUN_CHARS", 5)
+    inputs = [" A \u00a0b", "ﬁ ½", None, "", "e\u0301 x", "plain  text ", "Ａｂ", None]
+    rows = spark.createDataFrame(list(enumerate(inputs)), "id INT, t STRING").coalesce(1)
+    got = rows.select("id", text.std_string(F.col("t"), "lower").alias("t")).orderBy("id").collect()
+    assert [r["t"] for r in got] == ["a b", "fi 1⁄2", None, "", "é x", "plain text", "ab", None]
+
+
 def test_text_functions(spark):
     assert one(spark, "  Ação:  São Paulo/SP ", text.text_to_tag) == "acao_sao_paulosp"
     assert one(spark, "ù Ç é", text.remove_accents) == "ù C e"
