@@ -124,7 +124,7 @@ def baselines(spark, sf):
 
 
 def grid_search(spark, sf):
-    d = mo.with_tokens(_labelled(spark, sf))
+    d = mo.with_tokens(_labelled(spark, sf)).select("doc_id", "quality", "tokens")
     pipe = mo.text_classifier("logistic", "quality", 1 << 16, maxIter=15)
     return mo.grid_search(d, pipe, {pipe.getStages()[-1].regParam: [0.01, 0.3]}, mo.area_under_roc("quality"), 3, "doc_id", "m13")
 

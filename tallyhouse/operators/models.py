@@ -23,6 +23,7 @@ from tallyhouse.operators.factors import tf_idf, truncated_svd
 from tallyhouse.operators.metrics import binary_metrics
 from tallyhouse.operators.selection import exact_quantiles
 from tallyhouse.operators.terms import exploded
+from tallyhouse.session import kept_table
 
 BatchScorer = Callable[[], Callable[[pd.Series], Sequence[float]]]
 
@@ -127,8 +128,9 @@ def grid_search(
 ) -> DataFrame:
     """Mean and deviation of a score over folds for each parameter set, best first.
 
-    Folds come from the row key, so they do not depend on the partitioning.
+    Folds come from the row key, so they do not depend on the partitioning. Rows are computed once and stored, as every fold reads them.
     """
+    stored = kept_table(df.withColumn("_fold", F.floor(uniform(seed, key) * folds).cast("int")), "folds")
     builder = ParamGridBuilder()
     for param, values in grid.items():
         builder = builder.addGrid(param, values)
@@ -136,7 +138,7 @@ def grid_search(
     cv = CrossValidator(
         estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, parallelism=parallelism, foldCol="_fold"
     )
-    fitted = cv.fit(df.withColumn("_fold", F.floor(uniform(seed, key) * folds).cast("int")))
+    fitted = cv.fit(stored)
     rows = [
         (", ".join(f"{p.name}={v}" for p, v in m.items()), float(a), float(s))
         for m, a, s in zip(maps, fitted.avgMetrics, fitted.stdMetrics)
