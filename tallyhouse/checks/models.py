@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tallyhouse import views
@@ -88,6 +89,7 @@ def numeric_preprocess(spark, sf):
 
 def classifiers(spark, sf):
     d = mo.with_tokens(_labelled(spark, sf)).withColumn("w", F.when(F.col("toxic") == 1, 1.5).otherwise(1.0))
+    d = d.select("doc_id", "toxic", "w", "tokens").persist(StorageLevel.MEMORY_AND_DISK)  # three fits and the vote read it
     fits = {
         "forest": (mo.text_classifier("forest", "toxic", 1 << 16, weight="w", numTrees=20, seed=7).fit(d), 0.35),
         "logistic": (mo.text_classifier("logistic", "toxic", 1 << 16, regParam=0.05, maxIter=20).fit(d), 0.2),
