@@ -11,6 +11,7 @@ from tallyhouse.operators.filters import filter_expr, select_direct_text
 from tallyhouse.operators.joins import interval_join, keep_ids, slot_grid
 from tallyhouse.operators.totals import hour_seasonal_factor
 from tallyhouse.operators.windows import agg_by_day, agg_period, seasonal_impute
+from tallyhouse.session import kept_table
 from tallyhouse.sources import tables
 from tallyhouse.sources.sinks import export_series, headline_numbers, write_headline, write_series
 
@@ -124,6 +125,7 @@ def publish(
     slots = slot_series(
         scored, log, tables.load_pool_sources(spark, stored["sources"]), tables.load_pools(spark, stored["pools"], schemas["pools"]),
         tables.robust_load_csv(spark, stored["factors"], schemas["factors"]), query, bad, start, hours)
+    slots = kept_table(slots, "slots")  # both outputs need it, and the files are to be read once
     write_series(daily_series(slots, hours, until), f"{out}/daily")
     days = agg_by_day(slots, "slot", ["final_n_hate", "final_n_tweets"], hours)
     write_headline(headline_numbers(days, "day", "final_n_hate", today), f"{out}/headline")
