@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,11 @@ from tallyhouse.functions.hashing import exponential_key, uniform
 from tallyhouse.functions.permutation import permuted, replica_keys
 from tallyhouse.operators.bins import bin_prob
 from tallyhouse.operators.joins import drop_ids, keep_ids
-from tallyhouse.operators.ranking import first_rows, rank_by_uniform, top_per_group
+from tallyhouse.operators.ranking import bucket_count, first_rows, rank_by_uniform, top_per_group
 from tallyhouse.session import kept_table
 
 MOST_KEYS = 100_000  # permutations whose keys (200 bytes each, 500 for small tables) are sent to all executors
+PARTNER_ROWS = 500_000  # numbered rows that one task of a join holds
 
 
 def weighted_sample(df: DataFrame, key: str, n: int, seed: int | str, weight: Column | None = None) -> DataFrame:
@@ -186,7 +188,8 @@ def shuffle_columns(
     Rows are numbered once, in the order of a draw from the key, and stored. The first column keeps that order, as only
     the order relative to it matters; every other column takes, at position i, the value of the row that a keyed
     permutation names for i. With ``replicas`` the table is permuted that many times. A replica costs one
-    equi-join on row numbers, which are spread evenly, and no sort.
+    equi-join on row numbers, which are spread evenly, and no sort: the copies stream past a hash table of at most about
+    ``PARTNER_ROWS`` numbered rows. The join is the same for tables of any size, so that what it shuffles grows with the rows.
     """
     first, *others = columns
     ranked = rank_by_uniform(df.select(key, *columns), uniform(seed, key), [key], (), "_rank")
@@ -196,6 +199,9 @@ def shuffle_columns(
     out = numbered.select("_number", first).crossJoin(F.broadcast(keys) if (replicas or 1) * len(others) <= MOST_KEYS else keys)
     for i in range(len(others)):
         out = permuted(out, "_number", f"_k{i}", n, f"_p{i}").drop(f"_k{i}")
+    parts = math.ceil(n / PARTNER_ROWS)
+    dealt = (lambda t, p: t.repartition(parts, p)) if parts > bucket_count(df) else (lambda t, p: t)
     for i, c in enumerate(others):
-        out = out.join(numbered.select(F.col("_number").alias(f"_p{i}"), c), f"_p{i}")
+        partners = numbered.select(F.col("_number").alias(f"_p{i}"), c)
+        out = dealt(out, f"_p{i}").join(dealt(partners, f"_p{i}").hint("shuffle_hash"), f"_p{i}")
     return out.select(*["replica"][: 1 if replicas else 0], (F.col("_number") + 1).alias("position"), *columns)

@@ -443,6 +443,25 @@ def test_replicas_are_joined_and_not_sorted(spark):
         assert sampling.shuffle_columns(odd, ["a", "b"], "id", 1, replicas=2).count() == 2 * odd.count()
 
 
+def test_replicas_stream_past_bounded_hash_tables_of_partners(spark, monkeypatch):
+    df = spark.range(3_000).withColumn("a", F.col("id") % 7).withColumn("b", (F.col("id") * 11) % 5).withColumn("c", F.col("id"))
+    want = sampling.shuffle_columns(df, ["a", "b", "c"], "id", 1, replicas=4).toPandas()
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for most, shuffles in ((500_000, usual), (500, "2")):  # one table is small, the other larger than its partitions hold
+            monkeypatch.setattr(sampling, "PARTNER_ROWS", most)
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            out = sampling.shuffle_columns(df, ["a", "b", "c"], "id", 1, replicas=4)
+            plan = plan_of(out)
+            assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+            assert (", 6)" in plan or ", 6," in plan) == (most == 500)  # 3,000 rows, 500 to a task
+            got = out.toPandas()
+            assert sorted(map(tuple, got.to_numpy())) == sorted(map(tuple, want.to_numpy()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert sorted(got[got["replica"] == 3]["c"]) == list(range(3_000)) and len(got) == 12_000
+
+
 def test_fixed_proportion(spark):
     df = spark.range(1000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     got = sampling.sample_fixed_proportion(df, "y", "id", 0.4, 3, replicas=2).groupBy("replica", "y").count().collect()
