@@ -38,6 +38,7 @@ SHARD_BYTES = 64_000_000  # of text; its ids take about half of that
 ROW_GROUP_BYTES = 16_000_000
 PAGE_BYTES = 256_000
 PAGE_ROWS = 1_000
+RUN_CHARS = 2_000_000  # of texts that are encoded together
 CHECK_ROWS = 10  # sizes are looked at after so many rows, since a row may be a long text
 
 _ENCODERS: dict[str, tuple[U.ByteBpe, U.Memo]] = {}
@@ -52,35 +53,38 @@ def _encoder(path: str) -> tuple[U.ByteBpe, U.Memo]:
     return _ENCODERS[path]
 
 
+def _packed(texts: list[str], memo: U.Memo) -> Iterator[bytes]:
+    """Ids of each of some texts. Every different unit of them is looked up once."""
+    odd = list(map(U.is_odd, texts))
+    names, place, units_at = U.unit_table([x for x, other in zip(texts, odd) if not other], fine=True)
+    found = memo.values(names)
+    ids, sizes = np.frombuffer(b"".join(found), dtype=np.int32), np.array([len(x) // 4 for x in found], dtype=np.int64)
+    n = sizes[place]
+    ids_at = np.r_[0, np.cumsum(n)]
+    shift = (np.cumsum(sizes) - sizes)[place] - ids_at[:-1]
+    data = ids[np.arange(ids_at[-1]) + np.repeat(shift, n)].tobytes()
+    bounds = (4 * ids_at[units_at]).tolist()
+    plain = (data[a:b] for a, b in zip(bounds, bounds[1:]))
+    for text, other in zip(texts, odd):
+        yield b"".join(memo.values(U.units(text, fine=True))) if other else next(plain)
+
+
 def packed_ids(texts: list[str | None], memo: U.Memo) -> Iterator[bytes]:
     """Ids of each text as int32, for runs of texts at once."""
-    run: list[str] = []  # units of some texts, and how many each has
-    sizes: list[int] = []
+    run: list[str] = []
     chars = 0
-
-    def encoded() -> Iterator[bytes]:
-        found = memo.values(run)
-        first = 0
-        for n in sizes:
-            yield b"".join(found[first:first + n])
-            first += n
-        run.clear()
-        sizes.clear()
-
     for text in texts:
         if text is not None and len(text) > U.PIECE_CHARS:
-            yield from encoded()
-            chars = 0
-            yield b"".join(b"".join(memo.values(U.units(piece, fine=True))) for piece in U.pieces(text))
+            yield from _packed(run, memo)
+            run, chars = [], 0
+            yield b"".join(x for piece in U.pieces(text) for x in _packed([piece], memo))
             continue
-        before = len(run)
-        run += U.units(text, fine=True) if text else ()
-        sizes.append(len(run) - before)
-        chars += len(text or "")
-        if chars >= U.PIECE_CHARS:
-            yield from encoded()
-            chars = 0
-    yield from encoded()
+        run.append(text or "")
+        chars += len(run[-1])
+        if chars >= RUN_CHARS:
+            yield from _packed(run, memo)
+            run, chars = [], 0
+    yield from _packed(run, memo)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, row_id: str = "doc_id", text: str = "text", end_id: int = END_ID,

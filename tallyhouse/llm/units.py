@@ -15,6 +15,7 @@ from itertools import compress, repeat
 from operator import is_
 
 import numpy as np
+import pyarrow as pa
 
 PIECE_CHARS = 1_000_000
 JOINED_CHARS = 20_000
@@ -31,13 +32,58 @@ _BORDER = re.compile("(?<![\\s\\u180e\\u200b\\ufeff])(?=[ \\n\\t])")
 _SPACE = frozenset(" \n\t")
 
 
+_MARK_BYTE = np.array([b < 128 and re.match(f"[{_MARK}]", chr(b)) is not None for b in range(256)])
+_LATIN = 0xC3  # first byte of the letters of _LETTER beyond ASCII, all of whose second bytes are letters but those of the two signs
+_SIGNS = (0x97, 0xB7)
+
+
 def units(text: str, fine: bool = False) -> list[str]:
     """Units of a text, in order; joined they are the text. ``fine``: words without the marks behind them, for byte-level BPE alone."""
-    if any(map(text.__contains__, _ODD)):
+    if is_odd(text):
         return [x for x in _BORDER.split(text) if x]
     return (_FINE if fine else _PLAIN).findall(text)
 
 
+def is_odd(text: str) -> bool:
+    """Whether a text holds white space other than that a unit may start with."""
+    return any(map(text.__contains__, _ODD))
+
+
+def unit_table(texts: list[str], fine: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different units of texts that are not odd, the place of every unit among them, and the units before each text and after all.
+
+    The same units as of ``units``, but found in the bytes of all texts at once, so that a memo is asked once for each.
+    """
+    data = "".join(texts).encode()
+    sizes = [len(x) if x.isascii() else len(x.encode()) for x in texts]
+    text_at = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    raw = np.frombuffer(data, dtype=np.uint8)
+    if not len(raw):
+        return [], np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
+    begins = np.zeros(len(raw) + 1, dtype=bool)
+    begins[text_at] = True
+    begins = begins[:-1]
+    space = (raw == 32) | (raw == 10) | (raw == 9)
+    cut = begins.copy()
+    cut[1:] |= space[1:] & ~space[:-1]
+    if fine:
+        letter = (raw | 32) - 97 < 26  # of one byte, so what lies below a wraps around
+        if not data.isascii():
+            lead = np.flatnonzero(raw == _LATIN)
+            lead = lead[~np.isin(raw[lead + 1], _SIGNS)]
+            letter[lead] = letter[lead + 1] = True
+        opens = letter.copy()  # first letters of runs of letters
+        opens[1:] &= ~letter[:-1] | begins[1:]
+        runs = np.flatnonzero(opens)
+        after_space = begins[runs] | space[runs - 1]
+        ends = np.flatnonzero(_MARK_BYTE[raw[1:]] & letter[:-1] & ~begins[1:]) + 1  # marks behind letters
+        cut[ends[after_space[np.searchsorted(runs, ends) - 1]]] = True
+    starts = np.flatnonzero(cut)
+    offsets = np.r_[starts, len(raw)].astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.searchsorted(starts, text_at)
+
+
 def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     """A text in pieces that end with a unit, of about ``most`` characters each."""
     first = 0

@@ -42,6 +42,30 @@ def test_units_encode_alike_alone_and_in_texts():
                 assert [int(i) for u in units.units(" " + text) for i in model.ids([u])[0]] == model.model.encode(text)
 
 
+def test_units_of_many_texts_are_those_of_each_and_are_asked_for_once():
+    rng = random.Random(5)
+    letters = ["a", "b", "Z", "É", "ÿ", "×", "÷", "€", "中", "👍", "́", "1", "9", " ", " ", "\n", "\t", "'s", "_", "[", "`", "@", "{", "~", "\x00", "\x7f", "<|endoftext|>"]
+    for fine in (False, True):
+        for many in (0, 1, 2, 9):
+            for _ in range(300):
+                texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 30]))) for _ in range(many)]
+                names, place, at = units.unit_table(texts, fine)
+                assert [[names[i] for i in place[a:b]] for a, b in zip(at[:-1], at[1:])] == [units.units(x, fine) for x in texts]
+                assert len(at) == many + 1 and len(set(names)) == len(names)
+    bpe, asked = units.ByteBpe(alignment.default_paths()[0]), []
+
+    class Counting(units.Memo):
+        def values(self, names):
+            asked.extend(names)
+            return super().values(names)
+
+    texts = ["one two, one two. one", None, "two one\n", "", "odd\x0b one", " two"] * 40
+    packed = list(tokenfiles.packed_ids(texts, Counting(bpe.encode_units)))
+    plain = Tokenizer.from_file(alignment.default_paths()[0])
+    assert [np.frombuffer(x, dtype=np.int32).tolist() for x in packed] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 100  # 9 different units, and those of 40 odd texts
+
+
 def brute_stream(docs, end_id):
     plain = Tokenizer.from_file(tokenfiles.default_tokenizer())
     out, at = [], 0
