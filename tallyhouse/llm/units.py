@@ -28,6 +28,7 @@ _PLAIN = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 # Byte-level BPE also cuts between a letter and a mark that is no letter; the letters and marks named here are such in any Unicode version.
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
 _FINE = re.compile(rf"[ \n\t]*[{_LETTER}]+(?=[ \n\t{_MARK}]|\Z)|[ \n\t]*[^ \n\t]+|[ \n\t]+")
+FINE_BORDER = re.compile(rf"[{_LETTER}][{_MARK}]")  # what a piece must not hold for fine units to be encoded alike alone
 _BORDER = re.compile("(?<![\\s\\u180e\\u200b\\ufeff])(?=[ \\n\\t])")
 _SPACE = frozenset(" \n\t")
 
@@ -38,7 +39,7 @@ _SIGNS = (0x97, 0xB7)
 
 
 def units(text: str, fine: bool = False) -> list[str]:
-    """Units of a text, in order; joined they are the text. ``fine``: words without the marks behind them, for byte-level BPE alone."""
+    """Units of a text, in order; joined they are the text. ``fine``: words without the marks behind them, for byte-level BPE and vocabularies without ``FINE_BORDER``."""
     if is_odd(text):
         return [x for x in _BORDER.split(text) if x]
     return (_FINE if fine else _PLAIN).findall(text)

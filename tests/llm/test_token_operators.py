@@ -174,6 +174,20 @@ def test_alignment(spark, documents, odd, block):
     assert alignment.align(docs.where("false"), *alignment.default_paths()).count() == 0
 
 
+def test_units_of_the_alignment_leave_marks_behind_words_out():
+    rng = random.Random(7)
+    tool = alignment.Aligner(*alignment.default_paths())
+    assert tool.b.fine
+    words = ["house", "é", "zwölf", "a1", "3", "_x", "it's", "中文", "Zz"]
+    for _ in range(1000):
+        text = " " + "".join(rng.choice(words) + rng.choice([", ", ". ", "; ", "\n", "!", " ", "...", "'", '" ', ")-(", "≠ ", "<s> ", "</s>", "<0x41>"]) for _ in range(rng.randint(1, 9)))
+        cut = units.units(text, True)
+        assert [int(i) for ids in tool.b.ids(cut) for i in ids] == tool.b.ids([text])[0].tolist()
+        assert [int(i) for ids in tool.a.ids(cut) for i in ids] == tool.a.ids([text])[0].tolist()
+    tool.document("house, house. house; house! house house: house? house")
+    assert set(tool.memo.young) == {" house", *",.;!:?"}
+
+
 def test_long_text_is_aligned_in_pieces(monkeypatch):
     text = "".join(f"Wort{i % 97},\n zwei  drei{i} " for i in range(2000))
     tool = alignment.Aligner(*alignment.default_paths())
