@@ -22,7 +22,7 @@ from tallyhouse.functions.text import tokens
 from tallyhouse.operators.factors import tf_idf, truncated_svd
 from tallyhouse.operators.metrics import binary_metrics
 from tallyhouse.operators.selection import exact_quantiles
-from tallyhouse.operators.terms import exploded
+from tallyhouse.operators.terms import word_blocks
 from tallyhouse.session import kept_table
 
 BatchScorer = Callable[[], Callable[[pd.Series], Sequence[float]]]
@@ -173,7 +173,7 @@ def text_clusters(
     """
     words = tokens(F.col(text))
     words = F.filter(words, lambda t: ~t.isin(*stopwords)) if stopwords else words
-    counts = exploded(df, words, key).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = word_blocks(df, key, words)
     placed, values = truncated_svd(tf_idf(counts, key, min_df=min_df, max_df=max_df), key, "token", components)
     names = [f"z{i}" for i in range(len(values))]
     full = df.select(key).join(placed, key, "left").fillna(0.0, subset=names)

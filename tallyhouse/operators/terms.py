@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import PUNCTUATION, let, tokens, typo_pattern
+from tallyhouse.operators.factors import Blocks, cut
+from tallyhouse.session import kept_table
 
 # Words of links that say nothing about the platform.
 URL_STOPWORDS = (
@@ -80,6 +82,25 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def word_blocks(df: DataFrame, row: str, words: Column) -> Blocks:
+    """Counts of the words of each row, by blocks.
+
+    Words are counted where the row is read, without a shuffle. Only rows whose key comes again, or is null, are added up first; those
+    without a key count as a single row, which has no vector.
+    """
+    again = df.groupBy(F.col(row).alias("_row")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR _row IS NULL").select("_row")
+    again = kept_table(again, "again")
+    once, added = df, None
+    if not again.isEmpty():
+        same = F.col(row).eqNullSafe(F.col("_row"))
+        once = df.join(again, same, "left_anti")
+        counts = exploded(df.join(again, same, "left_semi"), words, row).groupBy(row, "token").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        added = counts.groupBy(row).agg(F.collect_list(F.struct("token", "w")).alias("e"))
+        added = cut(added.select(F.col(row).alias("id"), F.col("e.token").alias("c"), F.col("e.w").alias("w")))
+    blocks = cut(once.select(F.col(row).alias("id"), words.alias("c")))
+    return Blocks(kept_table(blocks if added is None else blocks.unionByName(added), "counts"))
+
+
 def multi_column_counts(parts: Sequence[tuple[DataFrame, float]], key: str, agg: str = "max") -> DataFrame:
     """Weighted counts of several text columns over one vocabulary, added up or maximised."""
     long = reduce(

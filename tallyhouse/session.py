@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,3 +58,9 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of queries that are over. It does so only once the driver has collected its garbage, which may be after many rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -666,6 +666,64 @@ def test_matrix_blocks_hold_whole_rows(spark):
     assert sorted((r["id"], names[r["block"]][at], w) for r in members for at, w in zip(r["at"], r["w"])) == sorted(rows)
 
 
+def test_word_vectors_travel_in_parts(spark, monkeypatch):
+    from tallyhouse.operators import factors, terms
+
+    rng, stored = np.random.default_rng(3), {}
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 40, 25)) for _ in range(60)]
+    keys = [None, None, *range(56), 0, 1]  # rows without a key count as one row, rows with one key are added up
+    docs = spark.createDataFrame(list(zip(keys, texts)), "doc INT, text STRING").repartition(6)
+    keep = factors.kept_table
+
+    def kept(df, name):
+        out = keep(df, name)
+        stored.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(factors, "kept_table", kept)
+    monkeypatch.setattr(factors, "GROUP_ENTRIES", (200, 300))
+    monkeypatch.setattr(factors, "PART_PLACES", 60)
+    counts = terms.word_blocks(docs, "doc", F.split("text", " "))
+    placed, values = factors.truncated_svd(factors.tf_idf(counts, "doc", min_df=20, max_df=0.9), "doc", "token", 4, rounds=12)
+
+    matrix = pd.DataFrame(0.0, index=[-1, *range(56)], columns=[f"w{j}" for j in range(40)])
+    for key, text in zip(keys, texts):
+        for word in text.split():
+            matrix.loc[-1 if key is None else key, word] += 1
+    df = (matrix > 0).sum()
+    assert 5 < ((df >= 20) & (df <= 0.9 * 57)).sum() < 40
+    weights = (matrix * (np.log(58 / (1 + df)) + 1)).loc[:, (df >= 20) & (df <= 0.9 * 57)].drop(index=-1)
+    weights = weights.div(np.sqrt((weights**2).sum(axis=1)), axis=0).to_numpy()
+    u, want, _ = np.linalg.svd(weights, full_matrices=False)
+    assert values == pytest.approx(want[:4], rel=1e-4)
+    got = placed.toPandas().sort_values("doc")
+    assert got["doc"].tolist() == list(range(56)) and np.abs(got["z0"].to_numpy()) == pytest.approx(np.abs(u[:, 0] * want[0]), abs=1e-4)
+    assert len(stored["vectors"]) == 13 and max(stored["vectors"]) < 12  # a row per part of the columns, not per column
+
+
+def test_words_of_single_keys_are_counted_without_a_shuffle(spark):
+    from tallyhouse.operators import factors, terms
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "b c")], "doc INT, text STRING").coalesce(1)
+    words = F.filter(F.split("text", " "), lambda t: t != "")
+    assert "Exchange" not in factors.cut(docs.select(F.col("doc").alias("id"), words.alias("c")))._jdf.queryExecution().executedPlan().toString()
+    blocks = terms.word_blocks(docs, "doc", words)
+    assert [r["ids"] for r in blocks.members.collect()] == [[1, 4]]
+    assert [(r["columns"], r["uses"], r["entries"]) for r in blocks.names.collect()] == [(["a", "b", "c"], [1, 2, 1], 4)]
+
+
+def test_packed_numbers_and_uniforms(spark):
+    from tallyhouse.operators import factors
+
+    for x in ([1.0, 2.0, 300.0], [0.5, -1.0], [2.0**33], [7.0], [-3.0, 1.0]):
+        assert factors._unpacked(factors._packed(np.array(x)), len(x), float).tolist() == x
+    at = np.array([0, 5, 70_000], dtype=np.int32)
+    assert len(factors._packed(at)) == 9 and factors._unpacked(factors._packed(at), 3, np.int32).tolist() == at.tolist()
+    names = ["a", "é", "", "x y"]
+    got = spark.createDataFrame([(n,) for n in names], "n STRING").select("n", *[hashing.uniform(f"s-{i}", "n") for i in range(3)]).collect()
+    assert hashing.uniforms([f"s-{i}" for i in range(3)], names).tolist() == [list(r)[1:] for r in got]
+
+
 def test_grid_search_computes_its_input_once(spark):
     from tallyhouse.operators import models
 
