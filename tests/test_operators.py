@@ -681,7 +681,7 @@ def test_word_vectors_travel_in_parts(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(factors, "kept_table", kept)
-    monkeypatch.setattr(factors, "GROUP_ENTRIES", (200, 300))
+    monkeypatch.setattr(factors, "BLOCK_ENTRIES", 300)
     monkeypatch.setattr(factors, "PART_PLACES", 60)
     counts = terms.word_blocks(docs, "doc", F.split("text", " "))
     placed, values = factors.truncated_svd(factors.tf_idf(counts, "doc", min_df=20, max_df=0.9), "doc", "token", 4, rounds=12)
