@@ -20,6 +20,7 @@ from tallyhouse.session import cleaned, kept_table
 SPARE = 8  # directions iterated beyond those wanted
 ROUNDS = 4
 BLOCK_ENTRIES = 8_000_000
+GROUP_ENTRIES = 8_000_000, 16_000_000  # least and most of a group of blocks: a small one does not pay for the vectors it gets
 GROUP_PLACES = 2_000_000  # columns of the blocks of a group, those in several of them each time
 SLICE_ENTRIES = 1_000_000
 SENT = pa.int32(), pa.int32(), pa.binary(), pa.binary()  # a part of the columns to or from a group: both numbers, the columns and their vectors
@@ -214,9 +215,10 @@ def _groups(names: DataFrame) -> tuple[DataFrame, int]:
     """The group of each block, and the columns of all blocks. Small blocks are put together, as a column is sent once per group."""
     sizes = names.select("block", "entries", F.size("columns")).orderBy("block").collect()
     spark = names.sparkSession
+    most = min(max(sum(r[1] for r in sizes) // spark.sparkContext.defaultParallelism, GROUP_ENTRIES[0]), GROUP_ENTRIES[1])
     found, group, entries, columns = [], 0, 0, 0
     for block, n, width in sizes:
-        if entries and (entries + n > BLOCK_ENTRIES or columns + width > GROUP_PLACES):
+        if entries and (entries + n > most or columns + width > GROUP_PLACES):
             group, entries, columns = group + 1, 0, 0
         found.append((block, group))
         entries, columns = entries + n, columns + width
